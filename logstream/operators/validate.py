@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 from operator import and_
@@ -13,29 +14,33 @@ from logstream import model
 from logstream.functions.ids import log_id
 
 
-def _text(name: str, most: int, required: bool) -> Column:
-    """The length is within bounds; only an optional text may be missing."""
-    length = F.length(name)
-    if required:
-        return F.coalesce(length.between(1, most), F.lit(False))
-    return F.coalesce(length <= most, F.lit(True))
+def _required(text: Column, most: int) -> Column:
+    return F.coalesce(F.length(text).between(1, most), F.lit(False))
 
 
-def checks() -> dict[str, Column]:
-    """Name of each rule and the condition a good record meets; never NULL."""
+def _optional(text: Column, most: int) -> Column:
+    return F.coalesce(F.length(text) <= most, F.lit(True))
+
+
+def checks(field: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """Name of each rule and the condition a good record meets; never NULL.
+
+    ``field`` gives the column of a name, so that the same rules serve rows and
+    elements of an array.
+    """
     return {
-        "level": F.coalesce(F.col("level").isin(*model.LEVEL_CODES), F.lit(False)),
-        "message": _text("message", model.MAX_MESSAGE, required=True),
-        "service": _text("service", model.MAX_NAME, required=True),
-        "host": _text("host", model.MAX_NAME, required=False),
-        "environment": _text("environment", model.MAX_ENVIRONMENT, required=False),
-        "trace_id": _text("trace_id", model.MAX_NAME, required=False),
-        "span_id": _text("span_id", model.MAX_NAME, required=False),
+        "level": F.coalesce(field("level").isin(*model.LEVEL_CODES), F.lit(False)),
+        "message": _required(field("message"), model.MAX_MESSAGE),
+        "service": _required(field("service"), model.MAX_NAME),
+        "host": _optional(field("host"), model.MAX_NAME),
+        "environment": _optional(field("environment"), model.MAX_ENVIRONMENT),
+        "trace_id": _optional(field("trace_id"), model.MAX_NAME),
+        "span_id": _optional(field("span_id"), model.MAX_NAME),
     }
 
 
-def is_valid() -> Column:
-    return reduce(and_, checks().values())
+def is_valid(field: Callable[[str], Column] = F.col) -> Column:
+    return reduce(and_, checks(field).values())
 
 
 def failed_checks() -> Column:
