@@ -6,22 +6,33 @@ from pyspark.sql import types as T
 
 # --- record shapes -----------------------------------------------------------
 
-FULL = T.StructType.fromDDL(
-    "timestamp TIMESTAMP, level STRING, message STRING, service STRING, host STRING, "
-    "environment STRING, metadata STRING, trace_id STRING, span_id STRING"
-)
-MID = T.StructType.fromDDL("message STRING, level STRING, service STRING, timestamp TIMESTAMP")
-MINIMAL = T.StructType.fromDDL("message STRING, level STRING, service STRING")
-ENVELOPE = T.StructType.fromDDL(
-    "key BINARY, value BINARY, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP"
+TEXT, TIME, BYTES = T.StringType(), T.TimestampType(), T.BinaryType()
+INT, LONG, FLAG = T.IntegerType(), T.LongType(), T.BooleanType()
+
+
+def _record(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+FULL = _record(
+    timestamp=TIME,
+    **dict.fromkeys(("level", "message", "service", "host", "environment"), TEXT),
+    **dict.fromkeys(("metadata", "trace_id", "span_id"), TEXT),
 )
-BATCH = T.StructType(
-    [T.StructField("batch_id", T.StringType()), T.StructField("logs", T.ArrayType(FULL))]
+MID = _record(message=TEXT, level=TEXT, service=TEXT, timestamp=TIME)
+MINIMAL = _record(message=TEXT, level=TEXT, service=TEXT)
+ENVELOPE = _record(
+    key=BYTES, value=BYTES, topic=TEXT, partition=INT, offset=LONG, timestamp=TIME
 )
-TRAINING = T.StructType.fromDDL(
-    "timestamp TIMESTAMP, level STRING, message STRING, service STRING, host STRING, "
-    "environment STRING, message_length INT, word_count INT, is_anomaly BOOLEAN, "
-    "trace_id STRING, span_id STRING"
+BATCH = _record(batch_id=TEXT, logs=T.ArrayType(FULL))
+TRAINING = _record(
+    timestamp=TIME,
+    **dict.fromkeys(("level", "message", "service", "host", "environment"), TEXT),
+    message_length=INT,
+    word_count=INT,
+    is_anomaly=FLAG,
+    trace_id=TEXT,
+    span_id=TEXT,
 )
 LOG_FIELDS = FULL.fieldNames()
 

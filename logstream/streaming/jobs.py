@@ -16,7 +16,7 @@ from logstream.operators.parse import drop_incomplete, parse_logs
 from logstream.operators.rules import detect_v1, detect_v2, detect_v3
 from logstream.operators.stats import live_counters, window_stats
 from logstream.sources.streams import read_log_stream
-from logstream.streaming.sinks import Sink, every, fan_out, write_latest, write_stream
+from logstream.streaming.sinks import Sink, every, fan_out, write_batch, write_latest, write_stream
 
 # Seconds between triggers.
 ALERT_SECONDS = 10
@@ -108,15 +108,12 @@ def start_stats(spark: SparkSession, config: StreamConfig, path: str) -> Streami
 
 
 def start_counters(spark: SparkSession, config: StreamConfig, path: str) -> StreamingQuery:
-    """Running totals; the one row is rewritten by every micro-batch."""
+    """Running totals, one row per micro-batch; read with :func:`read_counters`."""
     totals = live_counters(detected_logs(open_source(spark, config)))
-
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(path)
-
+    table = Sink("parquet", path)
     return (
         totals.writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        .foreachBatch(lambda batch, batch_id: write_batch(batch, table, batch_id))
         .option("checkpointLocation", config.checkpoint("counters"))
         .trigger(**config.paced(ALERT_SECONDS))
         .queryName("counters")
@@ -124,6 +121,12 @@ def start_counters(spark: SparkSession, config: StreamConfig, path: str) -> Stre
     )
 
 
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The newest totals."""
+    history = spark.read.parquet(path)
+    return history.orderBy(F.desc("batch_id")).limit(1).drop("batch_id")
+
+
 def start_all(
     spark: SparkSession, config: StreamConfig, stats_path: str
 ) -> dict[str, StreamingQuery]:
