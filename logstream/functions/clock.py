@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The limits of the named parts of a day and week.
@@ -31,3 +31,8 @@ def is_night_time(ts: Column) -> Column:
 def stamp(ts: Column) -> Column:
     """The event time as yyyyMMddHHmmss."""
     return F.date_format(ts, "yyyyMMddHHmmss")
+
+
+def truncated(df: DataFrame, unit: str, name: str = "timestamp") -> Column:
+    """Start of the unit of time, in the type of the time column."""
+    return F.date_trunc(unit, name).cast(df.schema[name].dataType)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logstream import model
+from logstream.functions.rows import computed_once
 
 
 def parse_logs(
@@ -19,16 +20,13 @@ def parse_logs(
     With ``keep_envelope`` the broker time, offset and partition stay. A schema
     without an event time takes the broker time for it.
     """
-    names = schema.fieldNames()
-    log = F.from_json(F.col("value").cast("string"), schema).alias("log")
-    if "timestamp" not in names:
-        return df.select("timestamp", log).select("timestamp", "log.*")
+    log = computed_once(F.from_json(F.col("value").cast("string"), schema))
+    if "timestamp" not in schema.names:
+        return df.select("timestamp", log)
     if not keep_envelope:
-        return df.select(log).select("log.*")
+        return df.select(log)
     kept = [c for c in ("offset", "partition") if c in df.columns]
-    return df.select(log, F.col("timestamp").alias("kafka_timestamp"), *kept).select(
-        "log.*", "kafka_timestamp", *kept
-    )
+    return df.select(log, F.col("timestamp").alias("kafka_timestamp"), *kept)
 
 
 def drop_incomplete(df: DataFrame, required: Iterable[str] = ("timestamp",)) -> DataFrame:
@@ -41,23 +39,22 @@ def split_malformed(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows that are JSON, dead letters with their raw text).
 
-    The JSON is read on each side only as far as that side needs it.
+    A missing value is a dead letter too.
     """
     lenient = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     text = F.col("value").cast("string")
-    parsed = df.withColumn("log", F.from_json(text, lenient, options))
-    bad = F.col("log").isNull() | F.col("log._corrupt_record").isNotNull()
     envelope = [c for c in ("topic", "partition", "offset") if c in df.columns]
-    good = parsed.where(~bad).select(
-        *[F.col(f"log.{name}").alias(name) for name in schema.fieldNames()],
+    parsed = df.select(
         F.col("timestamp").alias("kafka_timestamp"),
         *envelope,
+        text.alias("raw"),
+        computed_once(F.struct(F.from_json(text, lenient, options).alias("log"))),
     )
-    dead = parsed.where(bad).select(
-        F.col("timestamp").alias("kafka_timestamp"), *envelope, text.alias("raw")
-    )
-    return good, dead
+    bad = F.col("raw").isNull() | F.col("log._corrupt_record").isNotNull()
+    good = parsed.where(~bad).select("log.*", "kafka_timestamp", *envelope)
+    dead = parsed.where(bad).select("kafka_timestamp", *envelope, "raw")
+    return good.drop("_corrupt_record"), dead
 
 
 def metadata_field(df: DataFrame, key: str, alias: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logstream import model
 from logstream.functions import ids
+from logstream.functions.clock import stamp, truncated
 from logstream.operators.alerts import description
 from logstream.operators.stats import as_of_time, is_flagged
 
@@ -68,17 +69,16 @@ def recent_anomalies(df: DataFrame, limit: int = 50) -> DataFrame:
     The description is that of the newest anomaly in the group.
     """
     newest = F.max(F.struct("timestamp", "trace_id", description().alias("description")))
-    hour = F.date_trunc("hour", "timestamp")
     grouped = (
         df.where("is_anomaly")
-        .groupBy("service", "severity", hour.alias("hour"))
+        .groupBy("service", "severity", truncated(df, "hour").alias("hour"))
         .agg(
             newest.alias("newest"),
             F.max("anomaly_score").alias("score"),
             F.countDistinct("host").alias("affected_hosts"),
         )
     )
-    anomaly_id = ids.digest(F.col("service"), F.col("severity"), ids.stamp(F.col("hour")))
+    anomaly_id = ids.digest(F.col("service"), F.col("severity"), stamp(F.col("hour")))
     return (
         grouped.select(
             F.concat(F.lit("anom_"), anomaly_id).alias("id"),
@@ -139,7 +139,7 @@ def recent_by_service_minute(
     ts = F.col("timestamp")
     return (
         df.where((ts > now - F.expr(f"INTERVAL {ttl}")) & (ts <= now))
-        .withColumn("minute_start", F.date_trunc("minute", ts))
+        .withColumn("minute_start", truncated(df, "minute"))
         .orderBy("service", "minute_start", *_newest_first())
     )
 

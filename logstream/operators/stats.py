@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstream import model
+from logstream.functions.clock import truncated
 from logstream.functions.codes import code, is_error
 
 
@@ -88,7 +89,7 @@ def observe_counts(df: DataFrame, name: str) -> DataFrame:
 
 def anomaly_trend(df: DataFrame, unit: str = "hour") -> DataFrame:
     """Flagged and normal records per unit of time."""
-    return df.groupBy(F.date_trunc(unit, "timestamp").alias("bucket")).agg(
+    return df.groupBy(truncated(df, unit).alias("bucket")).agg(
         F.count_if("is_anomaly").alias("anomalies"),
         F.count_if(~F.col("is_anomaly")).alias("normal"),
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logstream.functions.rows import computed_once
 from logstream.operators.rules import detect_v3
 from logstream.session import use_utc
 
@@ -67,8 +68,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = [F.expr(sql).alias(name) for name, sql in LOG_COLUMNS.items()]
-    return events(spark, sf_dir).select(*columns)
+    """The records. Filters on the time still reach the scan."""
+    columns = {name: F.expr(sql).alias(name) for name, sql in LOG_COLUMNS.items()}
+    stored = [columns.pop(name) for name in ("event_id", "timestamp", "metadata")]
+    derived = computed_once(F.struct(*columns.values()))
+    return events(spark, sf_dir).select(*stored, derived)
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def detection_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- topics ------------------------------------------------------------------
 
 TOPIC_SQL = """(SELECT event_id, "timestamp", CAST(event_id % 6 AS INT) AS partition,
-    event_id // 6 AS offset,
+    event_id // 6 AS "offset",
     ['logs-raw', 'logs-processed', 'anomalies-detected', 'service-metrics', '__offsets']
         [CAST(event_id % 5 + 1 AS INT)] AS topic FROM logs)"""
 
@@ -131,7 +131,7 @@ TOPIC_SQL = """(SELECT event_id, "timestamp", CAST(event_id % 6 AS INT) AS parti
 # the last partition was never committed.
 LAG_SQL = f"""SELECT topic, CAST(sum(CASE WHEN partition = 5 THEN last + 1
     ELSE least(last + 1, 1 + 30 * partition) END) AS BIGINT) AS consumer_lag
-FROM (SELECT topic, partition, max(offset) AS last FROM {TOPIC_SQL} GROUP BY ALL) GROUP BY topic"""
+FROM (SELECT topic, partition, max("offset") AS last FROM {TOPIC_SQL} GROUP BY ALL) GROUP BY topic"""
 
 
 def _committed(env: DataFrame) -> DataFrame:
