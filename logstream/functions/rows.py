@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,13 @@ def computed_once(record: Column) -> Column:
     Filters on other columns still move below it.
     """
     return F.inline(F.array(record))
+
+
+def pinned(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows, with the named columns taken from the projection below.
+
+    The projection shares what its expressions have in common; a filter that
+    was moved below it would not.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, computed_once(F.struct(*names)))

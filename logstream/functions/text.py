@@ -10,14 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def holds(lowered: Column, words: Iterable[str]) -> Column:
+    """True where the lower-case text holds one of the lower-case ``words``."""
+    return reduce(or_, [lowered.contains(word) for word in words])
+
+
 def mentions(text: Column, words: Iterable[str]) -> Column:
     """True where ``text`` holds one of the lower-case ``words`` in any letter case.
 
     A byte search on the lower-cased text: more than twice as fast as a
     case-insensitive alternation, and linear in the text.
     """
-    lowered = F.lower(text)
-    return reduce(or_, [lowered.contains(word) for word in words])
+    return holds(F.lower(text), words)
 
 
 def flag(condition: Column) -> Column:

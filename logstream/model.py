@@ -59,7 +59,7 @@ DEFAULT_ENVIRONMENT = "production"
 # --- fixed values: words looked for in messages, all lower case --------------
 
 MEMORY_WORDS = ("out of memory", "heap space")
-CRASH_WORDS = MEMORY_WORDS + ("segmentation fault",)
+CRASH_WORDS = ("segmentation fault",)
 FAILURE_WORDS = ("exception", "error", "failed", "timeout", "refused", "panic", "critical")
 SHORT_FAILURE_WORDS = ("exception", "timeout", "failed", "critical")
 ERROR_WORDS = ("error", "failure", "critical", "fatal")

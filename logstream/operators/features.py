@@ -16,15 +16,19 @@ def _measures(df: DataFrame) -> dict[str, Column]:
     return {name: column for name, column in measures.items() if name not in df.columns}
 
 
+# The lower-cased message, made once for all word tests of a row.
+LOWERED = "lower_message"
+
+
 def _word_flags(**words: tuple[str, ...]) -> dict[str, Column]:
-    message = F.col("message")
-    return {name: text.flag(text.mentions(message, found)) for name, found in words.items()}
+    lowered = F.col(LOWERED)
+    return {name: text.flag(text.holds(lowered, found)) for name, found in words.items()}
 
 
-def add_stream_features(df: DataFrame) -> DataFrame:
-    """What the rule detector needs, in one projection."""
+def lowered_stream_features(df: DataFrame) -> DataFrame:
+    """The stream features together with the lower-cased message."""
     ts = F.col("timestamp")
-    return df.withColumns(
+    return df.withColumn(LOWERED, F.lower("message")).withColumns(
         {
             "hour": F.hour(ts),
             "day_of_week": F.dayofweek(ts),
@@ -37,24 +41,32 @@ def add_stream_features(df: DataFrame) -> DataFrame:
     )
 
 
+def add_stream_features(df: DataFrame) -> DataFrame:
+    """What the rule detector needs."""
+    return lowered_stream_features(df).drop(LOWERED)
+
+
 def feature_engineering(df: DataFrame) -> DataFrame:
     """The whole feature set, ready for model training."""
     ts = F.col("timestamp")
-    measured = add_stream_features(df)
-    return measured.withColumns(
-        {
-            "minute": F.minute(ts),
-            "is_weekend": clock.is_weekend(ts),
-            "is_business_hours": clock.is_business_hours(ts),
-            "is_night_time": clock.is_night_time(ts),
-            **_word_flags(
-                has_error_keywords=model.ERROR_WORDS,
-                has_performance_keywords=model.PERFORMANCE_WORDS,
-            ),
-            "message_entropy": text.length_weighted_entropy(
-                F.col("word_count"), F.col("message_length")
-            ),
-            "service_encoded": codes.service_code(F.col("service")),
-            "environment_encoded": codes.environment_code(F.col("environment")),
-        }
+    return (
+        lowered_stream_features(df)
+        .withColumns(
+            {
+                "minute": F.minute(ts),
+                "is_weekend": clock.is_weekend(ts),
+                "is_business_hours": clock.is_business_hours(ts),
+                "is_night_time": clock.is_night_time(ts),
+                **_word_flags(
+                    has_error_keywords=model.ERROR_WORDS,
+                    has_performance_keywords=model.PERFORMANCE_WORDS,
+                ),
+                "message_entropy": text.length_weighted_entropy(
+                    F.col("word_count"), F.col("message_length")
+                ),
+                "service_encoded": codes.service_code(F.col("service")),
+                "environment_encoded": codes.environment_code(F.col("environment")),
+            }
+        )
+        .drop(LOWERED)
     )

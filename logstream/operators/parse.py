@@ -29,6 +29,11 @@ def parse_logs(
     return df.select(log, F.col("timestamp").alias("kafka_timestamp"), *kept)
 
 
+def parse_batches(df: DataFrame) -> DataFrame:
+    """JSON values that hold a whole batch each, as ``batch_id`` and ``logs``."""
+    return df.select(computed_once(F.from_json(F.col("value").cast("string"), model.BATCH)))
+
+
 def drop_incomplete(df: DataFrame, required: Iterable[str] = ("timestamp",)) -> DataFrame:
     """Rows with a value in each required column; drops malformed records too."""
     return df.dropna(subset=list(required))

@@ -1,7 +1,7 @@
 """Rule-based anomaly detectors.
 
-A rule is data: a name and a SQL condition over the log columns and the stream
-features. Conditions become plain Spark expressions, so a rule table runs inside
+A rule is data: a name and a SQL condition over the log columns, the stream
+features and the lower-cased message. Conditions become plain Spark expressions, so a rule table runs inside
 the generated code of the scan's stage, on batch tables and streams alike.
 """
 
@@ -9,21 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstream import model
 from logstream.functions import codes, text
-from logstream.operators.features import add_stream_features
+from logstream.functions.rows import pinned
+from logstream.operators.features import LOWERED, lowered_stream_features
 
 
 def has_word(words: Iterable[str]) -> str:
     """SQL condition: the message holds one of the lower-case words in any letter case."""
     quoted = [word.replace("\\", "\\\\").replace("'", "\\'") for word in words]
-    return "(" + " OR ".join(f"contains(lower(message), '{word}')" for word in quoted) + ")"
+    return "(" + " OR ".join(f"contains({LOWERED}, '{word}')" for word in quoted) + ")"
 
 
 @dataclass(frozen=True)
@@ -41,11 +40,17 @@ class Rule:
 
 ERROR_LEVELS_SQL = "level IN ('ERROR', 'FATAL')"
 
+# Words that already are features are tested once, as features.
+FEATURE_WORDS = {"exception": "has_exception", "timeout": "has_timeout", "failed": "has_failed"}
+FEATURE_WORDS_SQL = " OR ".join(f"{flag} = 1" for flag in FEATURE_WORDS.values())
+OTHER_FAILURE_WORDS = [word for word in model.FAILURE_WORDS if word not in FEATURE_WORDS]
+
 # What flags a record, most telling first.
 FLAG_RULES = (
     Rule("fatal_level", "level = 'FATAL'"),
+    Rule("memory_text", has_word(model.MEMORY_WORDS)),
     Rule("crash_text", has_word(model.CRASH_WORDS)),
-    Rule("failure_text", has_word(model.FAILURE_WORDS)),
+    Rule("failure_text", f"{FEATURE_WORDS_SQL} OR {has_word(OTHER_FAILURE_WORDS)}"),
     Rule("very_long_message", f"message_length > {model.VERY_LONG_MESSAGE}"),
     Rule("many_words", f"word_count > {model.MANY_WORDS}"),
     Rule("early_error", f"hour < {model.EARLY_HOUR} AND {ERROR_LEVELS_SQL}"),
@@ -54,10 +59,10 @@ FLAG_RULES = (
 )
 
 # What a record scores, independent of the flag: an unflagged record may score
-# high and a flagged one low.
+# high and a flagged one low. Conditions may use the rule that flagged it.
 SCORE_RULES = (
     Rule("fatal_level", "level = 'FATAL'", 1.0),
-    Rule("memory_text", has_word(model.MEMORY_WORDS), 0.95),
+    Rule("memory_text", "matched_rule = 'memory_text'", 0.95),
     Rule("error_level", "level = 'ERROR'", 0.8),
     Rule("exception_text", "has_exception = 1", 0.7),
     Rule("timeout_text", "has_timeout = 1", 0.6),
@@ -66,11 +71,6 @@ SCORE_RULES = (
 DEFAULT_SCORE = 0.1
 
 
-def any_rule(rules: Sequence[Rule]) -> Column:
-    """True where a rule holds; never NULL."""
-    return F.coalesce(reduce(or_, [rule.column for rule in rules]), F.lit(False))
-
-
 def first_rule(rules: Sequence[Rule]) -> Column:
     """Name of the first rule that holds, or NULL."""
     return F.coalesce(*[F.when(rule.column, rule.name) for rule in rules])
@@ -112,17 +112,17 @@ def detect_v3(
     scores: Sequence[Rule] = SCORE_RULES,
     default_score: float = DEFAULT_SCORE,
 ) -> DataFrame:
-    """Flags, scores and ranks every record; keeps all rows.
+    """Flags, scores and grades every record; keeps all rows.
 
-    Adds ``is_anomaly``, ``matched_rule``, ``anomaly_score`` and ``severity``,
-    and the stream features where the input lacks them.
+    Adds the stream features, ``is_anomaly``, ``matched_rule``, ``anomaly_score``
+    and ``severity``. Every word is looked for once per row, in a message that
+    is lower-cased once, and a later filter on the results repeats none of it.
     """
-    if "has_failed" not in df.columns:
-        df = add_stream_features(df)
-    return df.withColumns(
+    ruled = lowered_stream_features(df).withColumn("matched_rule", first_rule(rules))
+    ruled = pinned(ruled.drop(LOWERED), *FEATURE_WORDS.values(), "matched_rule")
+    return ruled.withColumns(
         {
-            "is_anomaly": any_rule(rules),
-            "matched_rule": first_rule(rules),
+            "is_anomaly": F.col("matched_rule").isNotNull(),
             "anomaly_score": first_score(scores, default_score),
         }
     ).withColumn("severity", codes.severity(F.col("anomaly_score")))

@@ -146,8 +146,8 @@ SCORED_SQL = """SELECT *,
     event_id % 20 = 0 AS label
 FROM (SELECT *,
     CASE WHEN level = 'FATAL' THEN 'fatal_level'
-         WHEN regexp_matches(message, '(?i)(out of memory|heap space|segmentation fault)')
-             THEN 'crash_text'
+         WHEN regexp_matches(message, '(?i)(out of memory|heap space)') THEN 'memory_text'
+         WHEN regexp_matches(message, '(?i)segmentation fault') THEN 'crash_text'
          WHEN regexp_matches(message,
              '(?i)(exception|error|failed|timeout|refused|panic|critical)') THEN 'failure_text'
          WHEN message_length > 2000 THEN 'very_long_message'

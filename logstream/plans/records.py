@@ -194,8 +194,8 @@ def ingest_nested_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(entry(1, F.col("level")), entry(2, second)).alias("logs"),
         )
     )
-    parsed = fx.logs(spark, sf_dir).select(F.from_json(request, model.BATCH).alias("b"))
-    rows = batches.explode_batches(parsed.select("b.*"))
+    requests = fx.logs(spark, sf_dir).select(request.alias("value"))
+    rows = batches.explode_batches(parse.parse_batches(requests))
     return rows.select(
         "batch_id",
         F.substring_index("trace_id", "-", -1).cast("bigint").alias("event_id"),

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logstream import model
 from logstream.operators.alerts import high_priority, to_alerts
-from logstream.operators.features import add_stream_features
 from logstream.operators.parse import drop_incomplete, parse_logs
 from logstream.operators.rules import detect_v1, detect_v2, detect_v3
 from logstream.operators.stats import live_counters, window_stats
@@ -60,7 +59,7 @@ class StreamConfig:
 
 def detected_logs(envelope: DataFrame) -> DataFrame:
     """Envelope to scored records: parse, drop what has no time, features, rules."""
-    return detect_v3(add_stream_features(drop_incomplete(parse_logs(envelope))))
+    return detect_v3(drop_incomplete(parse_logs(envelope)))
 
 
 def open_source(spark: SparkSession, config: StreamConfig) -> DataFrame:
