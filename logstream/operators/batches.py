@@ -11,31 +11,28 @@ from logstream import model
 from logstream.operators.validate import apply_defaults, is_valid
 
 # Ids of the largest refused batches, dropped before the shuffle. Once they are
-# gone no batch id holds more than a thousandth of the rows.
+# gone no refused batch holds more than a thousandth of the rows.
 LARGEST_REFUSED = 1000
 
 
-def accept_batches(df: DataFrame) -> DataFrame:
-    """Rows of the batches with 1..10000 entries that are all valid.
+def accept_batches(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:
+    """Rows of the batches with 1..``most`` entries that are all valid.
 
     Rows without a ``batch_id`` belong to no batch and are left out; they are
     single entries. An accepted batch is small by definition, so only a refused
-    one can be a hot key: the largest of those leave by a broadcast of at most
-    1000 ids, and the rest by the semi join.
+    one can be a hot key. The largest of those leave by a broadcast of at most
+    1000 ids, all others by the semi join; both look at the same sizes, which
+    are counted once.
     """
     tagged = df.where(F.col("batch_id").isNotNull())
     sizes = tagged.groupBy("batch_id").agg(
         F.count("*").alias("entries"), F.every(is_valid()).alias("all_valid")
     )
-    accepted = sizes.where((F.col("entries") <= model.MAX_BATCH) & F.col("all_valid"))
-    oversized = (
-        sizes.where(F.col("entries") > model.MAX_BATCH)
-        .orderBy(F.desc("entries"))
-        .limit(LARGEST_REFUSED)
-    )
-    return tagged.join(F.broadcast(oversized.select("batch_id")), "batch_id", "left_anti").join(
-        accepted.select("batch_id"), "batch_id", "left_semi"
-    )
+    good = (F.col("entries") <= most) & F.col("all_valid")
+    accepted = sizes.where(good).select("batch_id")
+    refused = sizes.where(~good).orderBy(F.desc("entries")).limit(LARGEST_REFUSED)
+    rest = tagged.join(F.broadcast(refused.select("batch_id")), "batch_id", "left_anti")
+    return rest.join(accepted, "batch_id", "left_semi")
 
 
 def batch_outcome(df: DataFrame) -> DataFrame:

@@ -118,11 +118,16 @@ def detect_v3(
     and ``severity``. Every word is looked for once per row, in a message that
     is lower-cased once, and a later filter on the results repeats none of it.
     """
-    ruled = lowered_stream_features(df).withColumn("matched_rule", first_rule(rules))
-    ruled = pinned(ruled.drop(LOWERED), *FEATURE_WORDS.values(), "matched_rule")
-    return ruled.withColumns(
+    scored = (
+        lowered_stream_features(df)
+        .withColumn("matched_rule", first_rule(rules))
+        .withColumn("anomaly_score", first_score(scores, default_score))
+        .drop(LOWERED)
+    )
+    kept = pinned(scored, *FEATURE_WORDS.values(), "matched_rule", "anomaly_score")
+    return kept.withColumns(
         {
             "is_anomaly": F.col("matched_rule").isNotNull(),
-            "anomaly_score": first_score(scores, default_score),
+            "severity": codes.severity(F.col("anomaly_score")),
         }
-    ).withColumn("severity", codes.severity(F.col("anomaly_score")))
+    )

@@ -25,7 +25,11 @@ def is_flagged(df: DataFrame) -> Column:
 
 
 def as_of_time(df: DataFrame, as_of: Column | datetime | None) -> Column:
-    """The given time, or the newest event time as a scalar subquery."""
+    """The given time, or the newest event time of ``df`` as a scalar subquery.
+
+    The subquery reads ``df`` once more. Where that is costly, give the time, or
+    the newest time of the stored table as ``table.select(max).scalar()``.
+    """
     if as_of is None:
         return df.select(F.max("timestamp")).scalar()
     return as_of if isinstance(as_of, Column) else F.lit(as_of)

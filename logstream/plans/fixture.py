@@ -75,6 +75,11 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(*stored, derived)
 
 
+def newest(spark: SparkSession, sf_dir: str) -> Column:
+    """Time of the last event; reads one column of the table."""
+    return events(spark, sf_dir).select(F.max("ts")).scalar()
+
+
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with flag, score and severity, and the label."""
     return detect_v3(logs(spark, sf_dir)).withColumn("label", F.expr(LABEL))

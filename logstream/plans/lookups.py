@@ -107,7 +107,8 @@ def topics_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace_id, level, message
 FROM logs, (SELECT max("timestamp") AS now FROM logs) WHERE "timestamp" > now - INTERVAL 1 HOUR""")
 def recent_logs_by_service_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search.recent_by_service_minute(fx.logs(spark, sf_dir))
+    logs, now = fx.logs(spark, sf_dir), fx.newest(spark, sf_dir)
+    rows = search.recent_by_service_minute(logs, now)
     return rows.select("service", "minute_start", "timestamp", "trace_id", "level", "message")
 
 

@@ -100,7 +100,8 @@ FROM (SELECT service, any_value(now) AS now, count_if(in_hour) AS hour_logs,
         WHERE "timestamp" > now - INTERVAL 7 DAY)
     GROUP BY service)""")
 def platform_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = stats.platform_snapshot(fx.detected(spark, sf_dir), label="label")
+    now = fx.newest(spark, sf_dir)
+    row = stats.platform_snapshot(fx.detected(spark, sf_dir), now, label="label")
     flat = row.select("timestamp", "ingestion.*", "anomalies.*", "services.*")
     return flat.withColumns(
         {c: F.round(c, 9) for c in ("logs_per_second", "error_rate", "detection_accuracy")}

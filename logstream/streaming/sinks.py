@@ -29,12 +29,16 @@ class Sink:
     * ``values``: a folder of text files, one JSON value per line;
     * ``parquet``: a folder of Parquet files;
     * ``console``.
+
+    ``files`` is the number of files a micro-batch makes in a folder; without
+    it there is one per task that has rows.
     """
 
     kind: str
     location: str = ""
     topic: str = ""
     options: Mapping[str, str] = field(default_factory=dict)
+    files: int | None = None
 
     def kafka_options(self) -> dict[str, str]:
         return {
@@ -96,6 +100,7 @@ def write_batch(df: DataFrame, sink: Sink, batch_id: int) -> None:
     elif sink.kind == "kafka":
         rows.write.format("kafka").options(**sink.kafka_options()).save()
     else:
+        rows = rows.repartition(sink.files) if sink.files else rows
         target = f"{sink.location.rstrip('/')}/batch_id={batch_id}"
         rows.write.mode("overwrite").format(sink.format).options(**sink.options).save(target)
 
@@ -139,16 +144,19 @@ def write_latest(
     checkpoint: str,
     trigger: Mapping | None = None,
     name: str | None = None,
+    files: int = 8,
 ) -> StreamingQuery:
     """Window results in update mode, each micro-batch in folders of its own.
 
     The folders are ``window_day=/batch_id=``; a replayed batch replaces exactly
-    what it wrote before. Read with :func:`read_latest`.
+    what it wrote before. Read with :func:`read_latest`. However many tasks keep
+    the state, a batch makes at most ``files`` files per day.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         (
-            batch.withColumns(
+            batch.repartition(files, *STATS_KEY)
+            .withColumns(
                 {"window_day": F.to_date("window_start"), "batch_id": F.lit(batch_id)}
             )
             .write.mode("overwrite")
