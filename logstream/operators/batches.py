@@ -11,8 +11,11 @@ from logstream import model
 from logstream.operators.validate import apply_defaults, is_valid
 
 # Ids of the largest refused batches, dropped before the shuffle. Once they are
-# gone no refused batch holds more than a thousandth of the rows.
+# gone no refused batch holds more than a thousandth of the rows. The two limits
+# bound the broadcast to a megabyte at any size of the input; what they leave out
+# is refused by the semi join.
 LARGEST_REFUSED = 1000
+LONGEST_SHORT_ID = 256
 
 
 def accept_batches(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:
@@ -20,8 +23,8 @@ def accept_batches(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:
 
     Rows without a ``batch_id`` belong to no batch and are left out; they are
     single entries. An accepted batch is small by definition, so only a refused
-    one can be a hot key. The largest of those leave by a broadcast of at most
-    1000 ids, all others by the semi join; both look at the same sizes, which
+    one can be a hot key. The largest of those leave by a broadcast of a bounded
+    list of ids, all others by the semi join; both look at the same sizes, which
     are counted once.
     """
     tagged = df.where(F.col("batch_id").isNotNull())
@@ -30,7 +33,8 @@ def accept_batches(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:
     )
     good = (F.col("entries") <= most) & F.col("all_valid")
     accepted = sizes.where(good).select("batch_id")
-    refused = sizes.where(~good).orderBy(F.desc("entries")).limit(LARGEST_REFUSED)
+    short_id = F.length("batch_id") <= LONGEST_SHORT_ID
+    refused = sizes.where(~good & short_id).orderBy(F.desc("entries")).limit(LARGEST_REFUSED)
     rest = tagged.join(F.broadcast(refused.select("batch_id")), "batch_id", "left_anti")
     return rest.join(accepted, "batch_id", "left_semi")
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstream import model
+from logstream.operators.parse import drop_incomplete, parse_logs
 from logstream.plans import fixture as fx
 from logstream.plans.registry import query
+from logstream.plans.records import VALID_SQL
 from logstream.plans.statistics import rounded, window_sql
 from logstream.session import scratch
 from logstream.sources.lake import read_lake, write_lake, write_lake_stream
 from logstream.sources.streams import read_log_stream
-from logstream.operators.parse import drop_incomplete, parse_logs
 from logstream.streaming import jobs
 from logstream.streaming.sinks import ONCE, Sink, read_latest, write_stream
 
@@ -61,6 +63,7 @@ def _config(spark: SparkSession, sf_dir: str) -> jobs.StreamConfig:
         feeds=scratch(spark, "feeds"),
         checkpoints=scratch(spark, "checkpoints"),
         trigger=ONCE,
+        prefix=f"{uuid.uuid4().hex}-",
     )
 
 
@@ -153,3 +156,26 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint = scratch(spark, "checkpoint")
     write_stream(logs, sink, checkpoint, trigger=ONCE).awaitTermination()
     return spark.read.parquet(sink.location).select("offset", "partition", "trace_id")
+
+
+@query(f"""SELECT 'accepted' AS outcome, trace_id AS log_id, NULL AS reasons
+FROM arrived WHERE {VALID_SQL}
+UNION ALL
+SELECT 'quarantined', CASE WHEN event_id % 103 <> 0 THEN trace_id END,
+    CASE WHEN event_id % 103 = 0 THEN 'level,message,service' ELSE concat_ws(',',
+        CASE WHEN (level IN ('DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL')) IS NOT TRUE
+             THEN 'level' END,
+        CASE WHEN (length(message) BETWEEN 1 AND 10000) IS NOT TRUE THEN 'message' END) END
+FROM logs WHERE event_id % 103 = 0 OR NOT {VALID_SQL}""")
+def stream_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submitted records split into the raw feed and the quarantine by one query."""
+    config = _config(spark, sf_dir)
+    quarantine = Sink("parquet", scratch(spark, "quarantine"))
+    jobs.start_ingest(spark, config, quarantine).awaitTermination()
+    accepted = _values(spark, config.feed("raw").location, "log_id STRING")
+    refused = spark.read.parquet(quarantine.location)
+    return accepted.select(
+        F.lit("accepted").alias("outcome"), "log_id", F.lit(None).cast("string").alias("reasons")
+    ).union(
+        refused.select(F.lit("quarantined"), "trace_id", F.array_join("reasons", ","))
+    )

@@ -11,9 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logstream import model
 from logstream.operators.alerts import high_priority, to_alerts
+from logstream.operators.batches import ingest
 from logstream.operators.parse import drop_incomplete, parse_logs
 from logstream.operators.rules import detect_v1, detect_v2, detect_v3
 from logstream.operators.stats import live_counters, window_stats
+from logstream.operators.validate import validate
 from logstream.sources.streams import read_log_stream
 from logstream.streaming.sinks import Sink, every, fan_out, write_batch, write_latest, write_stream
 
@@ -30,6 +32,7 @@ class StreamConfig:
 
     ``feeds`` is a server list for Kafka sinks, or a folder. ``trigger``
     replaces the trigger of every query, as a test or a catch-up run needs.
+    ``prefix`` sets the query names of one configuration apart from another's.
     """
 
     source: str
@@ -43,6 +46,7 @@ class StreamConfig:
     console: bool = False
     trigger: Mapping | None = None
     watermark: str = "5 minutes"
+    prefix: str = ""
 
     def feed(self, name: str) -> Sink:
         topic = model.TOPICS[name]
@@ -53,6 +57,9 @@ class StreamConfig:
     def checkpoint(self, name: str) -> str:
         return f"{self.checkpoints.rstrip('/')}/{name}"
 
+    def name(self, query: str) -> str:
+        return f"{self.prefix}{query}"
+
     def paced(self, seconds: int) -> Mapping:
         return self.trigger or every(seconds)
 
@@ -73,6 +80,25 @@ def open_source(spark: SparkSession, config: StreamConfig) -> DataFrame:
     )
 
 
+def start_ingest(spark: SparkSession, config: StreamConfig, quarantine: Sink) -> StreamingQuery:
+    """Submitted records to the raw feed; those that break a rule go to quarantine.
+
+    The time of arrival stands in for a missing event time. A value that is not
+    JSON breaks the rules for the level, message and service.
+    """
+    submitted = parse_logs(open_source(spark, config)).withColumnRenamed("kafka_timestamp", "arrived")
+
+    def accepted(batch: DataFrame) -> DataFrame:
+        return ingest(batch, F.col("arrived")).select(*model.LOG_FIELDS, "log_id")
+
+    routes = {
+        "raw": (accepted, config.feed("raw")),
+        "quarantine": (lambda batch: validate(batch)[1], quarantine),
+    }
+    checkpoint, trigger = config.checkpoint("ingest"), config.paced(ALERT_SECONDS)
+    return fan_out(submitted, routes, checkpoint, trigger, config.name("ingest"))
+
+
 def start_alerts(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
     """Alerts, critical alerts and, if asked for, the console, from one read."""
     alerts = to_alerts(detected_logs(open_source(spark, config)))
@@ -83,7 +109,7 @@ def start_alerts(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
     if config.console:
         routes["console"] = (lambda rows: rows, Sink("console"))
     return fan_out(
-        alerts, routes, config.checkpoint("alerts"), config.paced(ALERT_SECONDS), "alerts"
+        alerts, routes, config.checkpoint("alerts"), config.paced(ALERT_SECONDS), config.name("alerts")
     )
 
 
@@ -94,7 +120,7 @@ def start_processed(spark: SparkSession, config: StreamConfig) -> StreamingQuery
         config.feed("processed"),
         config.checkpoint("processed"),
         trigger=config.paced(ALERT_SECONDS),
-        name="processed",
+        name=config.name("processed"),
     )
 
 
@@ -102,7 +128,7 @@ def start_stats(spark: SparkSession, config: StreamConfig, path: str) -> Streami
     """Sliding window statistics, upserted to a table at ``path``."""
     stats = window_stats(detected_logs(open_source(spark, config)), watermark=config.watermark)
     return write_latest(
-        stats, path, config.checkpoint("stats"), config.paced(STATS_SECONDS), "stats"
+        stats, path, config.checkpoint("stats"), config.paced(STATS_SECONDS), config.name("stats")
     )
 
 
@@ -115,7 +141,7 @@ def start_counters(spark: SparkSession, config: StreamConfig, path: str) -> Stre
         .foreachBatch(lambda batch, batch_id: write_batch(batch, table, batch_id))
         .option("checkpointLocation", config.checkpoint("counters"))
         .trigger(**config.paced(ALERT_SECONDS))
-        .queryName("counters")
+        .queryName(config.name("counters"))
         .start()
     )
 
@@ -150,12 +176,17 @@ def stop_all(queries: Mapping[str, StreamingQuery]) -> None:
 
 
 def run_until_stopped(spark: SparkSession, queries: Mapping[str, StreamingQuery]) -> None:
-    """Waits until any query ends or the user interrupts, then stops all.
+    """Waits until all queries have ended, one fails or the user interrupts; stops the rest.
 
     The error of a failed query is raised here.
     """
     try:
-        spark.streams.awaitAnyTermination()
+        while any(query.isActive for query in queries.values()):
+            spark.streams.awaitAnyTermination()
+            spark.streams.resetTerminated()
+        for query in queries.values():
+            if query.exception():
+                raise query.exception()
     except KeyboardInterrupt:
         pass
     finally:
@@ -184,5 +215,5 @@ def start_simple(
         raise ValueError(f"no simple detector version {version}")
     name = f"detector_v{version}"
     return write_stream(
-        found, sink or Sink("console"), config.checkpoint(name), trigger=trigger, name=name
+        found, sink or Sink("console"), config.checkpoint(name), trigger=trigger, name=config.name(name)
     )

@@ -214,7 +214,8 @@ def test_start_all_and_stop_all(spark, tmp_path, capfd):
         for query in queries.values():
             assert not query.isActive
         for _ in range(50):
-            if sum(r[2] == "stopped" for r in log.rows()) == 3:
+            ended = sum(r[2] == "stopped" for r in log.rows())
+            if ended == 3 and {r[0] for r in log.rows() if r[2] == "progress"} == set(queries):
                 break
             time.sleep(0.2)
     finally:
@@ -226,6 +227,24 @@ def test_start_all_and_stop_all(spark, tmp_path, capfd):
     assert not log.rows() and spark.read.parquet(str(tmp_path / "progress")).count() >= 3
 
 
+def test_a_failing_query_is_reported_and_the_others_stop(spark, tmp_path):
+    values_file(tmp_path / "in", "a.json", [{"timestamp": at()}])
+    waiting = jobs.StreamConfig("text", str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c"))
+
+    def fail(batch, batch_id):
+        raise RuntimeError("sink is gone")
+
+    source = streams.read_log_stream(spark, "text", str(tmp_path / "in"))
+    queries = {
+        "processed": jobs.start_processed(spark, waiting),
+        "broken": source.writeStream.foreachBatch(fail).option("checkpointLocation", str(tmp_path / "b")).start(),
+    }
+    with pytest.raises(Exception, match="sink is gone"):
+        jobs.run_until_stopped(spark, queries)
+    assert not any(query.isActive for query in queries.values())
+    spark.streams.resetTerminated()
+
+
 def test_a_failed_start_stops_the_others(spark, tmp_path, monkeypatch):
     values_file(tmp_path / "in", "a.json", [{"timestamp": at()}])
 
