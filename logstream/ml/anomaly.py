@@ -19,8 +19,8 @@ from logstream.operators.evaluate import confusion_matrix
 from logstream.operators.features import feature_engineering
 from logstream.operators.split import hash_split
 
-# Accuracy of the quantile behind the threshold: rank error of 1 / QUANTILE_ACCURACY.
-QUANTILE_ACCURACY = 10_000
+# Rank error of the quantile behind the threshold.
+QUANTILE_ERROR = 0.0005
 
 
 def scaling_stages() -> list:
@@ -120,16 +120,18 @@ def train_anomaly_model(
     try:
         train, test = hash_split(features)
         model = cluster_pipeline(k, seed).fit(train)
-        on_train = assign_clusters(train, model).agg(
-            F.count("*").alias("used"),
-            F.percentile_approx("distance", quantile, QUANTILE_ACCURACY).alias("threshold"),
+        clusters = model.stages[-1].summary
+        # Merges its summaries as a tree, where an aggregate would merge those
+        # of all tasks in one.
+        (threshold,) = assign_clusters(train, model).approxQuantile(
+            "distance", [quantile], QUANTILE_ERROR
         )
-        used, threshold = on_train.first()
+        used = sum(clusters.clusterSizes)
         assigned = assign_clusters(test, model)
         metrics = {
             "training_records": float(used),
             "skipped_records": float(train.count() - used),
-            "training_cost": float(model.stages[-1].summary.trainingCost),
+            "training_cost": float(clusters.trainingCost),
             "threshold": float(threshold),
             "silhouette_score": float(silhouette(assigned)),
         }

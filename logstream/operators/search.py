@@ -47,9 +47,30 @@ def matching(
     return df
 
 
+def newest(df: DataFrame, limit: int, *ties: str) -> DataFrame:
+    """The ``limit`` newest rows, newest first; ``ties`` order rows after the trace id.
+
+    A first pass counts rows per minute, reading little more than the time, and
+    finds the minute that completes the limit. Only rows from then on are read
+    whole and sorted: a plain top-k would send ``limit`` rows of every task of
+    the scan to one task. The running count has a row per minute of history.
+    """
+    per_minute = df.groupBy(truncated(df, "minute").alias("minute")).agg(F.count("*").alias("n"))
+    seen = F.sum("n").over(W.orderBy(F.desc("minute")))
+    beginning = F.lit("0001-01-01 00:00:00").cast(df.schema["timestamp"].dataType)
+    cutoff = (
+        per_minute.where(F.col("minute").isNotNull())
+        .withColumn("seen", seen)
+        .where(F.col("seen") >= limit)
+        .agg(F.coalesce(F.max("minute"), beginning))
+        .scalar()
+    )
+    return df.where(F.col("timestamp") >= cutoff).orderBy(*_newest_first(), *ties).limit(limit)
+
+
 def search_logs(df: DataFrame, limit: int = 100, **filters) -> DataFrame:
     """The newest ``limit`` matches."""
-    return matching(df, **filters).orderBy(*_newest_first()).limit(check_limit(limit))
+    return newest(matching(df, **filters), check_limit(limit))
 
 
 def search_summary(df: DataFrame, **filters) -> DataFrame:
@@ -63,37 +84,45 @@ def search_summary(df: DataFrame, **filters) -> DataFrame:
     )
 
 
-def recent_anomalies(df: DataFrame, limit: int = 50) -> DataFrame:
-    """The latest groups of anomalies, one per service, severity and hour.
+def anomaly_groups(df: DataFrame) -> DataFrame:
+    """Anomalies per service, severity and hour.
 
-    The description is that of the newest anomaly in the group.
+    The description is that of the newest anomaly in the group. Hosts are
+    counted exactly in a table and approximately in a stream, where Spark has no
+    distinct counts.
     """
-    newest = F.max(F.struct("timestamp", "trace_id", description().alias("description")))
+    if df.isStreaming:
+        hosts = F.approx_count_distinct("host")
+    else:
+        hosts = F.countDistinct("host")
+    latest = F.max(F.struct("timestamp", "trace_id", description().alias("description")))
     grouped = (
         df.where("is_anomaly")
         .groupBy("service", "severity", truncated(df, "hour").alias("hour"))
         .agg(
-            newest.alias("newest"),
+            latest.alias("latest"),
             F.max("anomaly_score").alias("score"),
-            F.countDistinct("host").alias("affected_hosts"),
+            hosts.alias("affected_hosts"),
         )
     )
     anomaly_id = ids.digest(F.col("service"), F.col("severity"), stamp(F.col("hour")))
-    return (
-        grouped.select(
-            F.concat(F.lit("anom_"), anomaly_id).alias("id"),
-            F.col("newest.timestamp").alias("timestamp"),
-            "service",
-            "severity",
-            "score",
-            F.col("newest.description").alias("description"),
-            "affected_hosts",
-        )
-        .orderBy(F.desc("timestamp"), "service", "severity")
-        .limit(check_limit(limit))
+    return grouped.select(
+        F.concat(F.lit("anom_"), anomaly_id).alias("id"),
+        F.col("latest.timestamp").alias("timestamp"),
+        "service",
+        "severity",
+        "score",
+        F.col("latest.description").alias("description"),
+        "affected_hosts",
     )
 
 
+def recent_anomalies(df: DataFrame, limit: int = 50) -> DataFrame:
+    """The groups of anomalies with the latest records."""
+    order = (F.desc("timestamp"), "service", "severity")
+    return anomaly_groups(df).orderBy(*order).limit(check_limit(limit))
+
+
 def live_feed(
     processed: DataFrame,
     alerts: DataFrame,
@@ -124,7 +153,7 @@ def live_feed(
     feed = matching(feed, service=service, level=level)
     if limit is None:
         return feed
-    return feed.orderBy(*_newest_first(), "alert_id").limit(limit)
+    return newest(feed, limit, "alert_id")
 
 
 def recent_by_service_minute(
@@ -144,15 +173,21 @@ def recent_by_service_minute(
     )
 
 
+# Spark cuts a group to its first rows before the shuffle up to this many.
+MAX_PER_GROUP = 1000
+
+
 def newest_per_group(df: DataFrame, group: list[str], n: int) -> DataFrame:
     """The ``n`` newest rows of each group, with their ``position``.
 
-    Spark keeps only ``n`` rows per group and task before the shuffle.
+    Every task keeps ``n`` rows per group before the shuffle, so a group that
+    holds a third of the table does not meet in one task.
     """
+    check_limit(n, MAX_PER_GROUP)
     order = W.partitionBy(*group).orderBy(*_newest_first())
     return df.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
 
 
 def top_anomalies(df: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` newest anomalies of each service."""
-    return newest_per_group(df.where("is_anomaly"), ["service"], check_limit(n))
+    return newest_per_group(df.where("is_anomaly"), ["service"], n)

@@ -64,9 +64,13 @@ def test_a_stored_table_gets_all_search_filters(spark, sf_dir, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "logs"))
     found = search.search_logs(stored, service="auth-service", level="ERROR", start=datetime(2024, 1, 5))
     details = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
-    pushed = re.search(r"PushedFilters: \[(.*?)\]\n", details).group(1)
-    for part in ("EqualTo(service,auth-service)", "EqualTo(level,ERROR)", "GreaterThanOrEqual(timestamp"):
+    rows, counted = details.split("===== Subqueries =====")
+    pushed = re.search(r"PushedFilters: \[(.*?)\]\n", rows).group(1)
+    for part in ("EqualTo(service,auth-service)", "EqualTo(level,ERROR)", "GreaterThanOrEqual(timestamp,2024"):
         assert part in pushed
+    # The minute to start from is found on three columns, and reaches the scan too.
+    assert "GreaterThanOrEqual(timestamp,ScalarSubquery" in pushed
+    assert "ReadSchema: struct<timestamp:timestamp_ntz,level:string,service:string>" in counted
 
 
 def test_json_is_parsed_once(spark, sf_dir):

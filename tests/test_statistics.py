@@ -150,6 +150,25 @@ def test_search_bounds(log):
             search.search_logs(df, limit=limit)
 
 
+@pytest.mark.parametrize("limit", [1, 7, 40, 200, 500])
+def test_newest_is_the_sorted_head(spark, limit):
+    """Many rows share a minute or even a time; some hours are empty."""
+    df = spark.range(200).select(
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id % 7 as int), "
+               "cast(id % 3 as int), id % 2)").alias("timestamp"),
+        F.format_string("t%03d", F.col("id")).alias("trace_id"),
+    )
+    found = [r.trace_id for r in search.newest(df, limit).collect()]
+    order = sorted(df.collect(), key=lambda r: r.trace_id)
+    order = sorted(order, key=lambda r: r.timestamp, reverse=True)
+    assert found == [r.trace_id for r in order][:limit]
+
+
+def test_per_group_limit_is_bounded(log):
+    with pytest.raises(ValueError):
+        search.top_anomalies(detect_v3(log({})), 1001)
+
+
 def test_recent_anomalies(log):
     rows = [
         {"level": "FATAL", "host": "a", "message": "first", "trace_id": "1"},
