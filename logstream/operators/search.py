@@ -156,23 +156,6 @@ def live_feed(
     return newest(feed, limit, "alert_id")
 
 
-def recent_by_service_minute(
-    df: DataFrame, as_of: Column | datetime | None = None, ttl: str = "1 hour"
-) -> DataFrame:
-    """Records younger than ``ttl``, listed per service and minute, newest first.
-
-    The list order is a range sort that ends in the trace id, so one busy
-    service and minute is spread over many tasks.
-    """
-    now = as_of_time(df, as_of)
-    ts = F.col("timestamp")
-    return (
-        df.where((ts > now - F.expr(f"INTERVAL {ttl}")) & (ts <= now))
-        .withColumn("minute_start", truncated(df, "minute"))
-        .orderBy("service", "minute_start", *_newest_first())
-    )
-
-
 # Spark cuts a group to its first rows before the shuffle up to this many.
 MAX_PER_GROUP = 1000
 
@@ -191,3 +174,25 @@ def newest_per_group(df: DataFrame, group: list[str], n: int) -> DataFrame:
 def top_anomalies(df: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` newest anomalies of each service."""
     return newest_per_group(df.where("is_anomaly"), ["service"], n)
+
+
+def recent_by_service_minute(
+    df: DataFrame,
+    as_of: Column | datetime | None = None,
+    ttl: str = "1 hour",
+    latest: int | None = None,
+) -> DataFrame:
+    """Records younger than ``ttl``, listed per service and minute, newest first.
+
+    The list order is a range sort that ends in the trace id, so one busy
+    service and minute is spread over many tasks. With ``latest`` each list is
+    cut to that many records, which carry their ``position``.
+    """
+    now = as_of_time(df, as_of)
+    ts = F.col("timestamp")
+    recent = df.where((ts > now - F.expr(f"INTERVAL {ttl}")) & (ts <= now)).withColumn(
+        "minute_start", truncated(df, "minute")
+    )
+    if latest is not None:
+        recent = newest_per_group(recent, ["service", "minute_start"], latest)
+    return recent.orderBy("service", "minute_start", *_newest_first())

@@ -112,6 +112,18 @@ def recent_logs_by_service_minute(spark: SparkSession, sf_dir: str) -> DataFrame
     return rows.select("service", "minute_start", "timestamp", "trace_id", "level", "message")
 
 
+@query("""SELECT service, minute_start, CAST(position AS INT) AS position, trace_id
+FROM (SELECT *, date_trunc('minute', "timestamp") AS minute_start, row_number() OVER (
+        PARTITION BY service, minute_start ORDER BY "timestamp" DESC, trace_id) AS position
+    FROM logs, (SELECT max("timestamp") AS now FROM logs) WHERE "timestamp" > now - INTERVAL 7 DAY)
+WHERE position <= 100""")
+def latest_logs_by_service_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest hundred records of every service and minute of the last week."""
+    logs, now = fx.logs(spark, sf_dir), fx.newest(spark, sf_dir)
+    rows = search.recent_by_service_minute(logs, now, ttl="7 days", latest=100)
+    return rows.select("service", "minute_start", "position", "trace_id")
+
+
 @query("""SELECT service, CAST(position AS INT) AS position, "timestamp", trace_id, severity
 FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY "timestamp" DESC, trace_id)
     AS position FROM scored WHERE is_anomaly) WHERE position <= 5""")

@@ -35,10 +35,21 @@ def write_lake(df: DataFrame, root: str, mode: str = "append") -> None:
 
 
 def write_lake_stream(
-    df: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, name: str | None = None
+    df: DataFrame,
+    root: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    name: str | None = None,
+    files: int | None = None,
 ) -> StreamingQuery:
-    """The same layout from a stream, each row written once."""
-    writer = with_day_parts(df).writeStream.outputMode("append").format("parquet")
+    """The same layout from a stream, each row written once.
+
+    ``files`` bounds the files a micro-batch makes per day; without it there is
+    one per task.
+    """
+    parted = with_day_parts(df)
+    parted = parted.repartition(files) if files else parted
+    writer = parted.writeStream.outputMode("append").format("parquet")
     writer = writer.option("path", root).option("checkpointLocation", checkpoint)
     writer = writer.partitionBy(*DAY_PARTS).trigger(**(trigger or {"processingTime": "10 seconds"}))
     return (writer.queryName(name) if name else writer).start()

@@ -30,8 +30,8 @@ class Sink:
     * ``parquet``: a folder of Parquet files;
     * ``console``.
 
-    ``files`` is the number of files a micro-batch makes in a folder; without
-    it there is one per task that has rows.
+    ``files`` is the number of files a micro-batch makes in a folder; without it
+    there is one per task.
     """
 
     kind: str
@@ -61,7 +61,8 @@ class Sink:
 
     def shape(self, df: DataFrame) -> DataFrame:
         """Topics and value files hold JSON; the other kinds hold columns."""
-        return as_values(df) if self.kind in ("kafka", "values") else df
+        rows = as_values(df) if self.kind in ("kafka", "values") else df
+        return rows.repartition(self.files) if self.files else rows
 
 
 def write_stream(
@@ -100,7 +101,6 @@ def write_batch(df: DataFrame, sink: Sink, batch_id: int) -> None:
     elif sink.kind == "kafka":
         rows.write.format("kafka").options(**sink.kafka_options()).save()
     else:
-        rows = rows.repartition(sink.files) if sink.files else rows
         target = f"{sink.location.rstrip('/')}/batch_id={batch_id}"
         rows.write.mode("overwrite").format(sink.format).options(**sink.options).save(target)
 

@@ -186,6 +186,8 @@ def test_recent_by_service_minute(log):
     rows = [{"timestamp": after(minutes=m, seconds=s), "trace_id": f"{m}.{s}"} for m in (0, 1, 61) for s in (0, 5)]
     listed = search.recent_by_service_minute(log(*rows), after(minutes=61, seconds=2))
     assert [r.trace_id for r in listed.collect()] == ["1.5", "61.0"]
+    cut = search.recent_by_service_minute(log(*rows), after(minutes=62), "2 hours", latest=1)
+    assert [(r.trace_id, r.position) for r in cut.collect()] == [("0.5", 1), ("1.5", 1), ("61.5", 1)]
     by_default = search.recent_by_service_minute(log(*rows))
     assert [r.trace_id for r in by_default.collect()] == ["61.5", "61.0"]
 

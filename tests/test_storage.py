@@ -195,7 +195,7 @@ def test_features_on_a_stream(spark, tmp_path):
 def test_lake_from_a_stream(spark, tmp_path):
     values_file(tmp_path / "in", "a.json", [{"timestamp": at(days=d)} for d in range(2)])
     logs = drop_incomplete(parse_logs(streams.read_log_stream(spark, "text", str(tmp_path / "in"))))
-    lake.write_lake_stream(logs, str(tmp_path / "lake"), str(tmp_path / "c"), ONCE, "lake").awaitTermination()
+    lake.write_lake_stream(logs, str(tmp_path / "lake"), str(tmp_path / "c"), ONCE, "lake", files=1).awaitTermination()
     assert lake.read_lake(spark, str(tmp_path / "lake"), date(2024, 1, 4), date(2024, 1, 4)).count() == 1
 
 
