@@ -17,7 +17,8 @@ def code(name: Column, codes: Mapping[str, int], default: int) -> Column:
 
 def band(score: Column, floors: Sequence[tuple[str, float]], lowest: str) -> Column:
     """The first band, from the top, whose floor the score reaches."""
-    return F.coalesce(*[F.when(score >= F.lit(floor), name) for name, floor in floors], F.lit(lowest))
+    reached = [F.when(score >= F.lit(floor), name) for name, floor in floors]
+    return F.coalesce(*reached, F.lit(lowest))
 
 
 def level_code(level: Column) -> Column:

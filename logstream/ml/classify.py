@@ -47,7 +47,9 @@ def _feature_stages(one_hot: bool) -> list:
         return [VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")]
     columns = [c for c in fixed.CLASSIFIER_FEATURES if c != "service_encoded"]
     return [
-        OneHotEncoder(inputCols=["service_encoded"], outputCols=["service_vector"]),
+        OneHotEncoder(
+            inputCols=["service_encoded"], outputCols=["service_vector"], handleInvalid="keep"
+        ),
         VectorAssembler(
             inputCols=[*columns, "service_vector"], outputCol="features", handleInvalid="skip"
         ),
@@ -85,23 +87,29 @@ def train_level_classifier(
 
     ``rf`` is a random forest over all levels. ``gbt`` knows two classes, and
     tells the ``is_anomaly`` label instead. ``grid`` names estimator parameters
-    and the values to try. Records without a label are left out.
+    and the values to try. Records without a label are left out; a level outside
+    the accepted five is none, which also bounds what the label index holds.
     """
-    target = {"rf": "level", "gbt": "is_anomaly"}[estimator]
     if estimator == "rf":
-        label = StringIndexer(
+        target, label = "level", F.col("level")
+        known = label.isin(*fixed.LEVEL_CODES)
+        index = StringIndexer(
             inputCol="level", outputCol="label", handleInvalid="skip", stringOrderType="alphabetAsc"
         )
+        label_stages = [index]
         classifier = RandomForestClassifier(labelCol="label", featuresCol="features", seed=seed)
-        label_stages = [label]
-    else:
-        classifier = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, maxIter=10)
+    elif estimator == "gbt":
+        target, label = "is_anomaly", F.col("is_anomaly").cast("double").alias("label")
+        known = F.col("is_anomaly").isNotNull()
         label_stages = []
-    named = feature_engineering(df).where(F.col(target).isNotNull())
-    columns = ["trace_id", F.col(target), *fixed.CLASSIFIER_FEATURES]
-    if estimator == "gbt":
-        columns[1] = F.col(target).cast("double").alias("label")
-    features = named.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+        classifier = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, maxIter=10)
+    else:
+        raise ValueError(f"unknown estimator {estimator!r}: rf or gbt")
+    features = (
+        feature_engineering(df.where(known))
+        .select("trace_id", label, *fixed.CLASSIFIER_FEATURES)
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     try:
         train, test = hash_split(features)
         pipeline = Pipeline(stages=[*label_stages, *_feature_stages(one_hot), classifier])

@@ -1,8 +1,9 @@
 """Rule-based anomaly detectors.
 
 A rule is data: a name and a SQL condition over the log columns, the stream
-features and the lower-cased message. Conditions become plain Spark expressions, so a rule table runs inside
-the generated code of the scan's stage, on batch tables and streams alike.
+features, ``lower_message`` and ``has_memory_text``. Conditions become plain
+Spark expressions, so a rule table runs inside the generated code of the scan's
+stage, on batch tables and streams alike.
 """
 
 from __future__ import annotations
@@ -40,15 +41,16 @@ class Rule:
 
 ERROR_LEVELS_SQL = "level IN ('ERROR', 'FATAL')"
 
-# Words that already are features are tested once, as features.
+# Words that are features or serve flag and score are tested once, as columns.
 FEATURE_WORDS = {"exception": "has_exception", "timeout": "has_timeout", "failed": "has_failed"}
 FEATURE_WORDS_SQL = " OR ".join(f"{flag} = 1" for flag in FEATURE_WORDS.values())
+HAS_MEMORY_TEXT = "has_memory_text"
 OTHER_FAILURE_WORDS = [word for word in model.FAILURE_WORDS if word not in FEATURE_WORDS]
 
 # What flags a record, most telling first.
 FLAG_RULES = (
     Rule("fatal_level", "level = 'FATAL'"),
-    Rule("memory_text", has_word(model.MEMORY_WORDS)),
+    Rule("memory_text", HAS_MEMORY_TEXT),
     Rule("crash_text", has_word(model.CRASH_WORDS)),
     Rule("failure_text", f"{FEATURE_WORDS_SQL} OR {has_word(OTHER_FAILURE_WORDS)}"),
     Rule("very_long_message", f"message_length > {model.VERY_LONG_MESSAGE}"),
@@ -59,10 +61,10 @@ FLAG_RULES = (
 )
 
 # What a record scores, independent of the flag: an unflagged record may score
-# high and a flagged one low. Conditions may use the rule that flagged it.
+# high and a flagged one low.
 SCORE_RULES = (
     Rule("fatal_level", "level = 'FATAL'", 1.0),
-    Rule("memory_text", "matched_rule = 'memory_text'", 0.95),
+    Rule("memory_text", HAS_MEMORY_TEXT, 0.95),
     Rule("error_level", "level = 'ERROR'", 0.8),
     Rule("exception_text", "has_exception = 1", 0.7),
     Rule("timeout_text", "has_timeout = 1", 0.6),
@@ -120,9 +122,14 @@ def detect_v3(
     """
     scored = (
         lowered_stream_features(df)
-        .withColumn("matched_rule", first_rule(rules))
-        .withColumn("anomaly_score", first_score(scores, default_score))
-        .drop(LOWERED)
+        .withColumn(HAS_MEMORY_TEXT, text.holds(F.col(LOWERED), model.MEMORY_WORDS))
+        .withColumns(
+            {
+                "matched_rule": first_rule(rules),
+                "anomaly_score": first_score(scores, default_score),
+            }
+        )
+        .drop(LOWERED, HAS_MEMORY_TEXT)
     )
     kept = pinned(scored, *FEATURE_WORDS.values(), "matched_rule", "anomaly_score")
     return kept.withColumns(

@@ -29,6 +29,17 @@ def topic_throughput(env: DataFrame, width_seconds: int = 60) -> DataFrame:
     )
 
 
+def cluster_throughput(by_topic: DataFrame, width_seconds: int = 60) -> DataFrame:
+    """All topics together, by window, from the throughput by topic."""
+    return by_topic.groupBy("window_start").agg(
+        F.sum("messages").alias("messages"),
+        F.sum("bytes").alias("bytes"),
+        F.count("topic").alias("topics"),
+        (F.sum("messages") / width_seconds).alias("messages_per_sec"),
+        (F.sum("bytes") / width_seconds).alias("bytes_per_sec"),
+    )
+
+
 def consumer_lag(env: DataFrame, committed: DataFrame) -> DataFrame:
     """Records behind, per topic; ``committed`` is the next offset a group reads.
 

@@ -132,7 +132,8 @@ TOPIC_SQL = """(SELECT event_id, "timestamp", CAST(event_id % 6 AS INT) AS parti
 # the last partition was never committed.
 LAG_SQL = f"""SELECT topic, CAST(sum(CASE WHEN partition = 5 THEN last + 1
     ELSE least(last + 1, 1 + 30 * partition) END) AS BIGINT) AS consumer_lag
-FROM (SELECT topic, partition, max("offset") AS last FROM {TOPIC_SQL} GROUP BY ALL) GROUP BY topic"""
+FROM (SELECT topic, partition, max("offset") AS last FROM {TOPIC_SQL} GROUP BY ALL)
+GROUP BY topic"""
 
 
 def _committed(env: DataFrame) -> DataFrame:
@@ -156,6 +157,18 @@ def topic_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumns({c: F.round(c, 9) for c in ("messages_per_sec", "bytes_per_sec")})
 
 
+@query(f"""SELECT date_trunc('day', "timestamp") AS window_start, count(*) AS messages,
+    CAST(sum(strlen(topic)) AS BIGINT) AS bytes, count(DISTINCT topic) AS topics,
+    round(count(*) / 86400, 9) AS messages_per_sec,
+    round(sum(strlen(topic)) / 86400, 9) AS bytes_per_sec
+FROM {TOPIC_SQL} GROUP BY ALL""")
+def cluster_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    env = _flat_values(fx.topic_envelope(spark, sf_dir))
+    rates = topics.cluster_throughput(topics.topic_throughput(env, 86400), 86400)
+    rates = rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return rates.withColumns({c: F.round(c, 9) for c in ("messages_per_sec", "bytes_per_sec")})
+
+
 @query(LAG_SQL)
 def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     env = fx.topic_envelope(spark, sf_dir)

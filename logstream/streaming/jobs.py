@@ -86,7 +86,8 @@ def start_ingest(spark: SparkSession, config: StreamConfig, quarantine: Sink) ->
     The time of arrival stands in for a missing event time. A value that is not
     JSON breaks the rules for the level, message and service.
     """
-    submitted = parse_logs(open_source(spark, config)).withColumnRenamed("kafka_timestamp", "arrived")
+    parsed = parse_logs(open_source(spark, config))
+    submitted = parsed.withColumnRenamed("kafka_timestamp", "arrived")
 
     def accepted(batch: DataFrame) -> DataFrame:
         return ingest(batch, F.col("arrived")).select(*model.LOG_FIELDS, "log_id")
@@ -108,9 +109,8 @@ def start_alerts(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
     }
     if config.console:
         routes["console"] = (lambda rows: rows, Sink("console"))
-    return fan_out(
-        alerts, routes, config.checkpoint("alerts"), config.paced(ALERT_SECONDS), config.name("alerts")
-    )
+    checkpoint, trigger = config.checkpoint("alerts"), config.paced(ALERT_SECONDS)
+    return fan_out(alerts, routes, checkpoint, trigger, config.name("alerts"))
 
 
 def start_processed(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
@@ -215,5 +215,9 @@ def start_simple(
         raise ValueError(f"no simple detector version {version}")
     name = f"detector_v{version}"
     return write_stream(
-        found, sink or Sink("console"), config.checkpoint(name), trigger=trigger, name=config.name(name)
+        found,
+        sink or Sink("console"),
+        config.checkpoint(name),
+        trigger=trigger,
+        name=config.name(name),
     )
