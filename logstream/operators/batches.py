@@ -33,8 +33,8 @@ def accept_batches(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:
     )
     good = (F.col("entries") <= most) & F.col("all_valid")
     accepted = sizes.where(good).select("batch_id")
-    short_id = F.length("batch_id") <= LONGEST_SHORT_ID
-    refused = sizes.where(~good & short_id).orderBy(F.desc("entries")).limit(LARGEST_REFUSED)
+    largest = sizes.where(~good).orderBy(F.desc("entries")).limit(LARGEST_REFUSED)
+    refused = largest.where(F.length("batch_id") <= LONGEST_SHORT_ID)
     rest = tagged.join(F.broadcast(refused.select("batch_id")), "batch_id", "left_anti")
     return rest.join(accepted, "batch_id", "left_semi")
 

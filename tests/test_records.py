@@ -123,11 +123,11 @@ def test_defaults(log):
 
 
 def batch_rows(spark, log, sizes, bad=()):
-    records = [{"trace_id": f"{b}.{i}"} for b, n in sizes.items() for i in range(n)]
+    records = [{"span_id": f"{i}", "trace_id": f"{b}.{i}"} for b, n in sizes.items() for i in range(n)]
     for record in records:
         if record["trace_id"] in bad:
             record["level"] = "LOUD"
-    batch = F.split("trace_id", r"\.")[0]
+    batch = F.substring_index("trace_id", ".", 1)
     return log(*records).withColumn("batch_id", F.nullif(batch, F.lit("none")))
 
 
@@ -146,6 +146,13 @@ def test_accept_batches_beyond_the_broadcast_list(spark, log, monkeypatch):
     assert sorted({r.batch_id for r in batches.accept_batches(df, most=2).collect()}) == ["a", "e"]
 
 
+def test_long_batch_ids_are_left_to_the_join(spark, log):
+    long_id = "z" * 300
+    df = batch_rows(spark, log, {"a": 2, "b": 5}).replace("b", long_id, "batch_id")
+    assert {r.batch_id for r in batches.accept_batches(df, most=2).collect()} == {"a"}
+    assert {r.batch_id for r in batches.accept_batches(df, most=5).collect()} == {"a", long_id}
+
+
 def test_batch_outcome(spark, log):
     df = batch_rows(spark, log, {"a": 2, "b": 3, "none": 1}, bad=["b.0", "b.2"])
     found = {r.batch_id: (r.processed, r.failed, r.status) for r in batches.batch_outcome(df).collect()}
