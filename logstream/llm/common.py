@@ -11,17 +11,16 @@ from pyspark.sql import functions as F
 
 from logstream.session import scratch, use_utc
 
-# Rows per Arrow batch: long texts must not pile up in a Python worker.
+# Rows and bytes per Arrow batch: long texts must not pile up in a Python worker.
 BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 # Largest table that is broadcast, in rows; beyond it the plain join is used.
 BROADCAST_ROWS = 100_000
 
 # The two kinds of words, as translations of bytes; ``split()`` does the rest.
 # White space: [\x20\x09-\x0D]. Other words: anything but 0-9, a-z and non-ASCII.
 LOWER = bytes(range(256)).lower()
-ALNUM = bytes(
-    c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in LOWER
-)
+ALNUM = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in LOWER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return use_utc(spark)
 
 

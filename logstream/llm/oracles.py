@@ -94,3 +94,52 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM payloads JOIN firsts USING (hex)
 """
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id,
+    array_to_string(words[i : i + least(len(words), 5) - 1], ' ') AS shingle
+  FROM docs, unnest(range(1, len(words) - least(len(words), 5) + 2)) AS u(i)
+  WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have
+  FROM shingles AS a JOIN shingles AS b USING (shingle) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM shared JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b
+  WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+reached AS (
+  SELECT a AS doc_id, b AS other FROM links
+  UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other),
+roots AS (SELECT doc_id, min(other) AS smallest FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles,
+  least(doc_id, coalesce(smallest, doc_id)) AS component_id,
+  least(doc_id, coalesce(smallest, doc_id)) = doc_id AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
+"""
+
+# Marks of the chat template, and anything like one of its control strings.
+_LIKE_CONTROL = (
+    r"<\\*<SYS>>|<\\*</SYS>>|\[\\*INST\]|\[\\*/INST\]|<\\*s>|<\\*/s>|\[\\*TURN\]|\[\\*/TURN\]|\[\\*AS\]"
+)
+
+CHAT = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(body)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(body, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(body) + len(regexp_extract_all(body, '{_LIKE_CONTROL}'))
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+      ELSE 17 + length(role) + len(regexp_extract_all(role, '{_LIKE_CONTROL}')) END) AS BIGINT)
+    AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstream.llm.common import join_sized, map_batches, text_or_empty
+from logstream.llm.common import join_sized, map_batches, stored, text_or_empty
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -139,7 +139,8 @@ def judge(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> D
     Rows without a host are judged by their own text alone. Repeated rows are judged each,
     and an empty table gives no rows. Other columns are not read.
     """
-    rules = measured(docs, host, limits)
+    # Texts are read once: what follows needs the measures alone.
+    rules = stored(measured(docs, host, limits), "measures")
     rejected = host_verdicts(rules, limits).filter("rejected").select("host", F.lit(True).alias("bad"))
     judged = join_sized(rules, rejected, "host", "left")
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("bad").isNull()).drop("bad")
@@ -150,7 +151,7 @@ def keep_good(docs: DataFrame, host: str = "source", limits: Limits = Limits())
 
     The text is read again rather than shuffled: only the verdicts on hosts travel.
     """
-    rules = measured(docs, host, limits)
+    rules = stored(measured(docs, host, limits), "measures")
     rejected = host_verdicts(rules, limits).filter("rejected").select(F.col("host").alias("_host"))
     named = docs.withColumn("_host", F.col(host).cast("string"))
     allowed = join_sized(named, rejected, "_host", "left_anti").drop("_host")

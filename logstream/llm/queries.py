@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from logstream.llm import decontaminate, oracles, pii, quality, token_files, warc
-from logstream.llm.common import fresh_folder, table
+from pyspark.sql import functions as F
+
+from logstream.llm import (
+    byte_bpe,
+    chat,
+    decontaminate,
+    licenses,
+    near_dedup,
+    oracles,
+    passages,
+    pii,
+    quality,
+    token_files,
+    warc,
+)
+from logstream.llm.common import fresh_folder, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
 WORD_VOCABULARY = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
 
 
@@ -25,6 +39,10 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("host")
 
 
+def op3_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -32,6 +50,10 @@ def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+def op5_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "warc")
     index = warc.write(table(spark, sf_dir, "pages"), folder)
@@ -42,18 +64,53 @@ def op9_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op6_round_trip_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that speaks in control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.digests(stored(chat.format_turns(rows.unionByName(odd)), "chat"))
+
+
+def op7_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the bytes they decode to, as digests."""
+    path = f"{TOKENIZERS}/{BYTE_RANKS}"
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path)
+    return byte_bpe.decode(encoded, path).select(
+        "doc_id",
+        "n_tokens",
+        byte_bpe.sha256("ids").alias("ids_sha256"),
+        byte_bpe.sha256("decoded").alias("decoded_sha256"),
+    )
+
+
+def op10_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in (
         op1_token_files,
         op2_host_quality,
+        op3_chained_passages,
         op4_wu_manber,
+        op5_bayesian_minhash,
+        op6_round_trip_chat,
+        op7_distinct_word_bpe,
         op8_seekable_warc,
         op9_checked_pii,
+        op10_diagonal_licenses,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_host_quality": oracles.QUALITY,
     "op4_wu_manber": oracles.DECONTAMINATION,
+    "op5_bayesian_minhash": oracles.NEAR_DEDUP,
+    "op6_round_trip_chat": oracles.CHAT,
     "op8_seekable_warc": oracles.WARC,
 }
