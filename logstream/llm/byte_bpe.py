@@ -18,7 +18,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,19 +107,20 @@ class Numbers(dict):
         return number
 
 
-def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """doc_ids and texts, a bounded number at a time."""
-    ids, texts, size = [], [], 0
+def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
+    """Partition, doc_ids and texts, a bounded number at a time."""
+    ids, texts, size, part = [], [], 0, 0
     for batch in batches:
+        part = batch.column("part")[0].as_py() if batch.num_rows else part
         for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
             ids.append(doc_id)
             texts.append(text)
             size += len(text)
             if len(ids) >= PACK_DOCS or size >= PACK_CHARS:
-                yield ids, texts
+                yield part, ids, texts
                 ids, texts, size = [], [], 0
     if ids:
-        yield ids, texts
+        yield part, ids, texts
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -128,9 +128,8 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
     The cuts follow from the rows' order alone, so that every pass over a file makes the same.
     """
-    part, made = TaskContext.get().partitionId(), 0
-    numbers, tokens = Numbers(), 0
-    for doc_ids, texts in packs(batches):
+    numbers, tokens, made = Numbers(), 0, 0
+    for part, doc_ids, texts in packs(batches):
         words, counts = pre_tokens(texts)
         found = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
         yield (part << 20) | made, numbers, doc_ids, counts, found
@@ -280,7 +279,12 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     (else the job fails rather than mix up words). A NULL or empty text has no ids, repeated
     rows are encoded each, an empty table gives no rows, and other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_or_empty(),
+        # The partition of the scan, whatever stands above it.
+        F.spark_partition_id().alias("part"),
+    )
     parts = encoded_words(distinct_words(rows), vocabulary).unionByName(positions(rows))
     # A block's words come before its documents.
     ordered = parts.repartition("block").sortWithinPartitions(
@@ -306,6 +310,8 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if words is None and parts:
                 words, parts = Words(parts), []
             if words is None:
+                if len(found):
+                    raise ValueError("a block without its words")
                 # Empty documents alone.
                 out += [(doc_id, 0, b"") for doc_id in doc_ids]
                 continue

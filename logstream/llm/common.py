@@ -88,5 +88,5 @@ def join_sized(
 
 
 def attempt_name(prefix: str) -> str:
-    """A file name no other attempt of the same task uses."""
+    """A name that nothing else has: no other attempt of a task, no column of a table."""
     return f"{prefix}-{uuid.uuid4().hex}"

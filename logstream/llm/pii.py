@@ -192,7 +192,10 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of the text replaced by its kind. A NULL text stays NULL."""
+    """``docs`` with every span of the text replaced by its kind. A NULL text stays NULL.
+
+    A column ``n_chars`` is set to the length of the new text.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [
@@ -203,4 +206,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return batch.set_column(place, batch.schema.field(place), pa.array(texts, pa.string()))
 
     changed = map_batches(docs, run, docs.schema)
-    return changed
+    if "n_chars" not in docs.columns:
+        return changed
+    length = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return changed.withColumn("n_chars", length)

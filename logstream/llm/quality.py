@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstream.llm.common import join_sized, map_batches, stored, text_or_empty
+from logstream.llm.common import attempt_name, join_sized, map_batches, stored, text_or_empty
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -152,10 +152,11 @@ def keep_good(docs: DataFrame, host: str = "source", limits: Limits = Limits())
     The text is read again rather than shuffled: only the verdicts on hosts travel.
     """
     rules = stored(measured(docs, host, limits), "measures")
-    rejected = host_verdicts(rules, limits).filter("rejected").select(F.col("host").alias("_host"))
-    named = docs.withColumn("_host", F.col(host).cast("string"))
-    allowed = join_sized(named, rejected, "_host", "left_anti").drop("_host")
-    names = allowed.columns
+    # A name that no column of the documents has.
+    key = attempt_name("host")
+    rejected = host_verdicts(rules, limits).filter("rejected").select(F.col("host").alias(key))
+    named = docs.withColumn(key, F.col(host).cast("string"))
+    allowed = join_sized(named, rejected, key, "left_anti").select(*docs.columns)
 
     def passing(batches):
         for batch in batches:
@@ -163,7 +164,7 @@ def keep_good(docs: DataFrame, host: str = "source", limits: Limits = Limits())
             mask = pa.array([_passes(text or "", limits) for text in texts], pa.bool_())
             yield batch.filter(mask)
 
-    return allowed.mapInArrow(passing, allowed.schema).select(*names)
+    return allowed.mapInArrow(passing, allowed.schema)
 
 
 def _passes(text: str, limits: Limits) -> bool:
