@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 import check
+from logstream.plans import registry
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 TRAINS = {
     "cluster_sizes", "model_scores", "anomaly_model_metrics", "level_classifier",
     "level_classifier_one_hot", "level_classifier_tuned", "anomaly_classifier",
