@@ -29,6 +29,8 @@ from logstream.llm.common import attempt_name
 # Unpacked bytes after which a frame ends, and packed bytes after which a bundle ends.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 30
+# Frames that a reading task unpacks, on average.
+TASK_FRAMES = 16
 LEVEL = 3
 RECORD_DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the seekable format.
@@ -259,9 +261,12 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             if arrays:
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    # Some hundred frames a task: a bundle is read by several.
-    run_of_frames = F.floor(F.col("frame") / 64)
-    placed = index.repartition("bundle", run_of_frames).sortWithinPartitions(
+    # Tasks by what the rows name, which is far more than the rows: TASK_FRAMES frames or so
+    # each. A bundle is read by several.
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]
+    tasks = 1 + total // (TASK_FRAMES * FRAME_BYTES)
+    run_of_frames = F.floor(F.col("frame") / TASK_FRAMES)
+    placed = index.repartition(tasks, "bundle", run_of_frames).sortWithinPartitions(
         "bundle", "frame", "offset"
     )
     return placed.mapInArrow(run, READ)
