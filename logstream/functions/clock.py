@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,13 @@ BUSINESS_HOURS = (9, 17)
 NIGHT_FROM, NIGHT_TO = 22, 6
 
 
+def utc(moment: Column | datetime | date) -> Column:
+    """A given time as a column; a plain datetime means UTC, whatever the machine's zone."""
+    if isinstance(moment, datetime) and moment.tzinfo is None:
+        moment = moment.replace(tzinfo=timezone.utc)
+    return moment if isinstance(moment, Column) else F.lit(moment)
+
+
 def _one_if(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
@@ -25,7 +34,8 @@ def is_business_hours(ts: Column) -> Column:
 
 def is_night_time(ts: Column) -> Column:
     """22 to 6, both included. The detector's early hours are a narrower span."""
-    return _one_if(~F.hour(ts).between(NIGHT_TO + 1, NIGHT_FROM - 1))
+    hour = F.hour(ts)
+    return _one_if((hour >= NIGHT_FROM) | (hour <= NIGHT_TO))
 
 
 def stamp(ts: Column) -> Column:

@@ -9,9 +9,13 @@ from logstream.functions.clock import stamp
 
 
 def digest(*parts: Column) -> Column:
-    """md5 over the parts; NULL counts as empty text."""
-    texts = [F.coalesce(part.cast("string"), F.lit("")) for part in parts]
-    return F.md5(F.concat_ws("|", *texts))
+    """md5 over the parts, each with its length: other parts never make the same text.
+
+    NULL is a part of its own, apart from empty text.
+    """
+    texts = [part.cast("string") for part in parts]
+    told = [F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts]
+    return F.md5(F.concat_ws("|", *[F.coalesce(t, F.lit("-")) for t in told]))
 
 
 def alert_id(ts: Column, *parts: Column) -> Column:

@@ -11,6 +11,8 @@ from logstream.operators.features import feature_engineering
 from logstream.operators.stats import window_stats
 
 DESCRIBED_CHARS = 100
+# What tells records of one time apart; the last three are the broker position.
+IDENTITY = ("trace_id", "span_id", "service", "host", "message", "topic", "partition", "offset")
 
 
 def description() -> Column:
@@ -22,13 +24,14 @@ def description() -> Column:
 def to_alerts(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     """The flagged records as alerts.
 
-    The id hashes the trace id and message, and the broker position where the
-    input has one, so a replay gives the same ids.
+    The id hashes what tells records apart, and the broker position where the
+    input has one, so a replay gives the same ids and no two records share one.
     """
-    position = [F.col(c) for c in ("partition", "offset") if c in df.columns]
     ts = F.col("timestamp")
+    told = [F.date_format(ts, "yyyyMMddHHmmssSSSSSS")]
+    told += [F.col(c) for c in IDENTITY if c in df.columns]
     return df.where("is_anomaly").select(
-        ids.alert_id(ts, F.col("trace_id"), F.col("message"), *position).alias("alert_id"),
+        ids.alert_id(ts, *told).alias("alert_id"),
         (F.current_timestamp() if as_of is None else as_of).alias("detection_timestamp"),
         ts.alias("log_timestamp"),
         "service",
@@ -48,11 +51,6 @@ def high_priority(alerts: DataFrame) -> DataFrame:
     return alerts.where(F.col("severity") == "CRITICAL")
 
 
-def training_rows(df: DataFrame) -> DataFrame:
-    """Records with their features, for the training feed."""
-    return feature_engineering(df)
-
-
 def route(detected: DataFrame, name: str, as_of: Column | None = None) -> DataFrame:
     """The rows a named feed receives, from the output of the rule detector."""
     if name == "processed":
@@ -64,7 +62,7 @@ def route(detected: DataFrame, name: str, as_of: Column | None = None) -> DataFr
     if name == "service_metrics":
         return window_stats(detected)
     if name == "training":
-        return training_rows(detected.select(*_raw_columns(detected)))
+        return feature_engineering(detected.select(*_raw_columns(detected)))
     raise ValueError(f"unknown feed {name!r}; known: {sorted(set(model.TOPICS) - {'raw'})}")
 
 

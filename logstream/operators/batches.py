@@ -10,47 +10,55 @@ from pyspark.sql import functions as F
 from logstream import model
 from logstream.operators.validate import apply_defaults, is_valid
 
-# Ids of the largest refused batches, dropped before the shuffle. Once they are
-# gone no refused batch holds more than a thousandth of the rows. The two limits
-# bound the broadcast to a megabyte at any size of the input; what they leave out
-# is refused by the semi join.
-LARGEST_REFUSED = 1000
-LONGEST_SHORT_ID = 256
+# Tasks over which a batch is spread; a refused one may hold any share of the rows.
+SALTS = 32
+
+
+def _sizes(df: DataFrame, most: int) -> DataFrame:
+    """Each named batch with its entries, its valid ones, and whether it is accepted."""
+    counted = df.where(F.col("batch_id").isNotNull()).groupBy("batch_id").agg(
+        F.count("*").alias("entries"), F.count_if(is_valid()).alias("valid")
+    )
+    good = (F.col("entries") <= most) & (F.col("valid") == F.col("entries"))
+    return counted.withColumn("accepted", good)
 
 
 def accept_batches(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:
     """Rows of the batches with 1..``most`` entries that are all valid.
 
-    Rows without a ``batch_id`` belong to no batch and are left out; they are
-    single entries. An accepted batch is small by definition, so only a refused
-    one can be a hot key. The largest of those leave by a broadcast of a bounded
-    list of ids, all others by the semi join; both look at the same sizes, which
-    are counted once.
+    A row without a ``batch_id`` is a batch of its own. Rows meet their batch's verdict by id and
+    salt, and the verdicts are few and small, so that no id meets in one task.
     """
-    tagged = df.where(F.col("batch_id").isNotNull())
-    sizes = tagged.groupBy("batch_id").agg(
-        F.count("*").alias("entries"), F.every(is_valid()).alias("all_valid")
+    accepted = (
+        _sizes(df, most)
+        .where("accepted")
+        .select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
-    good = (F.col("entries") <= most) & F.col("all_valid")
-    accepted = sizes.where(good).select("batch_id")
-    largest = sizes.where(~good).orderBy(F.desc("entries")).limit(LARGEST_REFUSED)
-    refused = largest.where(F.length("batch_id") <= LONGEST_SHORT_ID)
-    rest = tagged.join(F.broadcast(refused.select("batch_id")), "batch_id", "left_anti")
-    return rest.join(accepted, "batch_id", "left_semi")
+    salt = F.pmod(F.xxhash64("message", *[c for c in ("trace_id", "timestamp") if c in df.columns]), F.lit(SALTS))
+    named = df.where(F.col("batch_id").isNotNull()).withColumn("_salt", salt)
+    kept = named.join(accepted, ["batch_id", "_salt"], "left_semi").select(*df.columns)
+    return kept.union(df.where(F.col("batch_id").isNull() & is_valid()))
 
 
-def batch_outcome(df: DataFrame) -> DataFrame:
-    """Per batch: entries taken, entries refused, and the status of the answer."""
-    return (
-        df.groupBy(F.coalesce("batch_id", F.lit("batch_unnamed")).alias("batch_id"))
-        .agg(
-            F.count_if(is_valid()).alias("processed"),
-            F.count_if(~is_valid()).alias("failed"),
-        )
-        .withColumn(
-            "status", F.when(F.col("failed") == 0, "success").otherwise("partial_success")
-        )
+def batch_outcome(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:
+    """Per batch: entries taken, entries refused, and the status of the answer.
+
+    A batch is taken as a whole or not at all, as in :func:`accept_batches`. Rows without an
+    id, each a batch of its own, are summed up in one row of their own (``batch_id`` NULL).
+    """
+    named = _sizes(df, most).select(
+        "batch_id",
+        F.when(F.col("accepted"), F.col("entries")).otherwise(0).alias("processed"),
+        F.when(F.col("accepted"), 0).otherwise(F.col("entries")).alias("failed"),
+    )
+    single = df.where(F.col("batch_id").isNull()).agg(
+        F.count_if(is_valid()).alias("processed"), F.count_if(~is_valid()).alias("failed")
+    )
+    single = single.where("processed + failed > 0").select(
+        F.lit(None).cast("string").alias("batch_id"), "processed", "failed"
     )
+    status = F.when(F.col("failed") == 0, "success").when(F.col("processed") == 0, "refused")
+    return named.union(single).withColumn("status", status.otherwise("partial_success"))
 
 
 def explode_batches(df: DataFrame) -> DataFrame:

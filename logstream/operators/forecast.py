@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT_SECONDS = {"minute": 60, "hour": 3600, "day": 86_400}
+# 2020-01-01: units are counted from a time near the data, which keeps the sums exact.
+ORIGIN = 1_577_836_800
 
 
 def service_load_trend(df: DataFrame, unit: str = "hour", horizon: int = 1) -> DataFrame:
@@ -17,7 +19,8 @@ def service_load_trend(df: DataFrame, unit: str = "hour", horizon: int = 1) -> D
     its change against the mean load in percent, and r2 as the confidence.
     """
     seconds = UNIT_SECONDS[unit]
-    unit_number = F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / seconds)
+    since = F.unix_seconds(F.col("timestamp").cast("timestamp")) - ORIGIN
+    unit_number = F.floor(since / seconds)
     counts = df.groupBy("service", unit_number.alias("unit")).agg(F.count("*").alias("logs"))
     # Unit numbers are taken from a fixed origin first and moved to the first
     # unit of the service after the sums, which keeps it to one aggregation.

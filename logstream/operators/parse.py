@@ -17,7 +17,7 @@ def parse_logs(
 ) -> DataFrame:
     """One column per field of ``schema``; malformed JSON gives NULL fields.
 
-    With ``keep_envelope`` the broker time, offset and partition stay. A schema
+    With ``keep_envelope`` the broker time, topic, partition and offset stay. A schema
     without an event time takes the broker time for it.
     """
     log = computed_once(F.from_json(F.col("value").cast("string"), schema))
@@ -25,7 +25,7 @@ def parse_logs(
         return df.select("timestamp", log)
     if not keep_envelope:
         return df.select(log)
-    kept = [c for c in ("offset", "partition") if c in df.columns]
+    kept = [c for c in ("topic", "partition", "offset") if c in df.columns]
     return df.select(log, F.col("timestamp").alias("kafka_timestamp"), *kept)
 
 

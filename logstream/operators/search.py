@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from logstream import model
 from logstream.functions import ids
-from logstream.functions.clock import stamp, truncated
+from logstream.functions.clock import stamp, truncated, utc
 from logstream.operators.alerts import description
 from logstream.operators.stats import as_of_time, is_flagged
+from logstream.sources.lake import DAY_PARTS
 
 
 def _newest_first() -> list[Column]:
@@ -41,31 +42,61 @@ def matching(
     if level:
         df = df.where(F.col("level") == level)
     if start is not None:
-        df = df.where(F.col("timestamp") >= F.lit(start).cast(df.schema["timestamp"].dataType))
+        df = df.where(F.col("timestamp") >= utc(start).cast(df.schema["timestamp"].dataType))
     if end is not None:
-        df = df.where(F.col("timestamp") < F.lit(end).cast(df.schema["timestamp"].dataType))
+        df = df.where(F.col("timestamp") < utc(end).cast(df.schema["timestamp"].dataType))
     return df
 
 
+def _reached(counts: DataFrame, unit: str, limit: int) -> Column:
+    """The latest ``unit`` from which on there are ``limit`` rows, or NULL; a scalar subquery.
+
+    ``counts`` has a row per unit and merges map-side; they are added up as one sorted list.
+    """
+    newest_first = F.sort_array(F.collect_list(F.struct(unit, "n")), asc=False)
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast(counts.schema[unit].dataType).alias("at"))
+
+    def step(state: Column, one: Column) -> Column:
+        seen = state["seen"] + one["n"]
+        crossed = state["at"].isNull() & (seen >= limit)
+        return F.struct(seen.alias("seen"), F.when(crossed, one[unit]).otherwise(state["at"]).alias("at"))
+
+    return counts.agg(F.aggregate(newest_first, start, step)["at"].alias("at")).scalar()
+
+
 def newest(df: DataFrame, limit: int, *ties: str) -> DataFrame:
     """The ``limit`` newest rows, newest first; ``ties`` order rows after the trace id.
 
-    A first pass counts rows per minute, reading little more than the time, and
-    finds the minute that completes the limit. Only rows from then on are read
-    whole and sorted: a plain top-k would send ``limit`` rows of every task of
-    the scan to one task. The running count has a row per minute of history.
+    Rows are counted per day, from the folder names alone where ``df`` is the lake, and then per
+    minute of the one day that completes the limit. Only rows from that minute on are read
+    whole and sorted: a plain top-k would send ``limit`` rows of every task of the scan to one
+    task. Rows without a time come last, where the limit is not reached.
     """
-    per_minute = df.groupBy(truncated(df, "minute").alias("minute")).agg(F.count("*").alias("n"))
-    seen = F.sum("n").over(W.orderBy(F.desc("minute")))
-    beginning = F.lit("0001-01-01 00:00:00").cast(df.schema["timestamp"].dataType)
-    cutoff = (
-        per_minute.where(F.col("minute").isNotNull())
-        .withColumn("seen", seen)
-        .where(F.col("seen") >= limit)
-        .agg(F.coalesce(F.max("minute"), beginning))
-        .scalar()
+    kind = df.schema["timestamp"].dataType
+    if set(DAY_PARTS) <= set(df.columns):
+        day = F.make_date(*[F.col(part).cast("int") for part in DAY_PARTS])
+    else:
+        day = F.to_date("timestamp")
+    days = df.groupBy(day.alias("unit")).agg(F.count("*").alias("n")).where("unit IS NOT NULL")
+    first_day = _reached(days, "unit", limit)
+    later = df.where(day > first_day).agg(F.count("*")).scalar()
+    minutes = (
+        df.where(day == first_day)
+        .groupBy(truncated(df, "minute").alias("unit"))
+        .agg(F.count("*").alias("n"))
     )
-    return df.where(F.col("timestamp") >= cutoff).orderBy(*_newest_first(), *ties).limit(limit)
+    # Minutes of that day count on top of all later days.
+    ahead = df.sparkSession.range(1).select(
+        F.lit("9999-12-31 00:00:00").cast(kind).alias("unit"), later.alias("n")
+    )
+    first_minute = _reached(minutes.union(ahead), "unit", limit)
+    beginning = F.lit("0001-01-01 00:00:00").cast(kind)
+    from_then = df.where(
+        (day >= F.coalesce(first_day, F.lit("0001-01-01").cast("date")))
+        & (F.col("timestamp") >= F.coalesce(first_minute, beginning))
+    )
+    timeless = df.where(F.col("timestamp").isNull() & first_day.isNull())
+    return from_then.union(timeless).orderBy(*_newest_first(), *ties).limit(limit)
 
 
 def search_logs(df: DataFrame, limit: int = 100, **filters) -> DataFrame:
@@ -118,9 +149,25 @@ def anomaly_groups(df: DataFrame) -> DataFrame:
 
 
 def recent_anomalies(df: DataFrame, limit: int = 50) -> DataFrame:
-    """The groups of anomalies with the latest records."""
-    order = (F.desc("timestamp"), "service", "severity")
-    return anomaly_groups(df).orderBy(*order).limit(check_limit(limit))
+    """The groups of anomalies with the latest records.
+
+    The groups are found on fixed-width columns; only the anomalies of those are then
+    read with their texts and hosts.
+    """
+    check_limit(limit)
+    key = ("service", "severity", "hour")
+    flagged = df.where("is_anomaly").withColumn("hour", truncated(df, "hour"))
+    latest = (
+        flagged.groupBy(*key)
+        .agg(F.max("timestamp").alias("last"))
+        .orderBy(F.desc("last"), "service", "severity")
+        .limit(limit)
+    )
+    # At most ``limit`` rows, which check_limit bounds.
+    wanted = F.broadcast(latest.select(*[F.col(c).alias(f"wanted_{c}") for c in key]))
+    on = F.expr(" AND ".join(f"{c} <=> wanted_{c}" for c in key))
+    found = anomaly_groups(flagged.join(wanted, on, "left_semi").drop("hour"))
+    return found.orderBy(F.desc("timestamp"), "service", "severity")
 
 
 def live_feed(
@@ -156,19 +203,29 @@ def live_feed(
     return newest(feed, limit, "alert_id")
 
 
-# Spark cuts a group to its first rows before the shuffle up to this many.
-MAX_PER_GROUP = 1000
+# Parts of a group that are cut to their first rows apart from each other.
+GROUP_PARTS = 32
 
 
 def newest_per_group(df: DataFrame, group: list[str], n: int) -> DataFrame:
     """The ``n`` newest rows of each group, with their ``position``.
 
-    Every task keeps ``n`` rows per group before the shuffle, so a group that
-    holds a third of the table does not meet in one task.
+    Each group is cut in GROUP_PARTS parts, by the rows' own hash, before its parts meet, so
+    that a group which holds a third of the table does not meet in one task.
     """
-    check_limit(n, MAX_PER_GROUP)
-    order = W.partitionBy(*group).orderBy(*_newest_first())
-    return df.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
+    if n < 1:
+        raise ValueError(f"n must be 1 or more, not {n}")
+    part = F.pmod(F.xxhash64("timestamp", "trace_id", "message"), F.lit(GROUP_PARTS))
+    in_part = W.partitionBy(*group, "_part").orderBy(*_newest_first())
+    in_group = W.partitionBy(*group).orderBy(*_newest_first())
+    return (
+        df.withColumn("_part", part)
+        .withColumn("position", F.row_number().over(in_part))
+        .where(F.col("position") <= n)
+        .withColumn("position", F.row_number().over(in_group))
+        .where(F.col("position") <= n)
+        .drop("_part")
+    )
 
 
 def top_anomalies(df: DataFrame, n: int = 5) -> DataFrame:

@@ -8,20 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstream import model
-from logstream.functions.clock import truncated
+from logstream.functions.clock import truncated, utc
 from logstream.functions.codes import code, is_error
 
 
 def is_flagged(df: DataFrame) -> Column:
-    """The record is an anomaly, or is an alert (which has a severity and no flag)."""
-    parts = []
-    if "is_anomaly" in df.columns:
-        parts.append(F.coalesce(F.col("is_anomaly"), F.lit(False)))
-    if "severity" in df.columns:
-        parts.append(F.col("severity").isNotNull())
-    if not parts:
-        return F.lit(False)
-    return parts[0] if len(parts) == 1 else parts[0] | parts[1]
+    """The record's flag; an alert has none, and is flagged by its severity."""
+    told = [F.col("is_anomaly")] if "is_anomaly" in df.columns else []
+    told += [F.col("severity").isNotNull()] if "severity" in df.columns else []
+    return F.coalesce(*told, F.lit(False))
 
 
 def as_of_time(df: DataFrame, as_of: Column | datetime | None) -> Column:
@@ -32,7 +27,7 @@ def as_of_time(df: DataFrame, as_of: Column | datetime | None) -> Column:
     """
     if as_of is None:
         return df.select(F.max("timestamp")).scalar()
-    return as_of if isinstance(as_of, Column) else F.lit(as_of)
+    return utc(as_of)
 
 
 def window_stats(
@@ -124,19 +119,22 @@ def platform_snapshot(
     df: DataFrame,
     as_of: Column | datetime | None = None,
     label: str | None = None,
-    horizon: str = "7 days",
+    services: DataFrame | None = None,
 ) -> DataFrame:
     """One row with the state of the platform at ``as_of``.
 
-    Covers the last hour, today, and the services seen within ``horizon``; a
-    service silent for an hour is down. Only that horizon is read. ``label``
-    names the true flag, for the accuracy of today's detection.
+    Covers the last hour and today, and every service: one that is silent for an
+    hour is down, however long ago it was last seen. ``services`` lists them in
+    ``service``; without it the names are read from the whole of ``df``, and
+    nothing else is. ``label`` names the true flag, for the accuracy of today's detection.
     """
     now = as_of_time(df, as_of)
     ts = F.col("timestamp")
-    recent = df.where((ts > now - F.expr(f"INTERVAL {horizon}")) & (ts <= now))
-    in_hour = ts > now - F.expr("INTERVAL 1 HOUR")
-    today = ts >= F.date_trunc("day", now)
+    hour_ago = now - F.expr("INTERVAL 1 HOUR")
+    day_began = F.date_trunc("day", now).cast(df.schema["timestamp"].dataType)
+    recent = df.where((ts > F.least(hour_ago, day_began - F.expr("INTERVAL 1 SECOND"))) & (ts <= now))
+    in_hour = ts > hour_ago
+    today = ts >= day_began
     error = is_error(F.col("level"))
     flagged = F.col("is_anomaly")
     right = flagged == F.col(label) if label else F.lit(None).cast("boolean")
@@ -151,8 +149,14 @@ def platform_snapshot(
         F.count_if(today & known).alias("day_labelled"),
         F.count_if(today & known & right).alias("day_right"),
     )
+    if services is None:
+        services = df.where(ts <= now)
+    known_services = services.select(F.col("service").alias("known_service")).distinct()
+    per_service = known_services.join(
+        per_service, F.expr("known_service <=> service"), "left"
+    ).drop("known_service")
     share = F.try_divide(F.col("hour_errors"), F.col("hour_logs"))
-    silent = F.col("hour_logs") == 0
+    silent = F.coalesce(F.col("hour_logs"), F.lit(0)) == 0
     total = per_service.agg(
         *[
             F.coalesce(F.sum(c), F.lit(0)).alias(c)

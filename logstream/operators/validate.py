@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstream import model
+from logstream.functions.clock import utc
 from logstream.functions.ids import log_id
 
 
@@ -66,7 +67,7 @@ def apply_defaults(df: DataFrame, ingest_ts: Column | datetime | None = None) ->
     if ingest_ts is None:
         now = F.current_timestamp()
     else:
-        now = ingest_ts if isinstance(ingest_ts, Column) else F.lit(ingest_ts)
+        now = utc(ingest_ts)
     filled = df.withColumns(
         {
             "timestamp": F.coalesce("timestamp", now.cast(df.schema["timestamp"].dataType)),

@@ -173,17 +173,27 @@ FROM features)"""
 # What is left of the records after a trip through the envelope.
 ARRIVED_SQL = "SELECT * FROM scored WHERE event_id % 103 <> 0"
 
-# An anomaly as an alert; {position} is the broker position, where there is one.
+
+
+def digest_sql(*parts: str) -> str:
+    """md5 over the parts, each with its length, as the ids have it."""
+    told = [f"coalesce(length({part}) || ':' || {part}, '-')" for part in parts]
+    return "md5(" + " || '|' || ".join(told) + ")"
+
+
+TIME_TEXT = """strftime("timestamp", '%Y%m%d%H%M%S%f')"""
+
+# An anomaly as an alert; {digest} is over the record and its broker position, where it has one.
 ALERTS_SQL = """SELECT
-    'alert_' || strftime("timestamp", '%Y%m%d%H%M%S') || '_'
-        || md5(coalesce(trace_id, '') || '|' || coalesce(message, '') {position}) AS alert_id,
+    'alert_' || strftime("timestamp", '%Y%m%d%H%M%S') || '_' || {digest} AS alert_id,
     TIMESTAMP '2024-02-01 00:00:00' AS detection_timestamp,
     "timestamp" AS log_timestamp, service, level, host, environment, message,
     anomaly_score, severity,
     'Anomaly detected in ' || service || ' service: ' || substr(message, 1, 100) AS description,
     trace_id, span_id
 FROM {source} WHERE is_anomaly"""
-POSITION_SQL = "|| '|' || (event_id % 6) || '|' || (event_id // 6)"
+IDENTITY_SQL = (TIME_TEXT, "trace_id", "span_id", "service", "host", "message")
+POSITION_SQL = ("'logs-raw'", "CAST(event_id % 6 AS VARCHAR)", "CAST(event_id // 6 AS VARCHAR)")
 
 
 def oracle(body: str) -> str:
@@ -193,8 +203,10 @@ def oracle(body: str) -> str:
         "features": FEATURES_SQL,
         "scored": SCORED_SQL,
         "arrived": ARRIVED_SQL,
-        "alerts": ALERTS_SQL.format(position="", source="scored"),
-        "sent_alerts": ALERTS_SQL.format(position=POSITION_SQL, source="arrived"),
+        "alerts": ALERTS_SQL.format(digest=digest_sql(*IDENTITY_SQL), source="scored"),
+        "sent_alerts": ALERTS_SQL.format(
+            digest=digest_sql(*IDENTITY_SQL, *POSITION_SQL), source="arrived"
+        ),
     }
     named = ",\n".join(f"{name} AS ({sql})" for name, sql in inputs.items())
     return f"WITH {named}\n{body}"

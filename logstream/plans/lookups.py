@@ -11,6 +11,7 @@ from logstream.operators import alerts as al
 from logstream.operators import search
 from logstream.plans import fixture as fx
 from logstream.plans.registry import query
+from logstream.session import stored
 from logstream.sources.streams import read_topics
 
 WANTED = {
@@ -45,8 +46,8 @@ def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("total_count", "filters_applied.*")
 
 
-@query("""SELECT 'anom_' || md5(service || '|' || severity || '|'
-        || strftime(hour, '%Y%m%d%H%M%S')) AS id,
+@query(f"""SELECT 'anom_' || {fx.digest_sql("service", "severity", "strftime(hour, '%Y%m%d%H%M%S')")}
+        AS id,
     "timestamp", service, severity, score, description, affected_hosts
 FROM (SELECT service, severity, date_trunc('hour', "timestamp") AS hour,
         max("timestamp") AS "timestamp", max(anomaly_score) AS score,
@@ -61,7 +62,7 @@ def recent_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FEED_SQL = """(SELECT "timestamp", level, service, message AS text, severity, anomaly_score, host,
-        trace_id, true AS flagged, '' AS alert_id FROM scored
+        trace_id, is_anomaly AS flagged, '' AS alert_id FROM scored
     UNION ALL
     SELECT log_timestamp, level, service, coalesce(message, description), severity,
         anomaly_score, host, trace_id, true, alert_id FROM alerts)"""
@@ -79,7 +80,8 @@ def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT * FROM {FEED_SQL} ORDER BY "timestamp" DESC, trace_id, alert_id LIMIT 1000""")
 def live_feed_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.live_feed(*_feed_inputs(spark, sf_dir))
+    """The feed reads the stored feeds; nothing is detected again for it."""
+    return search.live_feed(*(stored(feed, "feed") for feed in _feed_inputs(spark, sf_dir)))
 
 
 @query(f"""SELECT * FROM {FEED_SQL} WHERE level = 'FATAL' AND service = 'auth-service'""")
@@ -115,12 +117,12 @@ def recent_logs_by_service_minute(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("""SELECT service, minute_start, CAST(position AS INT) AS position, trace_id
 FROM (SELECT *, date_trunc('minute', "timestamp") AS minute_start, row_number() OVER (
         PARTITION BY service, minute_start ORDER BY "timestamp" DESC, trace_id) AS position
-    FROM logs, (SELECT max("timestamp") AS now FROM logs) WHERE "timestamp" > now - INTERVAL 7 DAY)
-WHERE position <= 100""")
+    FROM logs, (SELECT max("timestamp") AS now FROM logs) WHERE "timestamp" > now - INTERVAL 1 HOUR)
+WHERE position <= 2""")
 def latest_logs_by_service_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest hundred records of every service and minute of the last week."""
+    """The two newest records of every service and minute of the last hour: a top-k list."""
     logs, now = fx.logs(spark, sf_dir), fx.newest(spark, sf_dir)
-    rows = search.recent_by_service_minute(logs, now, ttl="7 days", latest=100)
+    rows = search.recent_by_service_minute(logs, now, latest=2)
     return rows.select("service", "minute_start", "position", "trace_id")
 
 

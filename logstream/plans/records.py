@@ -20,7 +20,8 @@ from logstream.plans.registry import query
     '{"k":' || json_extract_string(metadata, '$.k') || ',"test_data":true,"batch_id":"batch-'
         || (event_id // 100) || '","synthetic_anomaly":'
         || CASE WHEN label THEN 'true' ELSE 'false' END || '}' AS metadata,
-    "timestamp" AS kafka_timestamp, event_id // 6 AS offset, CAST(event_id % 6 AS INT) AS partition
+    "timestamp" AS kafka_timestamp, 'logs-raw' AS topic, event_id // 6 AS offset,
+    CAST(event_id % 6 AS INT) AS partition
 FROM arrived""")
 def parse_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parse.drop_incomplete(parse.parse_logs(fx.envelope(spark, sf_dir)))
@@ -32,7 +33,8 @@ def parse_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT message, level, service, "timestamp", "timestamp" AS kafka_timestamp
 FROM arrived WHERE message IS NOT NULL AND level IS NOT NULL""")
 def parse_four_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parse.parse_logs(fx.envelope(spark, sf_dir), model.MID).drop("offset", "partition")
+    rows = parse.parse_logs(fx.envelope(spark, sf_dir), model.MID)
+    rows = rows.drop("topic", "partition", "offset")
     return parse.drop_incomplete(rows, ("message", "level")).withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("timestamp", "kafka_timestamp")}
     )
@@ -124,15 +126,14 @@ def _with_gaps(df: DataFrame) -> DataFrame:
     )
 
 
-FILLED_SQL = """SELECT event_id, level, message, service,
+FILLED_SQL = f"""SELECT event_id, level, message, service, "timestamp", environment,
+    CASE WHEN event_id % 13 > 1 THEN trace_id
+        ELSE 'log_' || {fx.digest_sql(fx.TIME_TEXT, "service", "message")} END AS log_id
+FROM (SELECT event_id, level, message, service, trace_id,
     CASE WHEN event_id % 19 <> 0 THEN "timestamp" ELSE TIMESTAMP '2024-02-01 00:00:00' END
         AS "timestamp",
-    CASE WHEN event_id % 17 <> 0 THEN environment ELSE 'production' END AS environment,
-    CASE WHEN event_id % 13 > 1 THEN trace_id ELSE 'log_' || md5(strftime(
-            CASE WHEN event_id % 19 <> 0 THEN "timestamp" ELSE TIMESTAMP '2024-02-01 00:00:00' END,
-            '%Y%m%d%H%M%S%f')
-        || '|' || coalesce(service, '') || '|' || coalesce(message, '')) END AS log_id
-FROM logs"""
+    CASE WHEN event_id % 17 <> 0 THEN environment ELSE 'production' END AS environment
+    FROM logs)"""
 
 
 @query(f"""SELECT event_id, "timestamp", environment, log_id FROM ({FILLED_SQL})""")
@@ -160,20 +161,25 @@ def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.logs(spark, sf_dir).withColumn("batch_id", F.expr(BATCH_SQL))
 
 
-@query(f"""SELECT batch_id, event_id, level, service FROM (
-    SELECT *, {BATCH_SQL} AS batch_id FROM logs)
-WHERE batch_id IN (SELECT batch_id FROM (SELECT *, {BATCH_SQL} AS batch_id FROM logs)
-    GROUP BY batch_id HAVING count(*) <= 10000 AND bool_and({VALID_SQL}))""")
+# The batches that are taken; a record without a batch is one of its own.
+TAKEN_SQL = f"""(SELECT * FROM (SELECT *, {BATCH_SQL} AS batch_id FROM logs)
+WHERE CASE WHEN batch_id IS NULL THEN {VALID_SQL} ELSE batch_id IN (
+    SELECT batch_id FROM (SELECT *, {BATCH_SQL} AS batch_id FROM logs)
+    WHERE batch_id IS NOT NULL
+    GROUP BY batch_id HAVING count(*) <= 10000 AND bool_and({VALID_SQL})) END)"""
+
+
+@query(f"SELECT batch_id, event_id, level, service FROM {TAKEN_SQL}")
 def batch_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = batches.accept_batches(_batched(spark, sf_dir))
     return accepted.select("batch_id", "event_id", "level", "service")
 
 
-@query(f"""SELECT coalesce(batch_id, 'batch_unnamed') AS batch_id,
-    CAST(count_if({VALID_SQL}) AS BIGINT) AS processed,
-    CAST(count_if(NOT {VALID_SQL}) AS BIGINT) AS failed,
-    CASE WHEN count_if(NOT {VALID_SQL}) = 0 THEN 'success' ELSE 'partial_success' END AS status
-FROM (SELECT *, {BATCH_SQL} AS batch_id FROM logs) GROUP BY 1""")
+@query(f"""SELECT *, CASE WHEN failed = 0 THEN 'success' WHEN processed = 0 THEN 'refused'
+    ELSE 'partial_success' END AS status
+FROM (SELECT b.batch_id, count(t.event_id) AS processed, count(*) - count(t.event_id) AS failed
+    FROM (SELECT *, {BATCH_SQL} AS batch_id FROM logs) b LEFT JOIN {TAKEN_SQL} t USING (event_id)
+    GROUP BY b.batch_id)""")
 def batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.batch_outcome(_batched(spark, sf_dir))
 
@@ -259,10 +265,13 @@ def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, CASE WHEN substr(md5(trace_id), 1, 2) < 'cd' THEN 'train'
-    ELSE 'test' END AS part FROM logs""")
+@query("""SELECT event_id, CASE WHEN substr(md5(CASE WHEN event_id % 3 > 0 THEN trace_id
+    ELSE '{"event_id":' || event_id || '}' END), 1, 2) < 'cd' THEN 'train' ELSE 'test' END AS part
+FROM logs""")
 def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = hash_split(fx.logs(spark, sf_dir).select("event_id", "trace_id"))
+    """A third of the records have no trace id and are split by what they hold."""
+    traced = F.expr("CASE WHEN event_id % 3 > 0 THEN trace_id END").alias("trace_id")
+    train, test = hash_split(fx.logs(spark, sf_dir).select("event_id", traced))
     return train.select("event_id", F.lit("train").alias("part")).union(
         test.select("event_id", F.lit("test").alias("part"))
     )

@@ -46,8 +46,7 @@ def service_metrics_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(al.route(fx.detected(spark, sf_dir), "service_metrics"))
 
 
-@query("""SELECT count(*) AS total, CAST(count_if(is_anomaly OR severity IS NOT NULL) AS BIGINT)
-    AS anomalies, CAST(count_if(level IN ('ERROR', 'FATAL')) AS BIGINT) AS errors FROM scored""")
+@query("""SELECT count(*) AS total, CAST(count_if(is_anomaly) AS BIGINT) AS anomalies, CAST(count_if(level IN ('ERROR', 'FATAL')) AS BIGINT) AS errors FROM scored""")
 def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.live_counters(fx.detected(spark, sf_dir))
 
@@ -96,12 +95,20 @@ FROM (SELECT service, any_value(now) AS now, count_if(in_hour) AS hour_logs,
     FROM (SELECT *, coalesce(level IN ('ERROR', 'FATAL'), false) AS error,
             "timestamp" > now - INTERVAL 1 HOUR AS in_hour,
             "timestamp" >= date_trunc('day', now) AS today
-        FROM scored, (SELECT max("timestamp") AS now FROM logs)
-        WHERE "timestamp" > now - INTERVAL 7 DAY)
+        FROM (SELECT * REPLACE (CASE WHEN service = 'other-service'
+                AND "timestamp" < TIMESTAMP '2024-01-08 00:00:00' THEN 'retired-service'
+                ELSE service END AS service) FROM scored),
+            (SELECT max("timestamp") AS now FROM logs))
     GROUP BY service)""")
 def platform_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One service was last seen weeks ago, and is down."""
     now = fx.newest(spark, sf_dir)
-    row = stats.platform_snapshot(fx.detected(spark, sf_dir), now, label="label")
+    long_ago = F.col("timestamp") < F.lit("2024-01-08 00:00:00").cast("timestamp_ntz")
+    retired = (F.col("service") == "other-service") & long_ago
+    rows = fx.detected(spark, sf_dir).withColumn(
+        "service", F.when(retired, "retired-service").otherwise(F.col("service"))
+    )
+    row = stats.platform_snapshot(rows, now, label="label")
     flat = row.select("timestamp", "ingestion.*", "anomalies.*", "services.*")
     return flat.withColumns(
         {c: F.round(c, 9) for c in ("logs_per_second", "error_rate", "detection_accuracy")}
@@ -123,8 +130,20 @@ def detection_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- topics ------------------------------------------------------------------
 
-TOPIC_SQL = """(SELECT event_id, "timestamp", CAST(event_id % 6 AS INT) AS partition,
-    event_id // 6 AS "offset",
+# Bytes of the JSON text of a record: each field that is there, with name, quotes and
+# comma, and one backslash more for a line break.
+_TEXT_BYTES = " + ".join(
+    f"coalesce(strlen({name}) + {len(name) + 6}, 0)"
+    for name in ("level", "service", "host", "environment", "trace_id", "span_id")
+)
+VALUE_BYTES = f"""CASE WHEN event_id % 103 = 0 THEN 8 ELSE 1 + {_TEXT_BYTES}
+    + coalesce(strlen(replace(message, chr(10), 'nn')) + 13, 0) + 47
+    + strlen('"metadata":{{"k":,"test_data":true,"batch_id":"batch-","synthetic_anomaly":}},')
+    + strlen(json_extract_string(metadata, '$.k')) + strlen(CAST(event_id // 100 AS VARCHAR))
+    + CASE WHEN event_id % 20 = 0 THEN 4 ELSE 5 END END"""
+
+TOPIC_SQL = f"""(SELECT event_id, "timestamp", CAST(event_id % 6 AS INT) AS partition,
+    event_id // 6 AS "offset", {VALUE_BYTES} AS value_bytes,
     ['logs-raw', 'logs-processed', 'anomalies-detected', 'service-metrics', '__offsets']
         [CAST(event_id % 5 + 1 AS INT)] AS topic FROM logs)"""
 
@@ -142,28 +161,23 @@ def _committed(env: DataFrame) -> DataFrame:
     return ends.agg(F.greatest(behind, F.lit(0)).alias("committed"))
 
 
-def _flat_values(env: DataFrame) -> DataFrame:
-    """Values of a length that the oracle knows: the topic's name."""
-    return env.withColumn("value", F.col("topic").cast("binary"))
-
-
 @query(f"""SELECT topic, date_trunc('hour', "timestamp") AS window_start, count(*) AS messages,
-    CAST(sum(strlen(topic)) AS BIGINT) AS bytes, round(count(*) / 3600, 9) AS messages_per_sec,
-    round(sum(strlen(topic)) / 3600, 9) AS bytes_per_sec
+    CAST(sum(value_bytes) AS BIGINT) AS bytes, round(count(*) / 3600, 9) AS messages_per_sec,
+    round(sum(value_bytes) / 3600, 9) AS bytes_per_sec
 FROM {TOPIC_SQL} GROUP BY ALL""")
 def topic_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = topics.topic_throughput(_flat_values(fx.topic_envelope(spark, sf_dir)), 3600)
+    rates = topics.topic_throughput(fx.topic_envelope(spark, sf_dir), 3600)
     rates = rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
     return rates.withColumns({c: F.round(c, 9) for c in ("messages_per_sec", "bytes_per_sec")})
 
 
 @query(f"""SELECT date_trunc('day', "timestamp") AS window_start, count(*) AS messages,
-    CAST(sum(strlen(topic)) AS BIGINT) AS bytes, count(DISTINCT topic) AS topics,
+    CAST(sum(value_bytes) AS BIGINT) AS bytes, count(DISTINCT topic) AS topics,
     round(count(*) / 86400, 9) AS messages_per_sec,
-    round(sum(strlen(topic)) / 86400, 9) AS bytes_per_sec
+    round(sum(value_bytes) / 86400, 9) AS bytes_per_sec
 FROM {TOPIC_SQL} GROUP BY ALL""")
 def cluster_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    env = _flat_values(fx.topic_envelope(spark, sf_dir))
+    env = fx.topic_envelope(spark, sf_dir)
     rates = topics.cluster_throughput(topics.topic_throughput(env, 86400), 86400)
     rates = rates.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
     return rates.withColumns({c: F.round(c, 9) for c in ("messages_per_sec", "bytes_per_sec")})

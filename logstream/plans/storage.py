@@ -113,7 +113,7 @@ def stream_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-@query("""SELECT count(*) AS total, count(*) AS anomalies,
+@query("""SELECT count(*) AS total, CAST(count_if(is_anomaly) AS BIGINT) AS anomalies,
     CAST(count_if(level IN ('ERROR', 'FATAL')) AS BIGINT) AS errors FROM arrived""")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "counters")

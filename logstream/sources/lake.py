@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +82,6 @@ def read_last_days(
     today: date | None = None,
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Today and the ``days_back`` days before it."""
-    today = today or date.today()
+    """Today, as UTC has it, and the ``days_back`` days before it."""
+    today = today or datetime.now(timezone.utc).date()
     return read_lake(spark, root, today - timedelta(days=days_back), today, schema)

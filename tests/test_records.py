@@ -132,21 +132,24 @@ def batch_rows(spark, log, sizes, bad=()):
 
 
 def test_accept_batches(spark, log):
-    df = batch_rows(spark, log, {"a": 3, "b": 4, "c": 2, "none": 5}, bad=["c.1"])
+    df = batch_rows(spark, log, {"a": 3, "b": 4, "c": 2, "none": 3}, bad=["c.1", "none.2"])
     kept = batches.accept_batches(df, most=3)
-    assert sorted(r.trace_id for r in kept.collect()) == ["a.0", "a.1", "a.2"]
+    assert kept.columns == df.columns
+    assert sorted(r.trace_id for r in kept.collect()) == ["a.0", "a.1", "a.2", "none.0", "none.1"]
     kept = batches.accept_batches(df, most=4)
-    assert sorted({r.batch_id for r in kept.collect()}) == ["a", "b"]
+    assert sorted({r.batch_id or "" for r in kept.collect()}) == ["", "a", "b"]
 
 
-def test_accept_batches_beyond_the_broadcast_list(spark, log, monkeypatch):
-    """Refused batches that do not fit the list are refused all the same."""
-    monkeypatch.setattr(batches, "LARGEST_REFUSED", 1)
-    df = batch_rows(spark, log, {"a": 1, "b": 5, "c": 4, "d": 3, "e": 2})
-    assert sorted({r.batch_id for r in batches.accept_batches(df, most=2).collect()}) == ["a", "e"]
+@pytest.mark.parametrize("most", [1, 2, 3, 10_000])
+def test_batches_are_accounted_for(spark, log, most):
+    """Accepted and refused are the input, and the outcome says the same as the acceptance."""
+    df = batch_rows(spark, log, {"a": 1, "b": 3, "c": 2, "none": 4}, bad=["c.1", "none.0"])
+    outcome = batches.batch_outcome(df, most).agg(F.sum("processed"), F.sum("failed")).first()
+    assert outcome[0] + outcome[1] == df.count()
+    assert outcome[0] == batches.accept_batches(df, most).count()
 
 
-def test_long_batch_ids_are_left_to_the_join(spark, log):
+def test_long_batch_ids(spark, log):
     long_id = "z" * 300
     df = batch_rows(spark, log, {"a": 2, "b": 5}).replace("b", long_id, "batch_id")
     assert {r.batch_id for r in batches.accept_batches(df, most=2).collect()} == {"a"}
@@ -157,7 +160,7 @@ def test_batch_outcome(spark, log):
     df = batch_rows(spark, log, {"a": 2, "b": 3, "none": 1}, bad=["b.0", "b.2"])
     found = {r.batch_id: (r.processed, r.failed, r.status) for r in batches.batch_outcome(df).collect()}
     assert found == {
-        "a": (2, 0, "success"), "b": (1, 2, "partial_success"), "batch_unnamed": (1, 0, "success"),
+        "a": (2, 0, "success"), "b": (0, 3, "refused"), None: (1, 0, "success"),
     }
 
 
@@ -285,6 +288,8 @@ def test_alerts(spark, log):
     assert two.description is None and one.detection_timestamp is not None
     again = alerts.to_alerts(found.repartition(3)).collect()
     assert {r.alert_id for r in again} == {one.alert_id, two.alert_id}
+    alike = rules.detect_v3(log(*[{"level": "FATAL", "trace_id": None, "service": s} for s in "ab"]))
+    assert len({r.alert_id for r in alerts.to_alerts(alike).collect()}) == 2
     placed = found.withColumns({"partition": F.lit(1), "offset": F.lit(5)})
     assert one.alert_id not in {r.alert_id for r in alerts.to_alerts(placed).collect()}
 
@@ -304,5 +309,8 @@ def test_split_does_not_depend_on_partitions(spark):
     assert train.count() + test.count() == 5000 and 3900 < train.count() < 4100
     again, _ = hash_split(df.repartition(7))
     assert again.exceptAll(train).count() == 0
+    untraced = df.withColumns({"message": F.col("trace_id"), "trace_id": F.lit(None).cast("string")})
+    train, test = hash_split(untraced)
+    assert 3900 < train.count() < 4100 and train.count() + test.count() == 5000
     everything, nothing = hash_split(df, share=1.0)
     assert (everything.count(), nothing.count()) == (5000, 0)

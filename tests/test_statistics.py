@@ -37,6 +37,7 @@ def test_live_counters_by_shape(log):
     found = detect_v3(log({"level": "FATAL"}, {"level": "ERROR"}, {"level": None}))
     by_flag = stats.live_counters(found.drop("severity")).first()
     assert tuple(by_flag) == (3, 1, 2)
+    assert stats.live_counters(found).first().anomalies < stats.live_counters(found).first().total
     assert stats.live_counters(found.drop("is_anomaly")).first().anomalies == 3
     assert stats.live_counters(log({})).first().anomalies == 0
 
@@ -63,13 +64,16 @@ def test_snapshot(log):
     )
     found = detect_v3(log(*rows)).withColumn("label", F.col("level") == "ERROR")
     row = stats.platform_snapshot(found, START, label="label").first()
-    assert row.services.asDict() == {"healthy": 1, "degraded": 1, "down": 2}
+    assert row.services.asDict() == {"healthy": 1, "degraded": 1, "down": 3}
     assert row.ingestion.total_logs_today == 32
     assert row.ingestion.logs_per_second == pytest.approx(30 / 3600)
     assert row.ingestion.error_rate == pytest.approx(10 / 32)
     assert row.anomalies.detection_accuracy == pytest.approx(22 / 32)
     by_default = stats.platform_snapshot(found).first()
-    assert by_default.services.asDict() == {"healthy": 1, "degraded": 0, "down": 4}
+    assert by_default.services.asDict() == {"healthy": 1, "degraded": 0, "down": 5}
+    listed = log({"service": "never seen"}).select("service")
+    row = stats.platform_snapshot(found, START, services=listed).first()
+    assert row.services.asDict() == {"healthy": 0, "degraded": 0, "down": 1}
     empty = stats.platform_snapshot(found.where("false"), START).first()
     assert empty.ingestion.total_logs_today == 0 and empty.anomalies.detection_accuracy is None
 
@@ -164,9 +168,56 @@ def test_newest_is_the_sorted_head(spark, limit):
     assert found == [r.trace_id for r in order][:limit]
 
 
-def test_per_group_limit_is_bounded(log):
-    with pytest.raises(ValueError):
-        search.top_anomalies(detect_v3(log({})), 1001)
+def test_rows_without_a_time_come_last(log):
+    rows = log({"timestamp": None, "trace_id": "a"}, {"trace_id": "b"}, {"timestamp": None, "trace_id": "c"})
+    found = [[r.trace_id for r in search.newest(rows, n).collect()] for n in (1, 2, 5)]
+    assert found == [["b"], ["b", "a"], ["b", "a", "c"]]
+
+
+def test_newest_counts_the_days_of_the_lake_by_folder(spark, log, tmp_path):
+    from logstream.sources.lake import write_lake
+
+    rows = [{"timestamp": after(hours=5 * h), "trace_id": f"t{h:02d}"} for h in range(20)]
+    write_lake(log(*rows), str(tmp_path / "lake"))
+    lake = spark.read.parquet(str(tmp_path / "lake"))
+    found = search.newest(lake, 7)
+    assert [r.trace_id for r in found.collect()] == [f"t{h:02d}" for h in range(19, 12, -1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "PartitionFilters: [" in plan
+
+
+@pytest.mark.parametrize("n", [1, 3, 1500])
+def test_newest_per_group_is_the_sorted_head(spark, n):
+    df = spark.range(3000).select(
+        F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id % 50 as int))").alias("timestamp"),
+        F.format_string("t%04d", "id").alias("trace_id"),
+        F.lit("m").alias("message"),
+        F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("service"),
+    )
+    found = search.newest_per_group(df, ["service"], n)
+    for service in ("hot", "cold"):
+        order = df.where(F.col("service") == service).orderBy(F.desc("timestamp"), "trace_id")
+        want = [r.trace_id for r in order.limit(n).collect()]
+        got = [r.trace_id for r in found.where(F.col("service") == service).orderBy("position").collect()]
+        assert got == want
+
+
+def test_search_does_not_depend_on_the_machine_zone(log, monkeypatch):
+    import time
+    from datetime import datetime, timezone
+
+    rows = log({"timestamp": datetime(2024, 1, 5, 1, tzinfo=timezone.utc)})
+    for zone in ("UTC", "America/New_York"):
+        monkeypatch.setenv("TZ", zone)
+        time.tzset()
+        try:
+            found = search.matching(rows, start=datetime(2024, 1, 5), end=datetime(2024, 1, 6))
+            assert found.count() == 1
+            at = stats.platform_snapshot(detect_v3(rows), datetime(2024, 1, 5, 1, 30)).first()
+            assert at.ingestion.total_logs_today == 1
+        finally:
+            monkeypatch.undo()
+            time.tzset()
 
 
 def test_recent_anomalies(log):
