@@ -144,7 +144,8 @@ def train_anomaly_model(
     if path is not None:
         save_model(model, threshold, path)
     if runs_path is not None:
-        params = {"k": k, "quantile": quantile, "seed": seed, "features": "time+text+service"}
+        features_used = ",".join(fixed.ANOMALY_FEATURES)
+        params = {"k": k, "quantile": quantile, "seed": seed, "features": features_used}
         runs.record(df.sparkSession, runs_path, "kmeans_anomaly", params, metrics)
     return model, float(threshold), metrics
 

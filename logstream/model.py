@@ -16,18 +16,31 @@ def _record(**fields: T.DataType) -> T.StructType:
 
 FULL = _record(
     timestamp=TIME,
-    **dict.fromkeys(("level", "message", "service", "host", "environment"), TEXT),
-    **dict.fromkeys(("metadata", "trace_id", "span_id"), TEXT),
+    level=TEXT,
+    message=TEXT,
+    service=TEXT,
+    host=TEXT,
+    environment=TEXT,
+    metadata=TEXT,
+    trace_id=TEXT,
+    span_id=TEXT,
 )
 MID = _record(message=TEXT, level=TEXT, service=TEXT, timestamp=TIME)
 MINIMAL = _record(message=TEXT, level=TEXT, service=TEXT)
 ENVELOPE = _record(
     key=BYTES, value=BYTES, topic=TEXT, partition=INT, offset=LONG, timestamp=TIME
 )
-BATCH = _record(batch_id=TEXT, logs=T.ArrayType(FULL))
+# Submitted records, whose times are read only after they were looked at.
+SUBMITTED = T.StructType([T.StructField("timestamp", TEXT), *FULL.fields[1:]])
+# The entries of a batch stay JSON until each is read by itself.
+BATCH = _record(batch_id=TEXT, logs=T.ArrayType(TEXT))
 TRAINING = _record(
     timestamp=TIME,
-    **dict.fromkeys(("level", "message", "service", "host", "environment"), TEXT),
+    level=TEXT,
+    message=TEXT,
+    service=TEXT,
+    host=TEXT,
+    environment=TEXT,
     message_length=INT,
     word_count=INT,
     is_anomaly=FLAG,

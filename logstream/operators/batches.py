@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstream import model
-from logstream.operators.validate import apply_defaults, is_valid
+from logstream.operators.parse import submitted
+from logstream.operators.validate import apply_defaults, is_valid, validate
 
 # Tasks over which a batch is spread; a refused one may hold any share of the rows.
 SALTS = 32
@@ -61,20 +62,46 @@ def batch_outcome(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:
     return named.union(single).withColumn("status", status.otherwise("partial_success"))
 
 
-def explode_batches(df: DataFrame) -> DataFrame:
-    """Entries of nested batches (``batch_id``, ``logs``), without a shuffle.
+def judge_batches(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:
+    """Nested batches (see ``parse_batches``) with their entries read and what becomes of them.
 
-    A batch counts as a whole: wrong size or one bad entry refuses it.
+    Adds ``entries``, ``valid`` (how many are), and ``accepted``: 1..``most`` entries, all
+    valid. A value that is no batch has no entries and is refused. No shuffle.
     """
-    size_ok = F.size("logs").between(1, model.MAX_BATCH)
-    all_valid = F.forall("logs", lambda entry: is_valid(entry.getField))
-    return (
-        df.where(size_ok & all_valid)
-        .select("batch_id", F.explode("logs").alias("entry"))
-        .select("batch_id", "entry.*")
+    read = df.withColumn("entries", F.transform("logs", submitted))
+    good = F.filter("entries", lambda entry: is_valid(entry.getField, as_sent=True))
+    size = F.coalesce(F.size("entries"), F.lit(0))
+    return read.withColumn("valid", F.coalesce(F.size(good), F.lit(0))).withColumn(
+        "accepted", size.between(1, most) & (F.col("valid") == size)
     )
 
 
+def nested_outcome(judged: DataFrame) -> DataFrame:
+    """Per nested batch: entries taken, entries refused, and the status of the answer."""
+    size = F.greatest(F.coalesce(F.size("entries"), F.lit(0)), F.lit(0))
+    taken = F.col("accepted")
+    return judged.select(
+        "batch_id",
+        F.when(taken, size).otherwise(0).cast("bigint").alias("processed"),
+        F.when(taken, 0).otherwise(size).cast("bigint").alias("failed"),
+        F.when(taken, "success").otherwise("refused").alias("status"),
+    )
+
+
+def explode_batches(judged: DataFrame, ingest_ts: Column | datetime | None = None) -> DataFrame:
+    """Entries of the accepted nested batches, with defaults and ``log_id``, without a shuffle."""
+    arrived = ["arrived"] if "arrived" in judged.columns else []
+    rows = judged.where("accepted").select("batch_id", *arrived, F.explode("entries").alias("entry"))
+    filled = apply_defaults(rows.select("batch_id", *arrived, "entry.*"), ingest_ts)
+    return filled.select("batch_id", *model.LOG_FIELDS, "log_id")
+
+
+def refused_batches(judged: DataFrame) -> DataFrame:
+    """The batches that were refused, as they were sent, with their number of bad entries."""
+    bad = F.greatest(F.coalesce(F.size("entries"), F.lit(0)), F.lit(0)) - F.col("valid")
+    return judged.where(~F.col("accepted")).select("batch_id", bad.alias("bad_entries"), "raw")
+
+
 def ingest(df: DataFrame, ingest_ts: Column | datetime | None = None) -> DataFrame:
     """Single entries ready for the raw topic: valid, with defaults and ``log_id``."""
-    return apply_defaults(df.where(is_valid()), ingest_ts)
+    return apply_defaults(validate(df)[0], ingest_ts)

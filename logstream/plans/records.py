@@ -184,33 +184,63 @@ def batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.batch_outcome(_batched(spark, sf_dir))
 
 
-@query(f"""SELECT 'batch-' || event_id AS batch_id, event_id, level, service, part FROM (
-    SELECT *, unnest([1, 2]) AS part FROM logs WHERE {VALID_SQL} AND event_id % 11 <> 0)""")
-def ingest_nested_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record arrives in a JSON batch of two; some batches have a bad second entry."""
-    fields = [c for c in model.LOG_FIELDS if c not in ("timestamp", "metadata", "span_id", "level")]
+# Batches of two: some have a bad level or time in the second entry, and some no id.
+NESTED_SQL = f"""(SELECT *, {VALID_SQL} AND event_id % 11 <> 0 AND event_id % 23 <> 0 AS taken,
+    CASE WHEN event_id % 13 = 0
+        THEN 'batch-logs-raw-' || (event_id % 6) || '-' || (event_id // 6)
+        ELSE 'batch-' || event_id END AS batch_id FROM logs)"""
+
 
-    def entry(part: int, level):
-        return F.struct(level.alias("level"), *fields, F.lit(f"{part}").alias("span_id"))
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record arrives in a JSON batch of two."""
+    event_id = F.col("event_id")
+    fields = ["message", "service", "host", "environment", "trace_id"]
 
-    second = F.when(F.col("event_id") % 11 == 0, F.lit("LOUD")).otherwise(F.col("level"))
+    def entry(part: int, level, sent):
+        return F.struct(
+            level.alias("level"), *fields, F.lit(f"{part}").alias("span_id"), sent.alias("timestamp")
+        )
+
+    second = F.when(event_id % 11 == 0, F.lit("LOUD")).otherwise(F.col("level"))
+    sent = F.col("timestamp").cast("string")
+    unclear = F.when(event_id % 23 == 0, F.lit("yesterday")).otherwise(sent)
     request = F.to_json(
         F.struct(
-            F.concat(F.lit("batch-"), "event_id").alias("batch_id"),
-            F.array(entry(1, F.col("level")), entry(2, second)).alias("logs"),
+            F.when(event_id % 13 != 0, F.concat(F.lit("batch-"), "event_id")).alias("batch_id"),
+            F.array(entry(1, F.col("level"), sent), entry(2, second, unclear)).alias("logs"),
         )
     )
-    requests = fx.logs(spark, sf_dir).select(request.alias("value"))
-    rows = batches.explode_batches(parse.parse_batches(requests))
+    requests = fx.logs(spark, sf_dir).select(
+        request.alias("value"),
+        F.lit("logs-raw").alias("topic"),
+        (event_id % 6).alias("partition"),
+        F.expr("event_id DIV 6").alias("offset"),
+    )
+    return batches.judge_batches(parse.parse_batches(requests))
+
+
+@query(f"""SELECT batch_id, event_id, level, service, part, "timestamp", environment
+FROM (SELECT *, unnest([1, 2]) AS part FROM {NESTED_SQL} WHERE taken)""")
+def ingest_nested_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = batches.explode_batches(_nested(spark, sf_dir), fx.run_time())
     return rows.select(
         "batch_id",
         F.substring_index("trace_id", "-", -1).cast("bigint").alias("event_id"),
         "level",
         "service",
         F.col("span_id").cast("int").alias("part"),
+        fx.ntz("timestamp"),
+        "environment",
     )
 
 
+@query(f"""SELECT batch_id, CAST(CASE WHEN taken THEN 2 ELSE 0 END AS BIGINT) AS processed,
+    CAST(CASE WHEN taken THEN 0 ELSE 2 END AS BIGINT) AS failed,
+    CASE WHEN taken THEN 'success' ELSE 'refused' END AS status FROM {NESTED_SQL}""")
+def nested_batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches.nested_outcome(_nested(spark, sf_dir))
+
+
 # --- features ----------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from logstream import model
 from logstream.operators.parse import drop_incomplete, parse_logs
 from logstream.plans import fixture as fx
 from logstream.plans.registry import query
-from logstream.plans.records import VALID_SQL
+from logstream.plans.records import ALL_FEATURES_SQL, VALID_SQL
 from logstream.plans.statistics import rounded, window_sql
 from logstream.session import scratch
 from logstream.sources.lake import read_lake, write_lake, write_lake_stream
@@ -158,24 +159,128 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink.location).select("offset", "partition", "trace_id")
 
 
-@query(f"""SELECT 'accepted' AS outcome, trace_id AS log_id, NULL AS reasons
-FROM arrived WHERE {VALID_SQL}
+# Submitted records: some without a time or with one that cannot be read, some without an
+# environment or with a null one.
+SENT_SQL = f"""(SELECT *, event_id % 19 <> 0 AND event_id % 23 = 0 AS bad_time,
+    CASE WHEN event_id % 17 = 0 THEN 'production' WHEN event_id % 29 = 0 THEN NULL
+        ELSE environment END AS told, {VALID_SQL} AS valid FROM arrived)"""
+
+
+def _submitted(spark: SparkSession, sf_dir: str) -> jobs.StreamConfig:
+    """A stored topic of submitted records, and where their stream writes."""
+    event_id = F.expr("partition + 6 * offset")
+    value = F.col("value").cast("string")
+    time = '"timestamp":"[^"]*",'
+    value = F.when(event_id % 19 == 0, F.regexp_replace(value, time, "")).otherwise(
+        F.when(
+            event_id % 23 == 0, F.regexp_replace(value, time, '"timestamp":"yesterday",')
+        ).otherwise(value)
+    )
+    environment = '"environment":"[^"]*",'
+    value = F.when(event_id % 17 == 0, F.regexp_replace(value, environment, "")).otherwise(
+        F.when(
+            event_id % 29 == 0, F.regexp_replace(value, environment, '"environment":null,')
+        ).otherwise(value)
+    )
+    config = _config(spark, sf_dir)
+    rows = spark.read.parquet(config.location).withColumn("value", value.cast("binary"))
+    topic = scratch(spark, "submitted")
+    rows.write.parquet(topic)
+    return replace(config, location=topic)
+
+
+@query(f"""SELECT 'accepted' AS outcome, trace_id AS log_id, "timestamp", told AS environment,
+    NULL AS reasons FROM {SENT_SQL} WHERE valid AND NOT bad_time
 UNION ALL
-SELECT 'quarantined', CASE WHEN event_id % 103 <> 0 THEN trace_id END,
-    CASE WHEN event_id % 103 = 0 THEN 'level,message,service' ELSE concat_ws(',',
+SELECT 'quarantined', trace_id, CASE WHEN NOT bad_time AND event_id % 19 <> 0 THEN "timestamp" END,
+    CASE WHEN event_id % 17 <> 0 THEN told END,
+    concat_ws(',', CASE WHEN bad_time THEN 'timestamp' END,
         CASE WHEN (level IN ('DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL')) IS NOT TRUE
              THEN 'level' END,
-        CASE WHEN (length(message) BETWEEN 1 AND 10000) IS NOT TRUE THEN 'message' END) END
-FROM logs WHERE event_id % 103 = 0 OR NOT {VALID_SQL}""")
+        CASE WHEN (length(message) BETWEEN 1 AND 10000) IS NOT TRUE THEN 'message' END)
+FROM {SENT_SQL} WHERE NOT valid OR bad_time""")
 def stream_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submitted records split into the raw feed and the quarantine by one query."""
-    config = _config(spark, sf_dir)
-    quarantine = Sink("parquet", scratch(spark, "quarantine"))
-    jobs.start_ingest(spark, config, quarantine).awaitTermination()
-    accepted = _values(spark, config.feed("raw").location, "log_id STRING")
-    refused = spark.read.parquet(quarantine.location)
+    config = _submitted(spark, sf_dir)
+    accepted, refused, _ = _ingested(spark, config)
     return accepted.select(
-        F.lit("accepted").alias("outcome"), "log_id", F.lit(None).cast("string").alias("reasons")
+        F.lit("accepted").alias("outcome"),
+        "log_id",
+        fx.ntz("timestamp"),
+        "environment",
+        F.lit(None).cast("string").alias("reasons"),
     ).union(
-        refused.select(F.lit("quarantined"), "trace_id", F.array_join("reasons", ","))
+        refused.select(
+            F.lit("quarantined"),
+            "trace_id",
+            fx.ntz("timestamp"),
+            "environment",
+            F.array_join("reasons", ","),
+        )
     )
+
+
+@query("""SELECT 'logs-raw' AS topic, CAST(event_id % 6 AS INT) AS partition,
+    event_id // 6 AS "offset", 'not json' AS raw FROM logs WHERE event_id % 103 = 0""")
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was no JSON, as it was sent."""
+    _, _, dead = _ingested(spark, _submitted(spark, sf_dir))
+    return dead.select("topic", "partition", "offset", "raw")
+
+
+@query(f"""SELECT (SELECT count(*) FROM logs) AS sent,
+    (SELECT count(*) FROM {SENT_SQL} WHERE valid AND NOT bad_time) AS accepted,
+    (SELECT count(*) FROM {SENT_SQL} WHERE NOT valid OR bad_time) AS quarantined,
+    (SELECT count(*) FROM logs WHERE event_id % 103 = 0) AS dead""")
+def stream_ingest_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value sent is accepted, quarantined or dead; the quarantine can be sent again."""
+    config = _submitted(spark, sf_dir)
+    accepted, refused, dead = _ingested(spark, config)
+    counts = {"sent": spark.read.parquet(config.location), "accepted": accepted, "dead": dead}
+    # A row counts as quarantined with the text it was sent as.
+    counts["quarantined"] = refused.where("get_json_object(raw, '$.trace_id') = trace_id")
+    one = spark.range(1)
+    for name, rows in counts.items():
+        one = one.withColumn(name, rows.agg(F.count("*")).scalar())
+    return one.drop("id")
+
+
+def _ingested(spark: SparkSession, config: jobs.StreamConfig) -> tuple[DataFrame, ...]:
+    """The raw feed, the quarantine and the dead letters after the topic has been streamed."""
+    quarantine = Sink("parquet", scratch(spark, "quarantine"))
+    dead = Sink("parquet", scratch(spark, "dead"))
+    jobs.start_ingest(spark, config, quarantine, dead).awaitTermination()
+    fields = "log_id STRING, timestamp TIMESTAMP, environment STRING"
+    accepted = _values(spark, config.feed("raw").location, fields)
+    return accepted, spark.read.parquet(quarantine.location), spark.read.parquet(dead.location)
+
+
+@query(window_sql("arrived", "1 minute", "30 seconds"))
+def stream_service_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest message of every window on the metrics topic."""
+    config = _config(spark, sf_dir)
+    jobs.start_service_metrics(spark, config).awaitTermination()
+    fields = "window_start TIMESTAMP, window_end TIMESTAMP, service STRING, level STRING, "
+    fields += "total_logs BIGINT, anomaly_count BIGINT, avg_anomaly_score DOUBLE, "
+    fields += "max_anomaly_score DOUBLE, anomaly_rate DOUBLE, sent_in BIGINT"
+    sent = _values(spark, config.feed("service_metrics").location, fields)
+    key = ("window_start", "window_end", "service", "level")
+    last = sent.groupBy(*key).agg(F.max("sent_in").alias("sent_in"))
+    same = F.expr(" AND ".join(f"sent.{c} <=> last.{c}" for c in (*key, "sent_in")))
+    latest = sent.alias("sent").join(last.alias("last"), same, "left_semi").drop("sent_in")
+    return rounded(latest).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    )
+
+
+@query(f"""SELECT f.* EXCLUDE (event_id), s.trace_id, s.is_anomaly
+FROM ({ALL_FEATURES_SQL}) f JOIN arrived s USING (event_id)""")
+def stream_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training topic."""
+    config = _config(spark, sf_dir)
+    jobs.start_training(spark, config).awaitTermination()
+    numbers = [c for c in ("minute", *model.ANOMALY_FEATURES) if c != "message_entropy"]
+    fields = "trace_id STRING, is_anomaly BOOLEAN, message_entropy DOUBLE, "
+    fields += ", ".join(f"{c} INT" for c in numbers)
+    rows = _values(spark, config.feed("training").location, fields)
+    return rows.withColumn("message_entropy", F.round("message_entropy", 9))

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the partition sizing and splits hot partitions of
-# joins and of REBALANCE writes. Shuffles start wide and are merged at run time.
+# joins and of REBALANCE writes.
 CLUSTER_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -22,6 +22,10 @@ CLUSTER_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
 }
+# On a cluster shuffles start wide and are merged at run time: what is evenly too large is
+# no skew, and would not be split.
+WIDE = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+WIDE_PARTITIONS = 8192
 
 
 def build_session(app: str = "logstream", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,7 +35,16 @@ def build_session(app: str = "logstream", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**CLUSTER_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not is_local(spark) and WIDE not in conf:
+        spark.conf.set(WIDE, WIDE_PARTITIONS)
+    return spark
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether everything runs in this process (``local-cluster`` does not)."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -52,10 +65,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         base = _local_folder()
-    return f"{base.rstrip('/')}/logstream/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/logstream/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+# Scratch paths of this process that were not cleared yet.
+_made: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes what :func:`scratch` has given out; call it when no result is read any more."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:

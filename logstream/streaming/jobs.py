@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logstream import model
-from logstream.operators.alerts import high_priority, to_alerts
-from logstream.operators.batches import ingest
-from logstream.operators.parse import drop_incomplete, parse_logs
+from logstream.operators import parse
+from logstream.operators.alerts import route, to_alerts
+from logstream.operators.batches import (
+    explode_batches,
+    ingest,
+    judge_batches,
+    nested_outcome,
+    refused_batches,
+)
+from logstream.operators.parse import (
+    drop_incomplete,
+    parse_batches,
+    parse_logs,
+    parse_marked,
+    parse_submitted,
+)
 from logstream.operators.rules import detect_v1, detect_v2, detect_v3
 from logstream.operators.stats import live_counters, window_stats
 from logstream.operators.validate import validate
 from logstream.sources.streams import read_log_stream
-from logstream.streaming.sinks import Sink, every, fan_out, write_batch, write_latest, write_stream
+from logstream.streaming.monitor import ProgressLog
+from logstream.streaming.sinks import (
+    Sink,
+    every,
+    fan_out,
+    prune_batches,
+    write_batch,
+    write_latest,
+    write_stream,
+)
 
 # Seconds between triggers.
 ALERT_SECONDS = 10
@@ -47,6 +69,7 @@ class StreamConfig:
     trigger: Mapping | None = None
     watermark: str = "5 minutes"
     prefix: str = ""
+    dead_letters: Sink | None = None
 
     def feed(self, name: str) -> Sink:
         topic = model.TOPICS[name]
@@ -80,47 +103,124 @@ def open_source(spark: SparkSession, config: StreamConfig) -> DataFrame:
     )
 
 
-def start_ingest(spark: SparkSession, config: StreamConfig, quarantine: Sink) -> StreamingQuery:
-    """Submitted records to the raw feed; those that break a rule go to quarantine.
+def start_ingest(
+    spark: SparkSession, config: StreamConfig, quarantine: Sink, dead_letters: Sink
+) -> StreamingQuery:
+    """Submitted records to the raw feed; what cannot be taken, as it was sent, elsewhere.
 
-    The time of arrival stands in for a missing event time. A value that is not
-    JSON breaks the rules for the level, message and service.
+    Records that break a rule go to quarantine with their reasons, values that are no JSON to
+    the dead letters. The time of arrival stands in for a missing event time; one that was
+    sent but cannot be read breaks a rule.
     """
-    parsed = parse_logs(open_source(spark, config))
-    submitted = parsed.withColumnRenamed("kafka_timestamp", "arrived")
+    records = parse_submitted(open_source(spark, config))
 
     def accepted(batch: DataFrame) -> DataFrame:
-        return ingest(batch, F.col("arrived")).select(*model.LOG_FIELDS, "log_id")
+        taken = ingest(batch.where(~F.col("malformed")), F.col("arrived"))
+        return taken.select(*model.LOG_FIELDS, "log_id")
+
+    def refused(batch: DataFrame) -> DataFrame:
+        _, bad = validate(batch.where(~F.col("malformed")))
+        return bad.drop("malformed", "environment_sent")
 
     routes = {
         "raw": (accepted, config.feed("raw")),
-        "quarantine": (lambda batch: validate(batch)[1], quarantine),
+        "quarantine": (refused, quarantine),
+        "dead_letters": (parse.dead_letters, dead_letters),
     }
     checkpoint, trigger = config.checkpoint("ingest"), config.paced(ALERT_SECONDS)
-    return fan_out(submitted, routes, checkpoint, trigger, config.name("ingest"))
+    return fan_out(records, routes, checkpoint, trigger, config.name("ingest"))
 
 
-def start_alerts(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
-    """Alerts, critical alerts and, if asked for, the console, from one read."""
-    alerts = to_alerts(detected_logs(open_source(spark, config)))
+def start_batch_ingest(
+    spark: SparkSession, config: StreamConfig, quarantine: Sink, outcomes: Sink
+) -> StreamingQuery:
+    """Nested batches: the entries of accepted ones to the raw feed, refused ones as they were
+    sent to quarantine, and an outcome row for each. ``batch`` is the id: a table of micro-batches
+    has a ``batch_id`` of its own."""
+    judged = judge_batches(parse_batches(open_source(spark, config)))
     routes = {
-        "anomalies": (lambda rows: rows, config.feed("anomalies")),
-        "high_priority": (high_priority, config.feed("high_priority")),
+        "raw": (lambda batch: explode_batches(batch, F.col("arrived")), config.feed("raw")),
+        "quarantine": (
+            lambda batch: refused_batches(batch).withColumnRenamed("batch_id", "batch"),
+            quarantine,
+        ),
+        "outcomes": (
+            lambda batch: nested_outcome(batch).withColumnRenamed("batch_id", "batch"),
+            outcomes,
+        ),
     }
-    if config.console:
-        routes["console"] = (lambda rows: rows, Sink("console"))
-    checkpoint, trigger = config.checkpoint("alerts"), config.paced(ALERT_SECONDS)
-    return fan_out(alerts, routes, checkpoint, trigger, config.name("alerts"))
+    checkpoint, trigger = config.checkpoint("batches"), config.paced(ALERT_SECONDS)
+    return fan_out(judged, routes, checkpoint, trigger, config.name("batches"))
+
+
+def start_feeds(
+    spark: SparkSession, config: StreamConfig, feeds: Iterable[str], name: str = "feeds"
+) -> StreamingQuery:
+    """Any of the feeds processed, anomalies, high_priority and training, from one read.
+
+    Records are parsed and scored once for all of them. With ``config.dead_letters`` values
+    that are no JSON go there.
+    """
+    marked = detect_v3(parse_marked(open_source(spark, config)))
+
+    def rows_of(feed: str):
+        def rows(batch: DataFrame) -> DataFrame:
+            logs = batch.where(~F.col("malformed")).drop("malformed", "raw")
+            return route(drop_incomplete(logs), feed)
+
+        return rows
+
+    routes = {feed: (rows_of(feed), config.feed(feed)) for feed in feeds}
+    if config.dead_letters is not None:
+        routes["dead_letters"] = (parse.dead_letters, config.dead_letters)
+    checkpoint, trigger = config.checkpoint(name), config.paced(ALERT_SECONDS)
+    return fan_out(marked, routes, checkpoint, trigger, config.name(name))
+
+
+def start_alerts(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
+    """Alerts and critical alerts."""
+    return start_feeds(spark, config, ("anomalies", "high_priority"), "alerts")
 
 
 def start_processed(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
     """Every record with its flag, score and severity."""
+    return start_feeds(spark, config, ("processed",), "processed")
+
+
+def start_training(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
+    """Every record with its features, for training."""
+    return start_feeds(spark, config, ("training",), "training")
+
+
+def start_console(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
+    """Alerts as they come, on the console, at a pace of its own."""
     return write_stream(
-        detected_logs(open_source(spark, config)),
-        config.feed("processed"),
-        config.checkpoint("processed"),
-        trigger=config.paced(ALERT_SECONDS),
-        name=config.name("processed"),
+        to_alerts(detected_logs(open_source(spark, config))),
+        Sink("console"),
+        config.checkpoint("console"),
+        trigger=config.paced(CONSOLE_SECONDS),
+        name=config.name("console"),
+    )
+
+
+def start_service_metrics(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
+    """Window statistics as messages: each time a window changes, its newest values.
+
+    Readers keep the message of the greatest ``batch_id`` of a window.
+    """
+    stats = window_stats(detected_logs(open_source(spark, config)), watermark=config.watermark)
+    feed = config.feed("service_metrics")
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch.withColumn("sent_in", F.lit(batch_id)), feed, batch_id)
+
+    return (
+        stats.writeStream.outputMode("update")
+        .foreachBatch(send)
+        .option("checkpointLocation", config.checkpoint("service_metrics"))
+        .trigger(**config.paced(STATS_SECONDS))
+        .queryName(config.name("service_metrics"))
+        .start()
     )
 
 
@@ -133,12 +233,20 @@ def start_stats(spark: SparkSession, config: StreamConfig, path: str) -> Streami
 
 
 def start_counters(spark: SparkSession, config: StreamConfig, path: str) -> StreamingQuery:
-    """Running totals, one row per micro-batch; read with :func:`read_counters`."""
+    """Running totals, one row per micro-batch; read with :func:`read_counters`.
+
+    Only the newest folders are kept.
+    """
     totals = live_counters(detected_logs(open_source(spark, config)))
     table = Sink("parquet", path)
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, table, batch_id)
+        prune_batches(spark, path)
+
     return (
         totals.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, batch_id: write_batch(batch, table, batch_id))
+        .foreachBatch(send)
         .option("checkpointLocation", config.checkpoint("counters"))
         .trigger(**config.paced(ALERT_SECONDS))
         .queryName(config.name("counters"))
@@ -147,23 +255,33 @@ def start_counters(spark: SparkSession, config: StreamConfig, path: str) -> Stre
 
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    """The newest totals."""
+    """The newest totals; other folders are not opened."""
     history = spark.read.parquet(path)
-    return history.orderBy(F.desc("batch_id")).limit(1).drop("batch_id")
+    newest = history.select(F.max("batch_id")).scalar()
+    return history.where(F.col("batch_id") == newest).drop("batch_id")
 
 
 def start_all(
-    spark: SparkSession, config: StreamConfig, stats_path: str
+    spark: SparkSession,
+    config: StreamConfig,
+    stats_path: str,
+    progress: ProgressLog | None = None,
 ) -> dict[str, StreamingQuery]:
-    """The whole detector: alerts, processed records and window statistics.
+    """The whole detector: all feeds from one read, statistics, and the console if asked for.
 
-    If one query cannot start, those already running are stopped.
+    With ``progress`` its events are recorded. If one query cannot start, those already
+    running are stopped.
     """
+    if progress is not None:
+        spark.streams.addListener(progress)
     running: dict[str, StreamingQuery] = {}
     try:
-        running["alerts"] = start_alerts(spark, config)
-        running["processed"] = start_processed(spark, config)
+        feeds = ("processed", "anomalies", "high_priority", "training")
+        running["feeds"] = start_feeds(spark, config, feeds)
         running["stats"] = start_stats(spark, config, stats_path)
+        running["service_metrics"] = start_service_metrics(spark, config)
+        if config.console:
+            running["console"] = start_console(spark, config)
     except Exception:
         stop_all(running)
         raise

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQueryListener
 
 PROGRESS = (
     "query STRING, run_id STRING, event STRING, batch_id BIGINT, input_rows BIGINT, "
@@ -15,15 +15,29 @@ PROGRESS = (
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps the newest events of all queries; one small row per trigger."""
+    """Records the events of all queries, one small row per trigger; none is dropped.
 
-    def __init__(self, keep: int = 10_000):
-        self._rows: deque = deque(maxlen=keep)
+    With ``path`` the rows are appended to a table there, ``chunk`` at a time and whenever a
+    query ends; the rest waits in memory. ``late`` adds up the late rows by query.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None, chunk: int = 100):
+        self._spark, self._path, self._chunk = spark, path, chunk
+        self._rows: list[tuple] = []
+        self._late: Counter[str] = Counter()
         self._lock = Lock()
 
-    def _add(self, *row) -> None:
+    def _add(self, *row, last: bool = False) -> None:
         with self._lock:
             self._rows.append(row)
+            full = last or len(self._rows) >= self._chunk
+        if full and self._path is not None:
+            self.flush(self._spark, self._path)
+
+    def late_rows(self, query: str) -> int:
+        """Window entries the named query dropped because they came after the watermark."""
+        with self._lock:
+            return self._late[query]
 
     def onQueryStarted(self, event) -> None:
         self._add(event.name, str(event.runId), "started", None, None, None, None, None, None)
@@ -33,13 +47,16 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
+        late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        with self._lock:
+            self._late[p.name] += late
         self._add(
             p.name,
             str(p.runId),
             "progress",
             p.batchId,
             p.numInputRows,
-            sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+            late,
             float(p.processedRowsPerSecond),
             dict(p.eventTime or {}).get("watermark"),
             None,
@@ -47,7 +64,8 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         end = "failed" if event.exception else "stopped"
-        self._add(None, str(event.runId), end, None, None, None, None, None, event.exception)
+        row = (None, str(event.runId), end, None, None, None, None, None, event.exception)
+        self._add(*row, last=True)
 
     def rows(self) -> list[tuple]:
         with self._lock:
@@ -57,17 +75,14 @@ class ProgressLog(StreamingQueryListener):
         return spark.createDataFrame(self.rows(), PROGRESS)
 
     def flush(self, spark: SparkSession, path: str) -> None:
-        """Appends what was kept to a table and starts anew."""
+        """Appends what waits to a table. It waits on if that fails."""
         with self._lock:
-            rows, self._rows = list(self._rows), deque(maxlen=self._rows.maxlen)
-        if rows:
+            rows, self._rows = self._rows, []
+        if not rows:
+            return
+        try:
             spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(path)
-
-
-def late_rows(query: StreamingQuery) -> int:
-    """Window entries the query dropped because they came after the watermark."""
-    return sum(
-        state.numRowsDroppedByWatermark
-        for progress in query.recentProgress
-        for state in progress.stateOperators
-    )
+        except Exception:
+            with self._lock:
+                self._rows = rows + self._rows
+            raise

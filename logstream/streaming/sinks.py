@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logstream.operators.parse import as_values
+from logstream.session import stored
 
 # Producer settings.
 PRODUCER_OPTIONS = {"kafka.acks": "all", "kafka.retries": "3"}
@@ -97,7 +98,7 @@ def write_batch(df: DataFrame, sink: Sink, batch_id: int) -> None:
     """
     rows = sink.shape(df)
     if sink.kind == "console":
-        rows.show(truncate=False)
+        rows.show(int(sink.options.get("numRows", 20)), truncate=False)
     elif sink.kind == "kafka":
         rows.write.format("kafka").options(**sink.kafka_options()).save()
     else:
@@ -177,14 +178,64 @@ def read_latest(
 ) -> DataFrame:
     """The newest result of every key; ``since`` is a first window day.
 
-    Merged map-side, so the history of a busy key does not meet in one task.
+    The greatest batch of each key is found on the keys alone, merged map-side.
     """
     history = spark.read.parquet(path)
     if since is not None:
         history = history.where(F.col("window_day") >= F.lit(since).cast("date"))
-    values = [c for c in history.columns if c not in (*key, "window_day", "batch_id")]
-    return (
-        history.groupBy(*key)
-        .agg(F.max_by(F.struct(*values), "batch_id").alias("latest"))
-        .select(*key, "latest.*")
+    return _latest(history, key).drop("window_day", "batch_id")
+
+
+def _latest(history: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    last = history.groupBy(*key).agg(F.max("batch_id").alias("batch_id"))
+    same = " AND ".join(f"rows.{c} <=> last.{c}" for c in (*key, "batch_id"))
+    return history.alias("rows").join(last.alias("last"), F.expr(same), "left_semi")
+
+
+# Where compaction puts what it has merged; every micro-batch comes after it.
+MERGED = -1
+
+
+def compact_latest(
+    spark: SparkSession, path: str, before: str, key: tuple[str, ...] = STATS_KEY
+) -> None:
+    """Leaves one folder per window day before ``before``, a day whose windows are all closed.
+
+    The merged rows are written first, and count for less than any micro-batch, so that a
+    reader sees the same result at any time, also after a break.
+    """
+    closed = spark.read.parquet(path).where(F.col("window_day") < F.lit(before).cast("date"))
+    merged = stored(_latest(closed, key), "compacted").withColumn("batch_id", F.lit(MERGED))
+    (
+        merged.repartition("window_day")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("window_day", "batch_id")
+        .parquet(path)
     )
+    for day in _folders(spark, path, "window_day"):
+        if day < before:
+            _keep_batches(spark, f"{path}/window_day={day}", lambda batch: batch == MERGED)
+
+
+def prune_batches(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Leaves the newest ``keep`` micro-batches of a table whose last batch is its result."""
+    batches = sorted(map(int, _folders(spark, path, "batch_id")))
+    newest = batches[-keep:]
+    _keep_batches(spark, path, lambda batch: batch in newest)
+
+
+def _folders(spark: SparkSession, path: str, part: str) -> list[str]:
+    """The values of a partition column, from the names of its folders."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(root)]
+    return [name.partition("=")[2] for name in names if name.startswith(f"{part}=")]
+
+
+def _keep_batches(spark: SparkSession, path: str, wanted: Callable[[int], bool]) -> None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for batch in _folders(spark, path, "batch_id"):
+        if not wanted(int(batch)):
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch}"), True)

@@ -170,16 +170,21 @@ def test_nested_batches(spark):
         return json.dumps({"batch_id": name, "logs": logs})
 
     values = [request("a", "INFO", "WARN"), request("b", "INFO", "LOUD"), request("c"), "not json"]
-    rows = batches.explode_batches(parse.parse_batches(envelope(spark, values)))
-    assert [(r.batch_id, r.level) for r in rows.collect()] == [("a", "INFO"), ("a", "WARN")]
-    assert rows.columns == ["batch_id", *model.LOG_FIELDS]
-    too_long = spark.range(1).select(F.lit("z").alias("batch_id")).crossJoin(
-        spark.range(1).select(
-            F.expr("transform(sequence(1, 10001), i -> named_struct('level', 'INFO', 'message', 'm', "
-                   "'service', 's', 'host', 'h', 'environment', 'e', 'trace_id', 't', 'span_id', 's'))")
-            .alias("logs")
-        )
-    )
+    late = {"batch_id": None, "logs": [{"level": "INFO", "message": "m", "service": "s", "timestamp": "soon"}]}
+    null = {"logs": [{"level": "INFO", "message": "m", "service": "s", "environment": None}]}
+    judged = batches.judge_batches(parse.parse_batches(envelope(spark, [*values, json.dumps(late), json.dumps(null)])))
+    rows = batches.explode_batches(judged).collect()
+    named = [(r.batch_id, r.level, r.environment) for r in rows if r.batch_id == "a"]
+    assert named == [("a", "INFO", "production"), ("a", "WARN", "production")]
+    (other,) = [r for r in rows if r.batch_id != "a"]
+    assert other.batch_id.startswith("batch-") and other.environment is None and other.timestamp is not None
+    assert batches.explode_batches(judged).columns == ["batch_id", *model.LOG_FIELDS, "log_id"]
+    outcome = batches.nested_outcome(judged)
+    assert outcome.agg(F.sum("processed"), F.sum("failed")).first() == (3, 3)
+    assert sorted(r.status for r in outcome.collect()) == ["refused"] * 4 + ["success"] * 2
+    assert "not json" in {r.raw for r in batches.refused_batches(judged).collect()}
+    long = request("z", *["INFO"] * 10_001)
+    too_long = batches.judge_batches(parse.parse_batches(envelope(spark, [long])))
     assert batches.explode_batches(too_long).count() == 0
 
 

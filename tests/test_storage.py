@@ -100,6 +100,13 @@ def test_text_source(spark, tmp_path):
         jobs.start_simple(spark, config, 7)
 
 
+def wait_until(done):
+    for _ in range(50):
+        if done():
+            return
+        time.sleep(0.2)
+
+
 def values_file(folder, name, records):
     folder.mkdir(exist_ok=True)
     text = "".join(json.dumps({"level": "INFO", "service": "s", "message": "m", **r}) + "\n" for r in records)
@@ -148,17 +155,109 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
         [{"timestamp": at(seconds=1), "service": "late"}],
     ]
     config = stats_config(tmp_path)
-    late = 0
-    for i, batch in enumerate(records):
-        values_file(tmp_path / "in", f"{i}.json", batch)
-        query = jobs.start_stats(spark, config, str(tmp_path / "stats"))
-        query.awaitTermination()
-        late += monitor.late_rows(query)
+    log = monitor.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        for i, batch in enumerate(records):
+            values_file(tmp_path / "in", f"{i}.json", batch)
+            jobs.start_stats(spark, config, str(tmp_path / "stats")).awaitTermination()
+        wait_until(lambda: sum(r[2] == "stopped" for r in log.rows()) == 3)
+    finally:
+        spark.streams.removeListener(log)
+    late = log.late_rows("stats")
     found = sinks.read_latest(spark, str(tmp_path / "stats"))
     assert {r.service for r in found.collect()} == {"base", "ahead"}
     assert late == 2
 
 
+def test_every_event_is_kept(spark, tmp_path):
+    """Far more triggers than a query remembers itself."""
+    path = str(tmp_path / "events")
+    log = monitor.ProgressLog(spark, path, chunk=100)
+
+    class State:
+        numRowsDroppedByWatermark = 1
+
+    class Progress:
+        name, runId, batchId, numInputRows, stateOperators = "q", "r", 0, 1, [State]
+        processedRowsPerSecond, eventTime = 1.0, {}
+
+    class Event:
+        progress, runId, exception = Progress, "r", None
+
+    for _ in range(250):
+        log.onQueryProgress(Event)
+    assert log.late_rows("q") == 250 and len(log.rows()) == 50
+    log.onQueryTerminated(Event)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 251 and stored.agg(F.sum("late_rows_dropped")).first()[0] == 250
+
+
+def test_compaction_keeps_the_result(spark, tmp_path):
+    path, config = str(tmp_path / "stats"), stats_config(tmp_path)
+    for i in range(4):
+        records = [{"timestamp": at(days=2) if i == 3 else at(seconds=i)}]
+        values_file(tmp_path / "in", f"{i}.json", records)
+        jobs.start_stats(spark, config, path).awaitTermination()
+    before = sorted(sinks.read_latest(spark, path).collect())
+    folders = len(list((tmp_path / "stats").rglob("batch_id=*")))
+    for _ in range(2):
+        sinks.compact_latest(spark, path, "2024-01-04")
+        assert sorted(sinks.read_latest(spark, path).collect()) == before
+    closed = list((tmp_path / "stats" / "window_day=2024-01-03").glob("batch_id=*"))
+    assert [f.name for f in closed] == ["batch_id=-1"]
+    assert len(list((tmp_path / "stats").rglob("batch_id=*"))) < folders
+
+
+def test_counters_keep_few_folders(spark, tmp_path):
+    path, config = str(tmp_path / "counters"), stats_config(tmp_path)
+    for i in range(4):
+        values_file(tmp_path / "in", f"{i}.json", [{"timestamp": at(seconds=i)}, {"level": "FATAL", "timestamp": at()}])
+        jobs.start_counters(spark, config, path).awaitTermination()
+    row = jobs.read_counters(spark, path).first()
+    assert (row.total, row.anomalies) == (8, 4)
+    assert len(list((tmp_path / "counters").glob("batch_id=*"))) == 2
+
+
+def test_ingest_keeps_what_it_refuses(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = ['{"level": "INFO", "service": "s", "message": "m", "environment": null}', "not json"]
+    lines += ['{"level": "INFO", "service": "s", "message": "m", "timestamp": "garbage"}']
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    quarantine, dead = (sinks.Sink("parquet", str(tmp_path / n)) for n in ("q", "d"))
+    config = stats_config(tmp_path)
+    jobs.start_ingest(spark, config, quarantine, dead).awaitTermination()
+    (refused,) = spark.read.parquet(quarantine.location).collect()
+    assert refused.raw == lines[2] and refused.reasons == ["timestamp"]
+    assert [r.raw for r in spark.read.parquet(dead.location).collect()] == ["not json"]
+    (taken,) = [json.loads(r.value) for r in spark.read.text(config.feed("raw").location).collect()]
+    assert "environment" not in taken and taken["timestamp"]
+
+
+def test_dead_letters_of_the_feeds(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("not json\n")
+    dead = sinks.Sink("parquet", str(tmp_path / "d"))
+    config = stats_config(tmp_path, dead_letters=dead)
+    jobs.start_feeds(spark, config, ("processed", "anomalies")).awaitTermination()
+    assert spark.read.parquet(dead.location).first().raw == "not json"
+    assert spark.read.text(config.feed("processed").location).count() == 0
+
+
+def test_batches_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good = {"level": "INFO", "service": "s", "message": "m"}
+    lines = [{"batch_id": "a", "logs": [good, good]}, {"batch_id": "b", "logs": [good, {}]}]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, lines)))
+    quarantine, outcomes = (sinks.Sink("parquet", str(tmp_path / n)) for n in ("q", "o"))
+    config = stats_config(tmp_path)
+    jobs.start_batch_ingest(spark, config, quarantine, outcomes).awaitTermination()
+    assert spark.read.text(config.feed("raw").location).count() == 2
+    assert json.loads(spark.read.parquet(quarantine.location).first().raw) == lines[1]
+    found = {r.batch: (r.processed, r.failed, r.status) for r in spark.read.parquet(outcomes.location).collect()}
+    assert found == {"a": (2, 0, "success"), "b": (0, 2, "refused")}
+
+
 def test_restart_goes_on_without_loss_or_repeats(spark, tmp_path):
     config = stats_config(tmp_path)
     for i in range(3):
@@ -205,19 +304,17 @@ def test_lake_from_a_stream(spark, tmp_path):
 def test_start_all_and_stop_all(spark, tmp_path, capfd):
     values_file(tmp_path / "in", "a.json", [{"timestamp": at(), "level": "FATAL"}])
     log = monitor.ProgressLog()
-    spark.streams.addListener(log)
     try:
         config = stats_config(tmp_path, console=True)
-        queries = jobs.start_all(spark, config, str(tmp_path / "stats"))
-        assert sorted(queries) == ["alerts", "processed", "stats"]
+        queries = jobs.start_all(spark, config, str(tmp_path / "stats"), log)
+        assert sorted(queries) == ["console", "feeds", "service_metrics", "stats"]
         jobs.run_until_stopped(spark, queries)
         for query in queries.values():
             assert not query.isActive
-        for _ in range(50):
-            ended = sum(r[2] == "stopped" for r in log.rows())
-            if ended == 3 and {r[0] for r in log.rows() if r[2] == "progress"} == set(queries):
-                break
-            time.sleep(0.2)
+        wait_until(lambda: sum(r[2] == "stopped" for r in log.rows()) == 4)
+        wait_until(lambda: {r[0] for r in log.rows() if r[2] == "progress"} == set(queries))
+        for feed in ("processed", "anomalies", "high_priority", "training", "service_metrics"):
+            assert spark.read.text(config.feed(feed).location).count() > 0
     finally:
         spark.streams.removeListener(log)
         spark.streams.resetTerminated()
