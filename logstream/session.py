@@ -80,8 +80,7 @@ _made: list[str] = []
 def clear_scratch(spark: SparkSession) -> None:
     """Removes what :func:`scratch` has given out; call it when no result is read any more."""
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, _made.pop())
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
@@ -89,3 +88,16 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = scratch(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in files.listStatus(root)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder with all that is in it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logstream.operators.parse import as_values
-from logstream.session import stored
+from logstream.session import folders, remove, stored
 
 # Producer settings.
 PRODUCER_OPTIONS = {"kafka.acks": "all", "kafka.retries": "3"}
@@ -227,15 +227,11 @@ def prune_batches(spark: SparkSession, path: str, keep: int = 2) -> None:
 
 def _folders(spark: SparkSession, path: str, part: str) -> list[str]:
     """The values of a partition column, from the names of its folders."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [status.getPath().getName() for status in files.listStatus(root)]
+    names = folders(spark, path)
     return [name.partition("=")[2] for name in names if name.startswith(f"{part}=")]
 
 
 def _keep_batches(spark: SparkSession, path: str, wanted: Callable[[int], bool]) -> None:
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     for batch in _folders(spark, path, "batch_id"):
         if not wanted(int(batch)):
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch}"), True)
+            remove(spark, f"{path}/batch_id={batch}")
