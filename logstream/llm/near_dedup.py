@@ -1,14 +1,20 @@
 """Near duplicates: banded MinHash, sequential Bayesian pruning, exact verification.
 
 Documents of equal shingle sets are one class, and only its smallest document goes on.
-Bands of the signatures put classes into buckets. In each round a bucket names a few
-pivots; every other member that is not yet in a pivot's component is compared with it, so
-that a bucket costs a multiple of its size and never its square. A bucket takes part until
-all its members are in one component or every pair of them from two components was compared.
-
-A comparison reads the signatures batch by batch and stops as soon as the posterior
-probability of a similarity over the threshold falls below the chosen miss probability. What
-survives is verified on the full shingle sets.
+Bands of the signatures put classes into buckets, and each bucket is given a pivot, a document
+that shares buckets with most others, from among its members' bucket neighbours. Members are
+compared with pivots, never all with each other. A comparison reads the signatures batch by
+batch and stops as soon as the posterior probability of a similarity over the threshold falls
+below the chosen miss probability. What survives is verified on the full shingle sets.
+
+Members that are not linked with their pivot may still be linked with each other, but then they
+have shingles in common that the pivot lacks, and how many at least follows from their sizes. So
+they meet again by such shingles (of which all but that many, less one, are enough), name a pivot
+among them, and so on; what counts then is what all pivots so far lack. In a group of up to FEW
+each member is a pivot, which ends it. All ends when no group has members of two components left
+that were not compared or ruled out. Only members just below the threshold are compared directly
+with those of the smaller members that come into question.
+Each step costs a multiple of a group's size, and none is cut off.
 """
 
 from __future__ import annotations
@@ -43,7 +49,6 @@ class Settings:
     rows: int = 6
     batch: int = 32
     miss: float = 1e-6
-    pivots: int = 4
 
     @property
     def hashes(self) -> int:
@@ -56,6 +61,8 @@ def _constants(count: int, seed: int) -> np.ndarray:
 
 WORD_FACTORS = _constants(SHINGLE, 11) | np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+# Members of a group up to which each of them is a pivot.
+FEW = 32
 # Hash values that are compared in one step; keeps the matrix in the cache.
 STEP = 512
 
@@ -208,15 +215,142 @@ def _buckets(marks: DataFrame, settings: Settings) -> DataFrame:
     return banded.join(shared.filter("x <> y").select("bucket"), "bucket", "left_semi")
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members with the root of their component, of buckets that have more than one."""
-    if labels is None:
-        return members.withColumn("label", F.col("doc"))
-    named = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "bucket", "doc", F.coalesce("root", "doc").alias("label")
+def _groups(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pivots, doc) for all buckets, a list of one pivot each; and documents' weights as pivots."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    weights = stored(
+        members.join(sizes, "bucket").groupBy("doc").agg(F.sum("size").alias("weight")), "weights"
+    )
+
+    def heaviest(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.max("rank").alias("rank"))
+
+    ranked = members.join(weights.select("doc", F.struct("weight", "doc").alias("rank")), "doc")
+    # From members to buckets, on to all their members, and to buckets again.
+    around = stored(heaviest(ranked, "bucket"), "leaders")
+    leaders = heaviest(members.join(around, "bucket"), "doc")
+    pivots = heaviest(members.join(leaders, "doc"), "bucket")
+    found = members.join(pivots.select("bucket", F.array("rank.doc").alias("pivots")), "bucket")
+    return found.select("pivots", "doc").distinct(), weights
+
+
+TOKENS = "pivots array<long>, doc long, token long, bound long"
+
+
+def _tokens(named: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Shingles that all pivots lack, as many as a link of the member needs at least one of.
+
+    A member x shares with any y of its group that it is linked with at least
+    p (|x| + least) / (100 + p) shingles, p being the threshold and ``least`` the size of the
+    smallest member; those beyond what it shares with the pivots are shingles that they lack.
+    Where there are none beyond, ``bound`` is the size up to which x may be linked all the same.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        groups = batch.column("pivots").to_pylist()
+        unions: dict[tuple, np.ndarray] = {}
+        for pivots, pivot_texts in zip(groups, batch.column("pivot_texts")):
+            if tuple(pivots) not in unions:
+                sets = shingle_sets(pivot_texts.as_py())
+                unions[tuple(pivots)] = np.unique(np.concatenate(sets))
+        docs, leasts = (batch.column(c).to_pylist() for c in ("doc", "least"))
+        last_texts = batch.column("text").to_pylist()
+        rows: list[list] = [[], [], [], []]
+        for pivots, doc, least, own in zip(groups, docs, leasts, shingle_sets(last_texts)):
+            added = np.setdiff1d(own, unions[tuple(pivots)], assume_unique=True)
+            common = len(own) - len(added)
+            # No set smaller than this can be linked with x at all.
+            least = max(least, -(-percent * len(own) // 100))
+            needed = -(-percent * (len(own) + least) // (100 + percent)) - common
+            if needed > 0:
+                added = added[: max(0, len(added) - needed + 1)]
+            values = added.view(np.int64).tolist()
+            rows[2] += values
+            rows[3] += [None] * len(values)
+            if needed <= 0:
+                rows[2].append(None)
+                rows[3].append((100 + percent) * common // percent - len(own))
+                values.append(None)
+            rows[0] += [pivots] * len(values)
+            rows[1] += [doc] * len(values)
+        kinds = [pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
+        arrays = [pa.array(column, kind) for column, kind in zip(rows, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, ["pivots", "doc", "token", "bound"])
+
+    pivot_texts = (
+        named.select("pivots")
+        .distinct()
+        .select("pivots", F.explode("pivots").alias("doc_id"))
+        .join(texts, "doc_id")
+        .groupBy("pivots")
+        .agg(F.collect_list("text").alias("pivot_texts"))
     )
-    several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    return named.join(several.filter("x <> y").select("bucket"), "bucket", "left_semi")
+    of_doc = texts.select(F.col("doc_id").alias("doc"), "text")
+    least = named.groupBy("pivots").agg(F.min("n").alias("least"))
+    rows = named.select("pivots", "doc").join(of_doc, "doc").join(least, "pivots")
+    return map_batches(rows.join(pivot_texts, "pivots"), run, TOKENS)
+
+
+def _regrouped(
+    named: DataFrame, weights: DataFrame, texts: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """The groups of the next round, and pairs that must be compared directly.
+
+    ``named`` has groups with more than one label.
+    """
+    tokens = stored(_tokens(named, texts, percent), "tokens")
+    key = ["pivots", "token"]
+    labelled = tokens.filter("token IS NOT NULL").join(
+        named.select("pivots", "doc", "label"), ["pivots", "doc"]
+    )
+    several = labelled.groupBy(*key).agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    keyed = labelled.join(several.filter("x <> y").select(*key), key, "left_semi")
+    keyed = keyed.join(weights, "doc").select(*key, "doc", "weight", "label")
+    keyed = stored(_sized(keyed, key), "keyed")
+    few, many = keyed.filter(F.col("size") <= FEW), keyed.filter(F.col("size") > FEW)
+    chosen = many.groupBy(*key).agg(F.max(F.struct("weight", "doc"))["doc"].alias("pivot"))
+    again = (
+        many.join(chosen, key)
+        .filter("doc <> pivot")
+        .select(F.concat("pivots", F.array("pivot")).alias("pivots"), "doc")
+        .distinct()
+    )
+    close = tokens.filter("token IS NULL").select("pivots", F.col("doc").alias("x"), "bound")
+    own = named.select("pivots", F.col("doc").alias("x"), F.col("label").alias("label_x"))
+    # Of two members with different labels one has not the group's most common label.
+    counts = named.groupBy("pivots", "label").agg(F.count("*").alias("size"))
+    common = counts.groupBy("pivots").agg(F.max(F.struct("size", "label"))["label"].alias("common"))
+    direct = (
+        close.join(own, ["pivots", "x"])
+        .join(common, "pivots")
+        .filter("label_x <> common")
+        .join(named, "pivots")
+        .filter("n <= bound AND label <> label_x AND doc <> x")
+        .select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b"))
+    )
+    return again, direct.union(_among_few(few, key))
+
+
+def _sized(keyed: DataFrame, key: list[str]) -> DataFrame:
+    return keyed.join(keyed.groupBy(*key).agg(F.count("*").alias("size")), key)
+
+
+def _among_few(keyed: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of members with different labels, for keys of at most FEW members.
+
+    Every member of such a key is a pivot for the others. Most keys of a family have the same
+    members, which are taken once.
+    """
+    lists = keyed.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("doc", "label"))).alias("members")
+    )
+    one = lists.select("members").distinct().select("members", F.explode("members").alias("x"))
+
+    def other(member):
+        return (member["doc"] > F.col("x.doc")) & (member["label"] != F.col("x.label"))
+
+    both = one.select("x.doc", F.explode(F.filter("members", other)).alias("y"))
+    return both.select(F.col("doc").alias("a"), F.col("y.doc").alias("b"))
 
 
 def link(marks: DataFrame, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -230,20 +364,18 @@ def link(marks: DataFrame, docs: DataFrame, settings: Settings = Settings()) ->
     texts = stored(
         rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"
     )
-    labels, links, tested, pivots = None, None, None, 1
+    marks = stored(marks.join(wanted, "doc_id", "left_semi"), "marks")
+    sizes = marks.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
+    groups, weights = _groups(members)
+    direct = tested = links = labels = None
     while True:
-        members = stored(_labelled(members, labels), "members")
-        if members.isEmpty():
-            break
-        # In each class of members the smallest is a pivot.
-        group = F.pmod(F.xxhash64("doc"), F.lit(pivots)).alias("class")
-        chosen = members.groupBy("bucket", group).agg(F.min_by("label", "doc").alias("own"), F.min("doc").alias("pivot"))
-        pairs = (
-            members.join(chosen.drop("class"), "bucket")
-            .filter("doc <> pivot AND label <> own")
-            .select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-            .distinct()
-        )
+        groups = stored(groups, "groups")
+        pivot = F.element_at("pivots", -1)
+        pairs = groups.select(F.least(pivot, "doc").alias("a"), F.greatest(pivot, "doc").alias("b"))
+        pairs = pairs.filter("a <> b")
+        if direct is not None:
+            pairs = pairs.union(direct)
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -252,10 +384,17 @@ def link(marks: DataFrame, docs: DataFrame, settings: Settings = Settings()) ->
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)
-        # A pivot was compared with all other members and is done in this bucket.
-        done = chosen.select("bucket", F.col("pivot").alias("doc"))
-        members = members.select("bucket", "doc").join(done, ["bucket", "doc"], "left_anti")
-        pivots = settings.pivots
+        named, label = groups.filter(pivot != F.col("doc")), F.col("doc")
+        if labels is not None:
+            named = named.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+            label = F.coalesce("root", "doc")
+        named = named.select("pivots", "doc", label.alias("label")).join(sizes, "doc")
+        several = named.groupBy("pivots").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+        named = named.join(several.filter("x <> y").select("pivots"), "pivots", "left_semi")
+        named = stored(named.select("pivots", "doc", "label", "n"), "named")
+        if named.isEmpty():
+            break
+        groups, direct = _regrouped(named, weights, texts, settings.percent)
     if labels is None:
         return marks.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).limit(0)
     return labels
@@ -273,7 +412,7 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     classes = stored(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
     marks = stored(
-        named.select("doc_id", "signature")
+        named.select("doc_id", "n_shingles", "signature")
         .join(reps, "doc_id", "left_semi")
         .dropDuplicates(["doc_id"]),
         "marks",
