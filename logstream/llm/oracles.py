@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from logstream.llm import licenses
+
 QUALITY = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(text, '') AS body,
@@ -143,3 +145,50 @@ SELECT conv_id, count(*) AS n_turns,
     AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+_TEMPLATES = ",\n".join(
+    f"({number}, '{one.label}', {str(one.base).lower()}, '{one.words}')"
+    for number, one in enumerate(licenses.TEMPLATES)
+)
+
+LICENSES = rf"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+templates AS (
+  SELECT template, label, base, string_split(phrase, ' ') AS own
+  FROM (VALUES {_TEMPLATES}) AS t(template, label, base, phrase)),
+pairs AS (
+  SELECT template, label, base, len(own) - 1 AS pairs, i AS place, own[i + 1] AS a, own[i + 2] AS b
+  FROM templates, unnest(range(0, len(own) - 1)) AS u(i)),
+found AS (
+  SELECT doc_id, i AS start, words[i + 1] AS a, words[i + 2] AS b
+  FROM docs, unnest(range(0, len(words) - 1)) AS u(i)),
+votes AS (
+  SELECT doc_id, template, label, base, pairs, start - place AS diagonal,
+    list(DISTINCT place) AS places
+  FROM found JOIN pairs USING (a, b) GROUP BY ALL),
+exact AS (
+  SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word
+  FROM votes WHERE base AND len(places) = pairs GROUP BY doc_id),
+stepped AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= {licenses.GAP} THEN 0 ELSE 1 END AS apart
+  FROM votes WHERE NOT base WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+passages AS (
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS passage FROM stepped),
+covers AS (
+  SELECT doc_id, label, len(list_distinct(flatten(list(places)))) / any_value(pairs) AS cover
+  FROM passages GROUP BY doc_id, label, template, passage),
+named AS (
+  SELECT doc_id, label, true AS base, CAST(1 AS DOUBLE) AS cover
+  FROM votes WHERE base AND len(places) = pairs
+  UNION ALL SELECT doc_id, label, false, cover FROM covers),
+told AS (
+  SELECT doc_id, max(cover) AS score,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label)
+      FILTER (base OR cover >= {licenses.LEAST_COVER}), '') AS labels
+  FROM named GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, CAST(0 AS DOUBLE)) AS score
+FROM docs LEFT JOIN exact USING (doc_id) LEFT JOIN told USING (doc_id)
+"""

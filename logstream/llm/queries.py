@@ -113,4 +113,5 @@ ORACLES: dict[str, str] = {
     "op5_bayesian_minhash": oracles.NEAR_DEDUP,
     "op6_round_trip_chat": oracles.CHAT,
     "op8_seekable_warc": oracles.WARC,
+    "op10_diagonal_licenses": oracles.LICENSES,
 }
