@@ -220,6 +220,42 @@ class TestNearDedup:
         found = dict(rows(near_dedup.groups(table(spark, texts), settings), "doc_id", "component_id"))
         assert found == {0: 0, 1: 1, 2: 1}
 
+    @pytest.mark.parametrize("few", [32, 2])
+    def test_families_against_all_pairs(self, spark, monkeypatch, few):
+        """Copies of copies, near and far, so that many are linked with others than the pivot."""
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        rng = random.Random(12)
+
+        def edited(words, n):
+            own = list(words)
+            for place in rng.sample(range(len(own)), n):
+                own[place] = f"e{rng.randrange(10**9)}"
+            return own
+
+        base = prose(3, 200, 5000).split()
+        family = [base] + [edited(base, rng.randrange(1, 14)) for _ in range(60)]
+        for _ in range(40):
+            family.append(edited(rng.choice(family), rng.randrange(0, 6)))
+        family += [own[: rng.randrange(150, 200)] for own in rng.sample(family, 15)]
+        sets = near_dedup.shingle_sets([" ".join(own) for own in family])
+        root = list(range(len(family)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for b in range(len(family)):
+            for a in range(b):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+        found = near_dedup.groups(table(spark, [" ".join(own) for own in family]))
+        want = [(i, find(i)) for i in range(len(family))]
+        assert len({r for _, r in want}) > 10
+        assert rows(found, "doc_id", "component_id") == sorted(want, key=repr)
+
     def test_limits_prune_what_is_surely_apart(self):
         settings = near_dedup.Settings()
         limits = near_dedup.least_matches(settings)
