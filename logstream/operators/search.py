@@ -48,8 +48,10 @@ def matching(
     return df
 
 
-def _reached(counts: DataFrame, unit: str, limit: int) -> Column:
-    """The latest ``unit`` from which on there are ``limit`` rows, or NULL; a scalar subquery.
+def _reached(counts: DataFrame, unit: str, limit: int, otherwise: Column | None = None) -> Column:
+    """The latest ``unit`` from which on there are ``limit`` rows, else ``otherwise`` or NULL.
+
+    A plain scalar subquery, so that a comparison with it reaches the scan.
 
     ``counts`` has a row per unit and merges map-side; they are added up as one sorted list.
     """
@@ -61,7 +63,8 @@ def _reached(counts: DataFrame, unit: str, limit: int) -> Column:
         crossed = state["at"].isNull() & (seen >= limit)
         return F.struct(seen.alias("seen"), F.when(crossed, one[unit]).otherwise(state["at"]).alias("at"))
 
-    return counts.agg(F.aggregate(newest_first, start, step)["at"].alias("at")).scalar()
+    at = F.aggregate(newest_first, start, step)["at"]
+    return counts.agg((at if otherwise is None else F.coalesce(at, otherwise)).alias("at")).scalar()
 
 
 def newest(df: DataFrame, limit: int, *ties: str) -> DataFrame:
@@ -73,7 +76,8 @@ def newest(df: DataFrame, limit: int, *ties: str) -> DataFrame:
     task. Rows without a time come last, where the limit is not reached.
     """
     kind = df.schema["timestamp"].dataType
-    if set(DAY_PARTS) <= set(df.columns):
+    in_folders = set(DAY_PARTS) <= set(df.columns)
+    if in_folders:
         day = F.make_date(*[F.col(part).cast("int") for part in DAY_PARTS])
     else:
         day = F.to_date("timestamp")
@@ -89,12 +93,13 @@ def newest(df: DataFrame, limit: int, *ties: str) -> DataFrame:
     ahead = df.sparkSession.range(1).select(
         F.lit("9999-12-31 00:00:00").cast(kind).alias("unit"), later.alias("n")
     )
-    first_minute = _reached(minutes.union(ahead), "unit", limit)
     beginning = F.lit("0001-01-01 00:00:00").cast(kind)
     from_then = df.where(
-        (day >= F.coalesce(first_day, F.lit("0001-01-01").cast("date")))
-        & (F.col("timestamp") >= F.coalesce(first_minute, beginning))
+        F.col("timestamp") >= _reached(minutes.union(ahead), "unit", limit, beginning)
     )
+    if in_folders:
+        first = F.lit("0001-01-01").cast("date")
+        from_then = from_then.where(day >= _reached(days, "unit", limit, first))
     timeless = df.where(F.col("timestamp").isNull() & first_day.isNull())
     return from_then.union(timeless).orderBy(*_newest_first(), *ties).limit(limit)
 
