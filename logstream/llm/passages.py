@@ -37,6 +37,8 @@ GAP_COST = 0.2
 # Alignment: words without a match that end a piece, and the shortest piece.
 WIDEST_GAP = 16
 LEAST_PIECE = 10
+# Words to each side of a chain that its alignment may use.
+SLACK = 64
 # Pieces from different anchors this near are one passage.
 NEAR = 4
 
@@ -164,7 +166,7 @@ def chains(places: list[int], others: list[int]) -> list[list[int]]:
 CHAINS = (
     "doc long, anchor long, places array<int>, anchor_places array<int>, lengths array<int>"
 )
-CHAIN_NAMES = ["doc", "anchor", "places", "anchor_places", "lengths"]
+CHAIN_NAMES = [field.split()[0] for field in CHAINS.split(", ")]
 
 
 def _chain_document(doc: int, rows: list[tuple[int, int, int]]) -> Iterator[tuple]:
@@ -325,32 +327,57 @@ PIECES = (
 PIECE_NAMES = ["doc", "anchor", *Piece._fields]
 
 
-def aligned(chain_rows: DataFrame, texts: DataFrame) -> DataFrame:
+def cut(chain_rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The chains with the document's words around all of them, SLACK to each side, and where
+    these begin.
+
+    What is equal beyond that has seeds of its own. Only these words travel to the anchors.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        firsts, parts, last, words = [], [], None, []
+        columns = (batch.column(c).to_pylist() for c in ("doc", "text", "places"))
+        for doc, text, places in zip(*columns):
+            if doc != last:
+                last, words = doc, lower_white_words(text)
+            first = max(0, min(places) - SLACK)
+            firsts.append(first)
+            parts.append(b" ".join(words[first : max(places) + SEED + SLACK]).decode())
+        arrays = [batch.column(name) for name in CHAIN_NAMES]
+        arrays += [pa.array(firsts, pa.int32()), pa.array(parts, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, [*CHAIN_NAMES, "first", "words"])
+
+    return map_batches(chain_rows.join(texts, "doc"), run, f"{CHAINS}, first int, words string")
+
+
+def aligned(cuts: DataFrame, texts: DataFrame) -> DataFrame:
     """The pieces of all chains."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        words: dict[int, list[bytes]] = {}
-        for row in batch.to_pylist():
-            a = lower_white_words(row["text"])
-            if row["anchor"] not in words:
+        last, b = None, []
+        names = (*CHAIN_NAMES, "first", "words", "anchor_text")
+        for doc, anchor, places, others, lengths, first, words, text in zip(
+            *(batch.column(c).to_pylist() for c in names)
+        ):
+            if anchor != last:
                 # Neighbouring rows often have the same anchor.
-                words = {row["anchor"]: lower_white_words(row["anchor_text"])}
-            b, first = words[row["anchor"]], 0
-            pairs = list(zip(row["places"], row["anchor_places"]))
+                last, b = anchor, lower_white_words(text)
+            a, done = words.encode().split(), 0
+            pairs = [(place - first, other) for place, other in zip(places, others)]
             pieces: set[Piece] = set()
-            for length in row["lengths"]:
-                pieces.update(align(a, b, pairs[first : first + length]))
-                first += length
-            out += [(row["doc"], row["anchor"], *piece) for piece in sorted(pieces)]
+            for length in lengths:
+                pieces.update(align(a, b, pairs[done : done + length]))
+                done += length
+            for start, end, *rest in sorted(pieces):
+                out.append((doc, anchor, start + first, end + first, *rest))
         kinds = [pa.int64()] * 2 + [pa.int32()] * 5
         columns = list(zip(*out)) if out else [()] * len(kinds)
         arrays = [pa.array(values, kind) for values, kind in zip(columns, kinds)]
         return pa.RecordBatch.from_arrays(arrays, PIECE_NAMES)
 
     anchors = texts.select(F.col("doc").alias("anchor"), F.col("text").alias("anchor_text"))
-    joined = chain_rows.join(texts, "doc").join(anchors, "anchor")
-    return map_batches(joined, run, PIECES)
+    return map_batches(cuts.join(anchors, "anchor"), run, PIECES)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -378,7 +405,7 @@ def find(docs: DataFrame) -> DataFrame:
         .dropDuplicates(["doc"]),
         "passage-texts",
     )
-    pieces = aligned(chain_rows, texts)
+    pieces = aligned(cut(chain_rows, texts), texts)
     by_place = Window.partitionBy("doc").orderBy("start", "end", "anchor", "anchor_start")
     reached = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.when(F.col("start") <= reached + NEAR, 0).otherwise(1)
