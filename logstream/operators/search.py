@@ -13,6 +13,7 @@ from logstream.functions import ids
 from logstream.functions.clock import stamp, truncated, utc
 from logstream.operators.alerts import description
 from logstream.operators.stats import as_of_time, is_flagged
+from logstream.session import stored
 from logstream.sources.lake import DAY_PARTS
 
 
@@ -238,17 +239,45 @@ def top_anomalies(df: DataFrame, n: int = 5) -> DataFrame:
     return newest_per_group(df.where("is_anomaly"), ["service"], n)
 
 
+def numbered_per_group(df: DataFrame, group: list[str]) -> DataFrame:
+    """All rows with their ``position`` in their group, newest first.
+
+    Rows are numbered in the parts of a stored range sort, and a group's position goes on from
+    part to part, so that a busy group is spread over many tasks.
+    """
+    order = [*map(F.asc, group), *_newest_first()]
+    rows = stored(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id()),
+        "positions",
+    )
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = (
+        rows.groupBy(*group, "_part")
+        .agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select("_first", "_before", *(F.col(c).alias(f"_of_{c}") for c in (*group, "_part")))
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*group, "_part")]
+    position = F.col("_row") - F.col("_first") + F.col("_before") + 1
+    return rows.join(parts, same).select(*df.columns, position.alias("position"))
+
+
 def recent_by_service_minute(
     df: DataFrame,
     as_of: Column | datetime | None = None,
     ttl: str = "1 hour",
     latest: int | None = None,
+    positions: bool = False,
 ) -> DataFrame:
     """Records younger than ``ttl``, listed per service and minute, newest first.
 
     The list order is a range sort that ends in the trace id, so one busy
     service and minute is spread over many tasks. With ``latest`` each list is
-    cut to that many records, which carry their ``position``.
+    cut to that many records, which carry their ``position``. With ``positions``
+    all records carry it, and none is cut.
     """
     now = as_of_time(df, as_of)
     ts = F.col("timestamp")
@@ -257,4 +286,8 @@ def recent_by_service_minute(
     )
     if latest is not None:
         recent = newest_per_group(recent, ["service", "minute_start"], latest)
+    elif positions:
+        return numbered_per_group(recent, ["service", "minute_start"]).orderBy(
+            "service", "minute_start", "position"
+        )
     return recent.orderBy("service", "minute_start", *_newest_first())

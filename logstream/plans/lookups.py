@@ -126,6 +126,19 @@ def latest_logs_by_service_minute(spark: SparkSession, sf_dir: str) -> DataFrame
     return rows.select("service", "minute_start", "position", "trace_id")
 
 
+@query("""SELECT service, date_trunc('minute', "timestamp") AS minute_start, row_number() OVER (
+        PARTITION BY service, minute_start ORDER BY "timestamp" DESC, trace_id) AS position,
+    "timestamp", trace_id, level, message
+FROM logs, (SELECT max("timestamp") AS now FROM logs) WHERE "timestamp" > now - INTERVAL 1 HOUR""")
+def recent_positions_by_service_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the last hour with its position in the list of its service and minute."""
+    logs, now = fx.logs(spark, sf_dir), fx.newest(spark, sf_dir)
+    rows = search.recent_by_service_minute(logs, now, positions=True)
+    return rows.select(
+        "service", "minute_start", "position", "timestamp", "trace_id", "level", "message"
+    )
+
+
 @query("""SELECT service, CAST(position AS INT) AS position, "timestamp", trace_id, severity
 FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY "timestamp" DESC, trace_id)
     AS position FROM scored WHERE is_anomaly) WHERE position <= 5""")

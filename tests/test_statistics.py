@@ -243,6 +243,19 @@ def test_recent_by_service_minute(log):
     assert [r.trace_id for r in by_default.collect()] == ["61.5", "61.0"]
 
 
+def test_recent_positions_count_every_record(log):
+    rows = [
+        {"timestamp": after(seconds=s), "trace_id": f"{s:02}{t}", "service": service}
+        for s in range(40) for t in "ab" for service in ("user-service", None)
+    ]
+    listed = search.recent_by_service_minute(log(*rows), after(minutes=1), positions=True).collect()
+    assert len(listed) == 160
+    want = [f"{s:02}{t}" for s in reversed(range(40)) for t in "ab"]
+    for service in ("user-service", None):
+        of = [r for r in listed if r.service == service]
+        assert [(r.position, r.trace_id) for r in of] == list(enumerate(want, 1))
+
+
 def test_top_anomalies(log):
     rows = [{"level": "FATAL", "timestamp": after(minutes=m), "trace_id": f"t{m}"} for m in range(4)]
     top = search.top_anomalies(detect_v3(log(*rows)), 2).orderBy("position").collect()
