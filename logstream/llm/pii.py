@@ -30,8 +30,23 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|password=[^\s]{8,64})(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|password=[^\s]{8,})(?![A-Za-z0-9])")
 DIGIT = re.compile(r"[0-9]")
+# Digits or letters that no separator parts; proposals may end where such a group ends.
+GROUP = re.compile(r"[A-Z0-9]+")
+LEAST_IBAN = 15
+# Characters of an account number, by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI",
+        20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 CONTEXT = {
     "iban": ("iban", "account", "bank", "transfer"),
@@ -111,29 +126,80 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers with the right check digits, also where other groups follow them.
+
+    A known country's number has its length, or else all of the match; other numbers end with
+    any group of it, the longest that the check digits confirm.
+    """
+    found = []
+    match = IBAN.search(text)
+    while match:
+        ends = [group.end() for group in GROUP.finditer(text, *match.span())][::-1]
+        size = IBAN_LENGTHS.get(match[0][:2])
+        if size:
+            own = [end for end in ends if len(text[match.start() : end].replace(" ", "")) == size]
+            ends = own + ends[:1]
+        for end in ends:
+            number = text[match.start() : end]
+            if len(number.replace(" ", "")) >= LEAST_IBAN and mod_97(number):
+                found.append((match.start(), end))
+                break
+        # What was proposed beyond the number, or in vain, may hold another.
+        match = IBAN.search(text, found[-1][1] if found and found[-1][0] == match.start() else match.start() + 1)
+    return found
+
+
+def short_cards(text: str) -> list[tuple[int, int]]:
+    """Card numbers of 13 to 15 digits that the Luhn digit confirms, also where other groups follow them.
+
+    They start where a run of digits starts, or where the last one ends, and end with any group,
+    the longest that is confirmed; unbroken ones may stand anywhere in the run.
+    """
+    found = []
+    for match in CARD.finditer(text):
+        digits = "".join(GROUP.findall(match[0]))
+        if len(digits) < 13 or 16 <= len(digits) <= 19 and luhn(digits):
+            continue
+        groups = [group.span() for group in GROUP.finditer(text, *match.span())]
+        first, fresh = 0, True
+        while first < len(groups):
+            size, ends = 0, []
+            for last in range(first, len(groups) if fresh else first + 1):
+                size += groups[last][1] - groups[last][0]
+                if size > 15:
+                    break
+                if size >= 13:
+                    ends.append(last)
+            for last in reversed(ends):
+                start, end = groups[first][0], groups[last][1]
+                if luhn("".join(GROUP.findall(text, start, end))):
+                    found.append((start, end))
+                    first, fresh = last + 1, True
+                    break
+            else:
+                first, fresh = first + 1, False
+    return found
+
+
 def further_spans(text: str) -> list[Span]:
     """Spans of the other kinds whose score is high enough."""
     spans = []
     if DIGIT.search(text):
-        for match in IBAN.finditer(text):
-            spans += _scored("iban", text, match, mod_97(match[0]))
-        for match in CARD.finditer(text):
-            digits = match[0].replace(" ", "").replace("-", "")
-            if 13 <= len(digits) <= 15:
-                spans += _scored("short_card", text, match, luhn(digits), needs_checksum=True)
+        for span in ibans(text):
+            spans += _scored("iban", text, span, True)
+        for span in short_cards(text):
+            spans += _scored("short_card", text, span, True)
         for match in NATIONAL_ID.finditer(text):
-            spans += _scored("national_id", text, match, False)
-        for match in SECRET.finditer(text):
-            spans += _scored("secret", text, match, False)
+            spans += _scored("national_id", text, match.span(), False)
+    # A password need not have a digit.
+    for match in SECRET.finditer(text) if "password=" in text or "AKIA" in text else ():
+        spans += _scored("secret", text, match.span(), False)
     return spans
 
 
-def _scored(
-    kind: str, text: str, match: re.Match, confirmed: bool, needs_checksum: bool = False
-) -> list[Span]:
-    if needs_checksum and not confirmed:
-        return []
-    start, end = match.span()
+def _scored(kind: str, text: str, span: tuple[int, int], confirmed: bool) -> list[Span]:
+    start, end = span
     near = f"{text[max(0, start - CONTEXT_CHARS) : start]} {text[end : end + CONTEXT_CHARS]}".lower()
     words = set(re.findall(r"[a-z]+", near))
     score = PATTERN_SCORE[kind] + CHECKSUM_SCORE * confirmed

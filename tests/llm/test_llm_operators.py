@@ -542,6 +542,27 @@ class TestPii:
         assert pii.further_spans("my ssn 123-45-6789")[0].kind == "national_id"
         assert pii.further_spans("part 123-45-6789") == []
 
+    def test_further_kinds_are_taken_whole(self):
+        def clean(text):
+            return pii.redacted(text, pii.base_spans(text) + pii.further_spans(text))
+
+        for secret in ("x" * 65, "q" * 300, "a1" * 31 + "!.-" * 40 + "z", "letters-only"):
+            assert clean(f"my password={secret} here") == "my [SECRET] here"
+        spaced, plain = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+        for after in ("BIC", "12", "THEN SOME CAPITAL WORDS", "ABCDEFGHIJKLMNOP"):
+            assert clean(f"to {spaced} {after}") == f"to [IBAN] {after}"
+            assert clean(f"to {plain} {after}") == f"to [IBAN] {after}"
+        assert clean(f"{spaced} GB82 WEST 1234 5698 7654 32, XX12 {plain}") == "[IBAN] [IBAN], XX12 [IBAN]"
+        assert clean("378282246310005 0625 1234") == "[SHORT_CARD] 0625 1234"
+        assert clean("3782 822463 10005 1234") == "[SHORT_CARD] 1234"
+        assert clean("12 378282246310005") == "12 [SHORT_CARD]"
+        assert clean("378282246310005 371449635398431") == "[SHORT_CARD] [SHORT_CARD]"
+        assert clean("4111 1111 1111 1111") == "[CARD]"
+
+    def test_further_kinds_take_linear_time(self):
+        for text in ("1 " * 150_000, "AB12 " * 60_000, "1234 " * 60_000, "password=" * 30_000, "A" * 300_000 + "0"):
+            pii.further_spans(text)
+
     def test_redacted(self, spark):
         docs = spark.createDataFrame([(1, "to a@b.co, 1.2.3.4", 18), (2, None, 0)], "doc_id long, text string, n_chars long")
         assert rows(pii.redact(docs), "doc_id", "text", "n_chars") == [(1, "to [EMAIL], [IP]", 16), (2, None, None)]
