@@ -8,6 +8,12 @@ gaps, through a Fenwick tree; the chains are then aligned word by word.
 
 A passage of LEAST_SHARED words whose five-word shingles agree to 0.8 has at least two
 seeds; matches that stand alone are dropped before texts are fetched.
+
+The smallest documents with the seeds of a passage may have them by chance, each apart, and then
+nothing is reported between these seeds' other holders. So around seeds that no reported passage
+holds, in all documents that have them, every LONG words become a seed, with an anchor of
+its own. Such an anchor shares LONG words, which is a piece; equal runs of LEAST_SHARED words are
+therefore covered whole, whatever the anchors are, and matches still grow with the seeds.
 """
 
 from __future__ import annotations
@@ -39,10 +45,17 @@ WIDEST_GAP = 16
 LEAST_PIECE = 10
 # Words to each side of a chain that its alignment may use.
 SLACK = 64
+# Words of the seeds around what the others leave out; not below LEAST_PIECE.
+LONG = 20
+# Words to each side of a shared seed that an equal run may have without another one.
+EDGE = WINDOW - 1
 # Pieces from different anchors this near are one passage.
 NEAR = 4
 
 
+LONG_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
 def minimizers(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places whose hash is the least of some ``window`` neighbours that hold them."""
     if len(hashes) <= window:
@@ -80,8 +93,55 @@ def seeds(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "doc long, seed long, place int, first boolean")
 
 
-def matches(seeded: DataFrame) -> DataFrame:
-    """doc, anchor, place, anchor_place: each seed of a document with its anchor."""
+def long_seeds(texts: DataFrame, around: DataFrame, known: DataFrame) -> DataFrame:
+    """doc, seed, place, first, and whether a known passage of the document holds it.
+
+    The seeds are all runs of LONG words near the places in ``around``.
+    """
+    near = around.groupBy("doc").agg(F.collect_set("place").alias("near"))
+    spans = known.groupBy("doc").agg(F.collect_list(F.array("passage_start", "passage_end")).alias("spans"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: list[list] = [[], [], [], [], []]
+        columns = (batch.column(c).to_pylist() for c in ("doc", "near", "spans"))
+        hashed = shingle_hashes(batch.column("text").to_pylist())
+        for doc, near, spans, hashes in zip(*columns, hashed):
+            size = len(hashes) - LONG + SEED
+            if size <= 0:
+                continue
+            values = np.zeros(size, np.uint64)
+            for offset in range(0, LONG, SEED):
+                values = values * LONG_FACTOR + hashes[offset : offset + size]
+            wanted, held = np.zeros(size, bool), np.zeros(size, bool)
+            for place in near:
+                wanted[max(0, place - EDGE - LONG + 1) : place + SEED + EDGE] = True
+            for start, end in spans or ():
+                held[start : max(start, end - LONG + 1)] = True
+            places = np.flatnonzero(wanted)
+            values = values[places]
+            first = np.zeros(len(values), bool)
+            first[np.unique(values, return_index=True)[1]] = True
+            found[0].append(np.full(len(values), doc, np.int64))
+            found[1].append(values.view(np.int64))
+            found[2].append(places.astype(np.int32))
+            found[3].append(first)
+            found[4].append(held[places])
+        kinds = [np.int64, np.int64, np.int32, bool, bool]
+        arrays = [pa.array(np.concatenate([np.empty(0, k), *f]).astype(k)) for f, k in zip(found, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, ["doc", "seed", "place", "first", "held"])
+
+    return map_batches(
+        texts.join(near, "doc").join(spans, "doc", "left"),
+        run,
+        "doc long, seed long, place int, first boolean, held boolean",
+    )
+
+
+def matches(seeded: DataFrame, of: str = "true") -> DataFrame:
+    """doc, anchor, place, anchor_place: each seed of a document with its anchor.
+
+    ``of`` says for which seeds; all may give an anchor.
+    """
     anchors = (
         seeded.filter("first")
         .groupBy("seed")
@@ -94,12 +154,34 @@ def matches(seeded: DataFrame) -> DataFrame:
         .drop("last")
     )
     return (
-        seeded.join(anchors, "seed")
+        seeded.filter(of)
+        .join(anchors, "seed")
         .filter("doc <> anchor")
         .select("doc", "anchor", "place", "anchor_place")
     )
 
 
+def left_out(chain_rows: DataFrame, known: DataFrame) -> DataFrame:
+    """doc and place of the seeds that some document has outside its known passages, or near
+    the end of one, in all documents that have them."""
+    at = F.explode(F.arrays_zip("places", "anchor_places"))
+    held = chain_rows.select("doc", "anchor", at.alias("at")).select(
+        "doc", "anchor", F.col("at.places").alias("place"), F.col("at.anchor_places").alias("anchor_place")
+    )
+    inside = (
+        (F.col("doc") == F.col("in_doc"))
+        & (F.greatest(F.col("place") - EDGE, F.lit(0)) >= F.col("passage_start"))
+        & (F.col("place") + SEED + EDGE <= F.col("passage_end"))
+    )
+    # An anchor and its place stand for the seed.
+    wanted = (
+        held.join(known.withColumnRenamed("doc", "in_doc"), inside, "left_anti")
+        .select("anchor", "anchor_place")
+        .distinct()
+    )
+    return held.join(wanted, ["anchor", "anchor_place"], "left_semi").select("doc", "place")
+
+
 class _Fenwick:
     """Greatest value, and its index, over prefixes of ranks."""
 
@@ -169,8 +251,11 @@ CHAINS = (
 CHAIN_NAMES = [field.split()[0] for field in CHAINS.split(", ")]
 
 
-def _chain_document(doc: int, rows: list[tuple[int, int, int]]) -> Iterator[tuple]:
-    """One row per anchor: its chains, one after another, and their lengths."""
+def _chain_document(doc: int, rows: list[tuple[int, int, int]], lone: bool) -> Iterator[tuple]:
+    """One row per anchor: its chains, one after another, and their lengths.
+
+    Matches that stand alone are left out unless ``lone`` is set.
+    """
     places = sorted(row[1] for row in rows)
     near = []
     for row in rows:
@@ -179,7 +264,7 @@ def _chain_document(doc: int, rows: list[tuple[int, int, int]]) -> Iterator[tupl
         alone = (index + 1 >= len(places) or places[index + 1] - row[1] > LEAST_SHARED) and (
             index == 0 or row[1] - places[index - 1] > LEAST_SHARED
         )
-        if not alone:
+        if lone or not alone:
             near.append(row)
     start = 0
     while start < len(near):
@@ -200,7 +285,7 @@ def _chain_document(doc: int, rows: list[tuple[int, int, int]]) -> Iterator[tupl
         start = end
 
 
-def chained(matched: DataFrame) -> DataFrame:
+def chained(matched: DataFrame, lone: bool = False) -> DataFrame:
     """The chains of each document and anchor, in CHAINS."""
     kinds = [pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * 3
 
@@ -215,14 +300,14 @@ def chained(matched: DataFrame) -> DataFrame:
             for own, *row in zip(*columns):
                 if own != doc:
                     if rows:
-                        out += _chain_document(doc, rows)
+                        out += _chain_document(doc, rows, lone)
                     doc, rows = own, []
                     if len(out) >= 1000:
                         yield batch_of(out)
                         out = []
                 rows.append(row)
         if rows:
-            out += _chain_document(doc, rows)
+            out += _chain_document(doc, rows, lone)
         if out:
             yield batch_of(out)
 
@@ -242,12 +327,18 @@ class Piece(NamedTuple):
     matched: int
 
 
-def _runs(a: list, b: list, chain: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Equal runs (start in a, start in b, length) that the chain's seeds extend to."""
+def _runs(
+    a: list, b: list, chain: list[tuple[int, int]]
+) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Equal runs (start in a, start in b, length) that the chain's seeds extend to, and
+    the seeds beyond them in a whose words in b are in use."""
     runs: list[tuple[int, int, int]] = []
+    missed = []
     end_a = end_b = 0
     for i, j in chain:
         if i < end_a or j < end_b:
+            if i >= end_a:
+                missed.append((i, j))
             continue
         while i > end_a and j > end_b and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
@@ -257,7 +348,7 @@ def _runs(a: list, b: list, chain: list[tuple[int, int]]) -> list[tuple[int, int
         if length:
             runs.append((i, j, length))
             end_a, end_b = i + length, j + length
-    return runs
+    return runs, missed
 
 
 def _common(a: list, b: list) -> int:
@@ -296,7 +387,8 @@ def _grown(a: list, b: list, i: int, j: int, step: int) -> tuple[int, int, int]:
 def align(a: list, b: list, chain: list[tuple[int, int]]) -> list[Piece]:
     """The similar pieces of a chain: runs, the gaps between them, and what grows at the ends."""
     groups: list[list[tuple[int, int, int]]] = []
-    for run in _runs(a, b, chain):
+    all_runs, missed = _runs(a, b, chain)
+    for run in all_runs:
         if groups:
             i, j, length = groups[-1][-1]
             if max(run[0] - i - length, run[1] - j - length) <= WIDEST_GAP:
@@ -318,6 +410,9 @@ def align(a: list, b: list, chain: list[tuple[int, int]]) -> list[Piece]:
         else:
             # The runs by themselves are equal throughout.
             pieces += [Piece(i, i + n, j, j + n, n) for i, j, n in runs]
+    for seed in missed:
+        if not any(piece.start <= seed[0] < piece.end for piece in pieces):
+            pieces += [Piece(i, i + n, j, j + n, n) for i, j, n in _runs(a, b, [seed])[0]]
     return [piece for piece in pieces if piece.end - piece.start >= LEAST_PIECE]
 
 
@@ -331,7 +426,7 @@ def cut(chain_rows: DataFrame, texts: DataFrame) -> DataFrame:
     """The chains with the document's words around all of them, SLACK to each side, and where
     these begin.
 
-    What is equal beyond that has seeds of its own. Only these words travel to the anchors.
+    What is equal beyond that has seeds of its own, and long ones where these have other anchors. Only these words travel to the anchors.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -380,6 +475,21 @@ def aligned(cuts: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(cuts.join(anchors, "anchor"), run, PIECES)
 
 
+def assembled(pieces: DataFrame) -> DataFrame:
+    """The pieces with the passage that they and their neighbours make, where it is long enough."""
+    by_place = Window.partitionBy("doc").orderBy("start", "end", "anchor", "anchor_start")
+    reached = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("start") <= reached + NEAR, 0).otherwise(1)
+    passage = Window.partitionBy("doc", "passage")
+    return (
+        pieces.withColumn("apart", apart)
+        .withColumn("passage", F.sum("apart").over(by_place))
+        .withColumn("passage_start", F.min("start").over(passage))
+        .withColumn("passage_end", F.max("end").over(passage))
+        .filter(F.col("passage_end") - F.col("passage_start") >= LEAST_ALIGNED)
+    )
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Passages that documents share with a smaller one: a row for each piece.
 
@@ -405,26 +515,21 @@ def find(docs: DataFrame) -> DataFrame:
         .dropDuplicates(["doc"]),
         "passage-texts",
     )
-    pieces = aligned(cut(chain_rows, texts), texts)
-    by_place = Window.partitionBy("doc").orderBy("start", "end", "anchor", "anchor_start")
-    reached = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(F.col("start") <= reached + NEAR, 0).otherwise(1)
-    passage = Window.partitionBy("doc", "passage")
-    return (
-        pieces.withColumn("apart", apart)
-        .withColumn("passage", F.sum("apart").over(by_place))
-        .withColumn("passage_start", F.min("start").over(passage))
-        .withColumn("passage_end", F.max("end").over(passage))
-        .filter(F.col("passage_end") - F.col("passage_start") >= LEAST_ALIGNED)
-        .select(
-            F.col("doc").alias("doc_id"),
-            "start",
-            "end",
-            F.col("anchor").alias("other_id"),
-            F.col("anchor_start").alias("other_start"),
-            F.col("anchor_end").alias("other_end"),
-            "matched",
-            "passage_start",
-            "passage_end",
-        )
+    pieces = stored(aligned(cut(chain_rows, texts), texts), "pieces")
+    known = stored(
+        assembled(pieces).select("doc", "passage_start", "passage_end").distinct(), "passages"
+    )
+    longer = stored(long_seeds(texts, left_out(chain_rows, known), known), "long-seeds")
+    more_rows = stored(chained(matches(longer, "not held"), lone=True), "more-chains")
+    more = aligned(cut(more_rows, texts), texts)
+    return assembled(pieces.unionByName(more).distinct()).select(
+        F.col("doc").alias("doc_id"),
+        "start",
+        "end",
+        F.col("anchor").alias("other_id"),
+        F.col("anchor_start").alias("other_start"),
+        F.col("anchor_end").alias("other_end"),
+        "matched",
+        "passage_start",
+        "passage_end",
     )

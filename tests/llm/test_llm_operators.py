@@ -307,6 +307,32 @@ class TestPassages:
         assert {(r.doc_id, r.passage_start, r.passage_end) for r in found} == {(2, 80, 140)}
         assert {r.other_id for r in found} == {0, 1}
 
+    def test_passage_whose_seeds_stand_alone_in_smaller_documents(self, spark):
+        shared = prose(50, 60, 5000).split()
+        grams = [" ".join(shared[i : i + 5]) for i in range(56)]
+        # Each five words also in small documents, and apart in a long one; often enough to be a seed there.
+        texts = [
+            f"{prose(1000 + 20 * i + n, 30, 5000)} {gram} {prose(9000 + 20 * i + n, 30, 5000)}"
+            for i, gram in enumerate(grams)
+            for n in range(12)
+        ]
+        long = [" ".join(texts)]
+        pair = [f"{prose(n, 80, 5000)} {' '.join(shared)} {prose(n + 2, 80, 5000)}" for n in (1, 2)]
+        for given in (texts + pair, long + pair):
+            found = passages.find(table(spark, given)).collect()
+            assert {(len(given) - 1 - r.doc_id, r.start, r.end) for r in found} == {(0, 80, 140)}
+
+    def test_run_with_chance_anchors_far_from_its_own(self, spark):
+        shared = prose(50, 300, 5000).split()
+        grams = [" ".join(shared[i : i + 5]) for i in range(40, 296)]
+        texts = [" ".join(f"{gram} {prose(1000 + 20 * i + n, 30, 5000)}" for i, gram in enumerate(grams) for n in range(12))]
+        texts += [f"{prose(n, 80, 5000)} {' '.join(shared)} {prose(n + 2, 80, 5000)}" for n in (1, 2)]
+        covered = set()
+        for r in passages.find(table(spark, texts)).collect():
+            assert r.doc_id == 2
+            covered.update(range(r.start, r.end))
+        assert covered == set(range(80, 380))
+
     def test_copies_and_short_repeats(self, spark):
         text = prose(6, 120, 5000)
         line = prose(7, 20, 5000)
