@@ -15,7 +15,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near duplicates."""
+    """The smallest document of each group of near duplicates: shingle sets that agree to 0.85."""
     return near_dedup.keep_one(docs)
 
 
