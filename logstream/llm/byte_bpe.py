@@ -337,8 +337,8 @@ def _encoded(rows: list[tuple]) -> pa.RecordBatch:
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes its ids stand for.
 
-    The token table is joined in the tasks: it has one row per vocabulary entry, whatever
-    the corpus. NULL ids decode to NULL.
+    Ids are looked up in the tasks, in a token table that each worker loads: it has one row per
+    vocabulary entry, whatever the corpus. NULL ids decode to NULL.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
