@@ -11,6 +11,7 @@ from logstream.llm import (
     byte_bpe,
     chat,
     decontaminate,
+    hard_negatives,
     licenses,
     near_dedup,
     oracles,
@@ -21,6 +22,7 @@ from logstream.llm import (
     warc,
 )
 from logstream.llm.common import fresh_folder, stored, table
+from logstream.llm.vectors import scaled, usable
 
 TOKENIZERS = "/opt/tokenizers"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -92,6 +94,18 @@ def op10_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each hundredth embedding, with every seventh label moved on."""
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull() & usable("embedding"))
+    rows = rows.select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        scaled("embedding", 256).alias("x"),
+    )
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in (
@@ -105,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_seekable_warc,
         op9_checked_pii,
         op10_diagonal_licenses,
+        op11_threshold_negatives,
     )
 }
 ORACLES: dict[str, str] = {
@@ -114,4 +129,5 @@ ORACLES: dict[str, str] = {
     "op6_round_trip_chat": oracles.CHAT,
     "op8_seekable_warc": oracles.WARC,
     "op10_diagonal_licenses": oracles.LICENSES,
+    "op11_threshold_negatives": oracles.HARD_NEGATIVES,
 }
