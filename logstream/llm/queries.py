@@ -20,6 +20,7 @@ from logstream.llm import (
     quality,
     token_files,
     warc,
+    whitening,
 )
 from logstream.llm.common import fresh_folder, stored, table
 from logstream.llm.vectors import scaled, usable
@@ -106,6 +107,13 @@ def op11_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on their eight leading whitened components."""
+    rows = table(spark, sf_dir, "embeddings").filter(usable("embedding"))
+    shift = 100_000
+    return whitening.whiten(rows.select("vec_id", scaled("embedding", 1024, shift).alias("x")), 8, shift)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in (
@@ -120,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_checked_pii,
         op10_diagonal_licenses,
         op11_threshold_negatives,
+        op12_qd_whitening,
     )
 }
 ORACLES: dict[str, str] = {
