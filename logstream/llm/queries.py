@@ -12,6 +12,7 @@ from logstream.llm import (
     chat,
     decontaminate,
     hard_negatives,
+    language,
     licenses,
     near_dedup,
     oracles,
@@ -114,6 +115,14 @@ def op12_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows.select("vec_id", scaled("embedding", 1024, shift).alias("x")), 8, shift)
 
 
+def op13_sliced_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language.held_out("doc_id"))
+    model = language.learn(docs.filter(~F.col("held_out")))
+    return language.identify(docs.drop("lang"), model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in (
@@ -129,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_diagonal_licenses,
         op11_threshold_negatives,
         op12_qd_whitening,
+        op13_sliced_language_filters,
     )
 }
 ORACLES: dict[str, str] = {
