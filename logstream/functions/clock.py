@@ -20,6 +20,11 @@ def utc(moment: Column | datetime | date) -> Column:
     return moment if isinstance(moment, Column) else F.lit(moment)
 
 
+def utc_day(moment: datetime) -> date:
+    """The day of a given time; a plain datetime means UTC."""
+    return moment.date() if moment.tzinfo is None else moment.astimezone(timezone.utc).date()
+
+
 def _one_if(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 

@@ -25,3 +25,11 @@ def pinned(df: DataFrame, *names: str) -> DataFrame:
     """
     others = [c for c in df.columns if c not in names]
     return df.select(*others, computed_once(F.struct(*names)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer form of it that no column of ``df`` has."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

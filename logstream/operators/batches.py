@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstream import model
+from logstream.functions.rows import free_name, pinned
 from logstream.operators.parse import submitted
 from logstream.operators.validate import apply_defaults, is_valid, validate
 
@@ -27,18 +28,30 @@ def _sizes(df: DataFrame, most: int) -> DataFrame:
 def accept_batches(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:
     """Rows of the batches with 1..``most`` entries that are all valid.
 
-    A row without a ``batch_id`` is a batch of its own. Rows meet their batch's verdict by id and
-    salt, and the verdicts are few and small, so that no id meets in one task.
+    A row without a ``batch_id`` is a batch of its own. Batches of more than ``most`` entries are few and
+    may hold any share of the rows: these leave first, by id and salt. What is left of any id fits a task,
+    and rows without an id are spread, when rows meet the verdict on their batch.
     """
-    accepted = (
-        _sizes(df, most)
-        .where("accepted")
-        .select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt, key, taken = (free_name(df, name) for name in ("_salt", "_key", "_taken"))
+    # Pinned, both verdicts look alike to the planner, and one aggregation serves them.
+    sizes = pinned(_sizes(df, most), "entries", "accepted")
+    too_large = sizes.where(F.col("entries") > most).select(
+        "batch_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt)
     )
-    salt = F.pmod(F.xxhash64("message", *[c for c in ("trace_id", "timestamp") if c in df.columns]), F.lit(SALTS))
-    named = df.where(F.col("batch_id").isNotNull()).withColumn("_salt", salt)
-    kept = named.join(accepted, ["batch_id", "_salt"], "left_semi").select(*df.columns)
-    return kept.union(df.where(F.col("batch_id").isNull() & is_valid()))
+    accepted = sizes.where("accepted").select("batch_id", F.lit(0).alias(key), F.lit(True).alias(taken))
+    part = F.pmod(F.xxhash64(*_told_apart(df)), F.lit(SALTS)).cast("int")
+    rows = df.withColumn(salt, part).withColumn(
+        key, F.when(F.col("batch_id").isNull(), part + 1).otherwise(0)
+    )
+    small = rows.join(too_large, ["batch_id", salt], "left_anti")
+    judged = small.join(accepted, ["batch_id", key], "left")
+    kept = F.col(taken) | (F.col("batch_id").isNull() & is_valid())
+    return judged.where(kept).select(*df.columns)
+
+
+def _told_apart(df: DataFrame) -> list[str]:
+    """Columns that differ between the rows of a batch."""
+    return [c for c in ("message", "trace_id", "timestamp") if c in df.columns]
 
 
 def batch_outcome(df: DataFrame, most: int = model.MAX_BATCH) -> DataFrame:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logstream import model
 from logstream.functions import ids
-from logstream.functions.clock import stamp, truncated, utc
+from logstream.functions.clock import stamp, truncated, utc, utc_day
+from logstream.functions.rows import free_name
 from logstream.operators.alerts import description
 from logstream.operators.stats import as_of_time, is_flagged
 from logstream.session import stored
-from logstream.sources.lake import DAY_PARTS
+from logstream.sources.lake import lake_days, lake_schema, read_lake
 
 
 def _newest_first() -> list[Column]:
@@ -71,37 +72,15 @@ def _reached(counts: DataFrame, unit: str, limit: int, otherwise: Column | None
 def newest(df: DataFrame, limit: int, *ties: str) -> DataFrame:
     """The ``limit`` newest rows, newest first; ``ties`` order rows after the trace id.
 
-    Rows are counted per day, from the folder names alone where ``df`` is the lake, and then per
-    minute of the one day that completes the limit. Only rows from that minute on are read
-    whole and sorted: a plain top-k would send ``limit`` rows of every task of the scan to one
-    task. Rows without a time come last, where the limit is not reached.
+    Rows are counted per hour, and only those from the hour on that completes the limit are read whole
+    and sorted: a plain top-k would send ``limit`` rows of every task of the scan to one task. Rows
+    without a time come last, where the limit is not reached. See :func:`search_lake` for the lake.
     """
-    kind = df.schema["timestamp"].dataType
-    in_folders = set(DAY_PARTS) <= set(df.columns)
-    if in_folders:
-        day = F.make_date(*[F.col(part).cast("int") for part in DAY_PARTS])
-    else:
-        day = F.to_date("timestamp")
-    days = df.groupBy(day.alias("unit")).agg(F.count("*").alias("n")).where("unit IS NOT NULL")
-    first_day = _reached(days, "unit", limit)
-    later = df.where(day > first_day).agg(F.count("*")).scalar()
-    minutes = (
-        df.where(day == first_day)
-        .groupBy(truncated(df, "minute").alias("unit"))
-        .agg(F.count("*").alias("n"))
-    )
-    # Minutes of that day count on top of all later days.
-    ahead = df.sparkSession.range(1).select(
-        F.lit("9999-12-31 00:00:00").cast(kind).alias("unit"), later.alias("n")
-    )
-    beginning = F.lit("0001-01-01 00:00:00").cast(kind)
-    from_then = df.where(
-        F.col("timestamp") >= _reached(minutes.union(ahead), "unit", limit, beginning)
-    )
-    if in_folders:
-        first = F.lit("0001-01-01").cast("date")
-        from_then = from_then.where(day >= _reached(days, "unit", limit, first))
-    timeless = df.where(F.col("timestamp").isNull() & first_day.isNull())
+    beginning = F.lit("0001-01-01 00:00:00").cast(df.schema["timestamp"].dataType)
+    hours = df.groupBy(truncated(df, "hour").alias("unit")).agg(F.count("*").alias("n"))
+    bound = _reached(hours.where("unit IS NOT NULL"), "unit", limit, beginning)
+    from_then = df.where(F.col("timestamp") >= bound)
+    timeless = df.where(F.col("timestamp").isNull() & (bound == beginning))
     return from_then.union(timeless).orderBy(*_newest_first(), *ties).limit(limit)
 
 
@@ -110,6 +89,34 @@ def search_logs(df: DataFrame, limit: int = 100, **filters) -> DataFrame:
     return newest(matching(df, **filters), check_limit(limit))
 
 
+def search_lake(spark: SparkSession, root: str, limit: int = 100, **filters) -> DataFrame:
+    """The newest ``limit`` matches of the lake at ``root``.
+
+    Days are taken from the folder names, newest first, one, then two, then four more, until they hold
+    the limit: older files are never opened.
+    """
+    check_limit(limit)
+    start, end = (filters.get(name) for name in ("start", "end"))
+    days = [
+        day
+        for day in reversed(lake_days(spark, root))
+        if (start is None or day >= utc_day(start)) and (end is None or day <= utc_day(end))
+    ]
+    schema = lake_schema(spark, root, days[0]) if days else None
+    found, taken, step = 0, 0, 1
+    while found < limit and taken < len(days):
+        more = days[taken : taken + step]
+        part = matching(read_lake(spark, root, more[-1], more[0], schema), **filters)
+        found += part.limit(limit).count()
+        taken, step = taken + len(more), step * 2
+    if found >= limit:
+        rows = read_lake(spark, root, days[taken - 1], days[0], schema)
+    else:
+        # Too few: rows that lie in no day, having no time, may count.
+        rows = spark.read.parquet(root)
+    return newest(matching(rows, **filters), limit)
+
+
 def search_summary(df: DataFrame, **filters) -> DataFrame:
     """One row: how many records match, and the filters that were applied."""
     applied = {
@@ -221,16 +228,17 @@ def newest_per_group(df: DataFrame, group: list[str], n: int) -> DataFrame:
     """
     if n < 1:
         raise ValueError(f"n must be 1 or more, not {n}")
+    name, place = free_name(df, "_part"), free_name(df, "_place")
     part = F.pmod(F.xxhash64("timestamp", "trace_id", "message"), F.lit(GROUP_PARTS))
-    in_part = W.partitionBy(*group, "_part").orderBy(*_newest_first())
+    in_part = W.partitionBy(*group, name).orderBy(*_newest_first())
     in_group = W.partitionBy(*group).orderBy(*_newest_first())
     return (
-        df.withColumn("_part", part)
-        .withColumn("position", F.row_number().over(in_part))
-        .where(F.col("position") <= n)
-        .withColumn("position", F.row_number().over(in_group))
-        .where(F.col("position") <= n)
-        .drop("_part")
+        df.withColumn(name, part)
+        .withColumn(place, F.row_number().over(in_part))
+        .where(F.col(place) <= n)
+        .withColumn(place, F.row_number().over(in_group))
+        .where(F.col(place) <= n)
+        .select(*[c for c in df.columns if c != "position"], F.col(place).alias("position"))
     )
 
 
@@ -246,47 +254,44 @@ def numbered_per_group(df: DataFrame, group: list[str]) -> DataFrame:
     part to part, so that a busy group is spread over many tasks.
     """
     order = [*map(F.asc, group), *_newest_first()]
+    part, row, n, first, before = (free_name(df, f"_{c}") for c in ("part", "row", "n", "first", "before"))
     rows = stored(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id()),
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(row, F.monotonically_increasing_id()),
         "positions",
     )
-    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy(*group).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     parts = (
-        rows.groupBy(*group, "_part")
-        .agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select("_first", "_before", *(F.col(c).alias(f"_of_{c}") for c in (*group, "_part")))
+        rows.groupBy(*group, part)
+        .agg(F.count("*").alias(n), F.min(row).alias(first))
+        .withColumn(before, F.coalesce(F.sum(n).over(ahead), F.lit(0)))
+        .alias("parts")
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*group, "_part")]
-    position = F.col("_row") - F.col("_first") + F.col("_before") + 1
-    return rows.join(parts, same).select(*df.columns, position.alias("position"))
+    same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"parts.{c}")) for c in (*group, part)]
+    position = F.col(row) - F.col(first) + F.col(before) + 1
+    kept = [F.col(f"rows.{c}") for c in df.columns if c != "position"]
+    return rows.alias("rows").join(parts, same).select(*kept, position.alias("position"))
 
 
 def recent_by_service_minute(
     df: DataFrame,
     as_of: Column | datetime | None = None,
     ttl: str = "1 hour",
-    latest: int | None = None,
     positions: bool = False,
 ) -> DataFrame:
-    """Records younger than ``ttl``, listed per service and minute, newest first.
+    """Records younger than ``ttl``, listed per service and minute, newest first; no list is cut.
 
-    The list order is a range sort that ends in the trace id, so one busy
-    service and minute is spread over many tasks. With ``latest`` each list is
-    cut to that many records, which carry their ``position``. With ``positions``
-    all records carry it, and none is cut.
+    The list order is a range sort that ends in the trace id, so one busy service and minute is spread
+    over many tasks. With ``positions`` each record carries its place in its list.
     """
     now = as_of_time(df, as_of)
     ts = F.col("timestamp")
     recent = df.where((ts > now - F.expr(f"INTERVAL {ttl}")) & (ts <= now)).withColumn(
         "minute_start", truncated(df, "minute")
     )
-    if latest is not None:
-        recent = newest_per_group(recent, ["service", "minute_start"], latest)
-    elif positions:
+    if positions:
         return numbered_per_group(recent, ["service", "minute_start"]).orderBy(
             "service", "minute_start", "position"
         )

@@ -114,15 +114,13 @@ def recent_logs_by_service_minute(spark: SparkSession, sf_dir: str) -> DataFrame
     return rows.select("service", "minute_start", "timestamp", "trace_id", "level", "message")
 
 
-@query("""SELECT service, minute_start, CAST(position AS INT) AS position, trace_id
-FROM (SELECT *, date_trunc('minute', "timestamp") AS minute_start, row_number() OVER (
-        PARTITION BY service, minute_start ORDER BY "timestamp" DESC, trace_id) AS position
-    FROM logs, (SELECT max("timestamp") AS now FROM logs) WHERE "timestamp" > now - INTERVAL 1 HOUR)
-WHERE position <= 2""")
+@query("""SELECT service, date_trunc('minute', "timestamp") AS minute_start, row_number() OVER (
+        PARTITION BY service, minute_start ORDER BY "timestamp" DESC, trace_id) AS position, trace_id
+FROM logs, (SELECT max("timestamp") AS now FROM logs) WHERE "timestamp" > now - INTERVAL 1 HOUR""")
 def latest_logs_by_service_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two newest records of every service and minute of the last hour: a top-k list."""
+    """The list of every service and minute of the last hour as ids, whole, newest first."""
     logs, now = fx.logs(spark, sf_dir), fx.newest(spark, sf_dir)
-    rows = search.recent_by_service_minute(logs, now, latest=2)
+    rows = search.recent_by_service_minute(logs, now, positions=True)
     return rows.select("service", "minute_start", "position", "trace_id")
 
 

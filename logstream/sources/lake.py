@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from logstream.session import folders
+
 DAY_PARTS = ("year", "month", "day")
 
 
@@ -75,6 +77,24 @@ def read_lake(
     return reader.parquet(root).where(day.between(F.lit(start_day), F.lit(end_day)))
 
 
+def lake_days(spark: SparkSession, root: str) -> list[date]:
+    """The days that have a folder, oldest first; no file is opened."""
+    found = [("", [])]
+    for part in DAY_PARTS:
+        found = [
+            (f"{path}/{name}", [*values, name.partition("=")[2]])
+            for path, values in found
+            for name in folders(spark, f"{root.rstrip('/')}{path}")
+            if name.startswith(f"{part}=")
+        ]
+    return sorted(date(*map(int, values)) for _, values in found if all(map(str.isdigit, values)))
+
+
+def lake_schema(spark: SparkSession, root: str, day: date) -> T.StructType:
+    """The columns of one day's files; other days are not opened for it."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{day:year=%Y/month=%m/day=%d}").schema
+
+
 def read_last_days(
     spark: SparkSession,
     root: str,

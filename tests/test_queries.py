@@ -6,7 +6,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 import check
-from logstream.plans import registry
+from logstream.operators import batches
+from logstream.plans import records, registry
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
@@ -95,6 +96,14 @@ def test_only_the_wanted_columns_are_read(spark, sf_dir):
 
 
 def test_batch_sizes_are_counted_once(spark, sf_dir):
+    """Two scans, the sizes and the rows, and one aggregation by batch for both verdicts."""
     df = QUERIES["batch_accept"](spark, sf_dir)
     df.collect()
-    assert "ReusedExchange" in plan_of(df).split("== Initial Plan ==")[0]
+    assert plan_of(df).split("== Initial Plan ==")[0].count("Scan parquet") <= 2
+    # With batches that are too large both verdicts are needed.
+    df = batches.accept_batches(records._batched(spark, sf_dir), most=50)
+    found = {r.batch_id for r in df.select("batch_id").distinct().collect()}
+    assert found and "bulk" not in found
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") + final.count("Scan parquet") in (3, 4)
+    assert len(set(re.findall(r"Exchange hashpartitioning\(batch_id#\d+, \d+\).*plan_id=\d+", final))) <= 1

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from logstream import model
-from logstream.operators import search, stats, topics
+from logstream.operators import batches, search, stats, topics
 from logstream.operators.evaluate import confusion_matrix
 from logstream.operators.forecast import service_load_trend
 from logstream.operators.rules import detect_v3
+from logstream.sources.lake import write_lake
 from logstream.sources.streams import read_topics
 
 START = datetime(2024, 1, 3, 12, 0, tzinfo=timezone.utc)
@@ -186,6 +187,48 @@ def test_newest_counts_the_days_of_the_lake_by_folder(spark, log, tmp_path):
     assert "Window" not in plan and "PartitionFilters: [" in plan
 
 
+def test_a_search_of_the_lake_opens_only_the_days_it_needs(spark, log, tmp_path):
+    rows = [{"timestamp": after(hours=12 * h), "trace_id": f"t{h:02d}", "service": f"s{h % 2}"} for h in range(40)]
+    root = str(tmp_path / "lake")
+    write_lake(log(*rows), root)
+    plain = spark.read.parquet(root)
+    # Days that are not needed cannot be read any more.
+    for part in tmp_path.glob("lake/year=*/month=*/day=*/*.parquet"):
+        if int(part.parent.name[4:]) < 15:
+            part.write_bytes(b"broken")
+    found = search.search_lake(spark, root, 5).collect()
+    assert [r.trace_id for r in found] == [f"t{h:02d}" for h in range(39, 34, -1)]
+    found = search.search_lake(spark, root, 3, service="s1", end=after(hours=12 * 37)).collect()
+    assert [r.trace_id for r in found] == ["t35", "t33", "t31"]
+    with pytest.raises(Exception):
+        plain.collect()
+
+
+def test_a_search_of_the_lake_equals_a_search_of_its_rows(spark, log, tmp_path):
+    rows = [{"timestamp": after(hours=7 * h), "trace_id": f"t{h:02d}"} for h in range(20)] + [{"timestamp": None}]
+    root = str(tmp_path / "lake")
+    write_lake(log(*rows), root)
+    for limit in (1, 4, 20, 21, 100):
+        want = [r.trace_id for r in search.search_logs(log(*rows), limit).collect()]
+        assert [r.trace_id for r in search.search_lake(spark, root, limit).collect()] == want
+    with pytest.raises(ValueError):
+        search.search_lake(spark, root, 0)
+
+
+def test_helper_columns_do_not_clash(spark, log):
+    rows = log({"trace_id": "a"}, {"trace_id": "b"}).withColumns(
+        {c: F.lit("kept") for c in ("_part", "_row", "_n", "_first", "_before", "_place", "_salt", "_key", "_taken")}
+    )
+    for made in (search.numbered_per_group(rows, ["service"]), search.newest_per_group(rows, ["service"], 2)):
+        assert made.columns == [*rows.columns, "position"]
+        assert [(r.position, r.trace_id, r._part, r._n) for r in made.orderBy("position").collect()] == [
+            (1, "a", "kept", "kept"), (2, "b", "kept", "kept"),
+        ]
+    batched = rows.withColumn("batch_id", F.lit("x"))
+    taken = batches.accept_batches(batched)
+    assert taken.columns == batched.columns and taken.where("_salt = 'kept' AND _key = 'kept'").count() == 2
+
+
 @pytest.mark.parametrize("n", [1, 3, 1500])
 def test_newest_per_group_is_the_sorted_head(spark, n):
     df = spark.range(3000).select(
@@ -237,8 +280,10 @@ def test_recent_by_service_minute(log):
     rows = [{"timestamp": after(minutes=m, seconds=s), "trace_id": f"{m}.{s}"} for m in (0, 1, 61) for s in (0, 5)]
     listed = search.recent_by_service_minute(log(*rows), after(minutes=61, seconds=2))
     assert [r.trace_id for r in listed.collect()] == ["1.5", "61.0"]
-    cut = search.recent_by_service_minute(log(*rows), after(minutes=62), "2 hours", latest=1)
-    assert [(r.trace_id, r.position) for r in cut.collect()] == [("0.5", 1), ("1.5", 1), ("61.5", 1)]
+    longer = search.recent_by_service_minute(log(*rows), after(minutes=62), "2 hours", positions=True)
+    assert [(r.trace_id, r.position) for r in longer.collect()] == [
+        ("0.5", 1), ("0.0", 2), ("1.5", 1), ("1.0", 2), ("61.5", 1), ("61.0", 2),
+    ]
     by_default = search.recent_by_service_minute(log(*rows))
     assert [r.trace_id for r in by_default.collect()] == ["61.5", "61.0"]
 
