@@ -34,14 +34,16 @@ def window_stats(
     df: DataFrame,
     width: str = "1 minute",
     slide: str | None = "30 seconds",
-    watermark: str = "5 minutes",
+    watermark: str | None = "5 minutes",
 ) -> DataFrame:
     """Sliding windows by service and level: volume, flagged share and scores.
 
+    A stream that has its watermark already is given with ``watermark`` None.
+
     All measures are merged map-side, so a hot service sends one row per task,
     window and level into the shuffle.
     """
-    if df.isStreaming:
+    if df.isStreaming and watermark is not None:
         df = df.withWatermark("timestamp", watermark)
     span = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)
     return (

@@ -8,17 +8,20 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logstream import model
 from logstream.operators.parse import drop_incomplete, parse_logs
 from logstream.plans import fixture as fx
 from logstream.plans.registry import query
-from logstream.plans.records import ALL_FEATURES_SQL, VALID_SQL
+from logstream.plans.records import ALL_FEATURES_SQL, BATCH_SQL, TAKEN_SQL, VALID_SQL
 from logstream.plans.statistics import rounded, window_sql
 from logstream.session import scratch
 from logstream.sources.lake import read_lake, write_lake, write_lake_stream
 from logstream.sources.streams import read_log_stream
 from logstream.streaming import jobs
+from logstream.streaming.batches import accept_streamed_batches
+from logstream.streaming.late import merged_windows
 from logstream.streaming.sinks import ONCE, Sink, read_latest, write_stream
 
 # --- lake --------------------------------------------------------------------
@@ -284,3 +287,115 @@ def stream_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields += ", ".join(f"{c} INT" for c in numbers)
     rows = _values(spark, config.feed("training").location, fields)
     return rows.withColumn("message_entropy", F.round("message_entropy", 9))
+
+
+# --- repeats, batches over several triggers, late rows ------------------------
+
+# Messages arrive a millisecond apart, whatever the time of their records.
+ARRIVAL = "timestamp'2024-02-01 00:00:00' + make_dt_interval(0, 0, 0, (partition + 6 * offset) / 1000)"
+
+
+def _in_files(rows: list[DataFrame], path: str) -> None:
+    """A file each, in this order: with one file per trigger they are as many triggers."""
+    for part in rows:
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+@query("""SELECT topic, trace_id FROM (SELECT 'processed' AS topic, * FROM arrived
+    UNION ALL SELECT 'anomalies', * FROM arrived WHERE is_anomaly)""")
+def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fifth message is sent again in a later trigger, and again after a restart."""
+    sent = fx.envelope(spark, sf_dir).withColumn("timestamp", F.expr(ARRIVAL))
+    again = sent.where("(partition + 6 * offset) % 5 = 0").withColumns(
+        {"offset": F.expr("offset + 1000000"), "timestamp": F.expr("timestamp + INTERVAL 1 MINUTE")}
+    )
+    topic = scratch(spark, "topic")
+    config = replace(
+        _config(spark, sf_dir), location=topic, max_per_trigger=1, repeats="10 minutes"
+    )
+    for parts in ([sent, again], [again.withColumn("offset", F.expr("offset + 1000000"))]):
+        _in_files(parts, topic)
+        jobs.start_feeds(spark, config, ("processed", "anomalies")).awaitTermination()
+    feeds = [
+        _values(spark, config.feed(name).location, "trace_id STRING").select(
+            F.lit(name).alias("topic"), "trace_id"
+        )
+        for name in ("processed", "anomalies")
+    ]
+    return feeds[0].union(feeds[1])
+
+
+@query(f"""SELECT batch_id, event_id, level, service FROM {TAKEN_SQL}""")
+def stream_batch_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch arrives over three triggers and is judged once it is over."""
+    fields = [*model.LOG_FIELDS, "event_id", "batch_id"]
+    record = F.struct(*[F.col(c) for c in fields])
+    sent = fx.logs(spark, sf_dir).withColumn("batch_id", F.expr(BATCH_SQL))
+    place = {"partition": F.expr("cast(event_id % 6 AS INT)"), "offset": F.expr("event_id DIV 6")}
+    sent = sent.withColumns({**place, "value": F.to_json(record).cast("binary")}).select(
+        F.lit(None).cast("binary").alias("key"),
+        "value",
+        F.lit("logs-raw").alias("topic"),
+        "partition",
+        "offset",
+        F.expr(ARRIVAL).alias("timestamp"),
+    )
+    # Later traffic shows that the batches are over; its own batch is not.
+    closing = sent.where("partition + 6 * offset = 0").withColumns(
+        {"timestamp": F.expr("timestamp + INTERVAL 1 DAY"), "value": F.lit('{"batch_id":"open"}').cast("binary")}
+    )
+    topic = scratch(spark, "topic")
+    _in_files([*(sent.where(f"(partition + 6 * offset) % 3 = {i}") for i in range(3)), closing], topic)
+    schema = T.StructType(
+        [*model.FULL.fields, T.StructField("event_id", T.LongType()), T.StructField("batch_id", T.StringType())]
+    )
+    entries = parse_logs(read_log_stream(spark, "parquet", topic, max_per_trigger=1), schema)
+    taken = accept_streamed_batches(entries, late="1 hour", longest="1 day")
+    sink = Sink("parquet", scratch(spark, "taken"))
+    write_stream(taken, sink, scratch(spark, "checkpoint"), trigger=ONCE).awaitTermination()
+    return spark.read.parquet(sink.location).select("batch_id", "event_id", "level", "service")
+
+
+def _late_topic(spark: SparkSession, sf_dir: str) -> tuple[jobs.StreamConfig, str]:
+    """Statistics of a topic whose every fifth record comes in a last trigger, and where they are.
+
+    A watermark is that of a trigger's predecessor, and drops rows from the next one on.
+    """
+    sent, topic = fx.envelope(spark, sf_dir), scratch(spark, "topic")
+    turn = "(partition + 6 * offset) % 5"
+    _in_files([sent.where(f"{turn} IN ({part})") for part in ("1, 2", "3, 4", "0")], topic)
+    sink = Sink("parquet", scratch(spark, "late"))
+    config = replace(_config(spark, sf_dir), location=topic, max_per_trigger=1, late=sink)
+    path = scratch(spark, "stats")
+    jobs.start_windows(spark, config, path).awaitTermination()
+    return config, path
+
+
+@query(window_sql("arrived", "1 minute", "30 seconds"))
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed windows with their late rows merged in: the result of the whole topic."""
+    config, path = _late_topic(spark, sf_dir)
+    late = spark.read.parquet(config.late.location)
+    merged = rounded(merged_windows(read_latest(spark, path), late))
+    return merged.withColumns({c: fx.ntz(c) for c in ("window_start", "window_end")})
+
+
+@query("""SELECT 2 * count(*) AS sent, CAST(count_if(first_end <= bound) + count_if(second_end <= bound) AS BIGINT)
+    AS late, 2 * count(*) - CAST(count_if(first_end <= bound) + count_if(second_end <= bound) AS BIGINT) AS on_time
+FROM (SELECT event_id,
+        CASE WHEN event_id % 5 = 0 THEN time_bucket(INTERVAL '30 seconds', "timestamp") + INTERVAL 30 SECOND END
+            AS first_end, first_end + INTERVAL 30 SECOND AS second_end FROM arrived),
+    (SELECT date_trunc('milliseconds', max("timestamp")) - INTERVAL 5 MINUTE AS bound
+        FROM arrived WHERE event_id % 5 IN (1, 2))""")
+def stream_late_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window entries on time and late add up to those sent; the late ones are those the watermark names."""
+    config, path = _late_topic(spark, sf_dir)
+    sent = spark.read.parquet(config.location).where("CAST(value AS STRING) <> 'not json'")
+    late = spark.read.parquet(config.late.location)
+    on_time = read_latest(spark, path)
+    counts = {
+        "sent": sent.agg((2 * F.count("*")).alias("n")).scalar(),
+        "late": late.agg(F.count("*")).scalar(),
+        "on_time": on_time.agg(F.sum("total_logs")).scalar(),
+    }
+    return spark.range(1).select(*[value.alias(name) for name, value in counts.items()])

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logstream import model
+from logstream.functions.ids import digest
 from logstream.operators import parse
 from logstream.operators.alerts import route, to_alerts
 from logstream.operators.batches import (
@@ -26,16 +27,19 @@ from logstream.operators.parse import (
     parse_marked,
     parse_submitted,
 )
+from logstream.operators.repeats import without_repeats
 from logstream.operators.rules import detect_v1, detect_v2, detect_v3
 from logstream.operators.stats import live_counters, window_stats
 from logstream.operators.validate import validate
 from logstream.sources.streams import read_log_stream
+from logstream.streaming.late import LATE_COLUMNS, late_bound, late_entries
 from logstream.streaming.monitor import ProgressLog
 from logstream.streaming.sinks import (
     Sink,
     every,
     fan_out,
     prune_batches,
+    upsert_latest,
     write_batch,
     write_latest,
     write_stream,
@@ -46,6 +50,7 @@ ALERT_SECONDS = 10
 SIMPLE_SECONDS = 15
 CONSOLE_SECONDS = 30
 STATS_SECONDS = 60
+STATS_WIDTH, STATS_SLIDE = "1 minute", "30 seconds"
 
 
 @dataclass(frozen=True)
@@ -55,6 +60,8 @@ class StreamConfig:
     ``feeds`` is a server list for Kafka sinks, or a folder. ``trigger``
     replaces the trigger of every query, as a test or a catch-up run needs.
     ``prefix`` sets the query names of one configuration apart from another's.
+    ``repeats`` is how long after its arrival a message may come again and is then
+    left out; without it nothing is. ``late`` takes the rows that windows are closed to.
     """
 
     source: str
@@ -70,6 +77,8 @@ class StreamConfig:
     watermark: str = "5 minutes"
     prefix: str = ""
     dead_letters: Sink | None = None
+    late: Sink | None = None
+    repeats: str | None = None
 
     def feed(self, name: str) -> Sink:
         topic = model.TOPICS[name]
@@ -93,7 +102,7 @@ def detected_logs(envelope: DataFrame) -> DataFrame:
 
 
 def open_source(spark: SparkSession, config: StreamConfig) -> DataFrame:
-    return read_log_stream(
+    sent = read_log_stream(
         spark,
         config.source,
         config.location,
@@ -101,6 +110,7 @@ def open_source(spark: SparkSession, config: StreamConfig) -> DataFrame:
         starting=config.starting,
         max_per_trigger=config.max_per_trigger,
     )
+    return sent if config.repeats is None else without_repeats(sent, within=config.repeats)
 
 
 def start_ingest(
@@ -203,12 +213,26 @@ def start_console(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
     )
 
 
+def _timed_logs(spark: SparkSession, config: StreamConfig) -> DataFrame:
+    """Scored records for windows. These have one watermark, on event time: repeats are looked for within it."""
+    logs = detected_logs(open_source(spark, replace(config, repeats=None)))
+    if config.repeats is None:
+        return logs
+    key = digest(*[F.col(c) for c in model.LOG_FIELDS])
+    return without_repeats(logs, key, "timestamp", config.watermark)
+
+
+def _statistics(config: StreamConfig, logs: DataFrame) -> DataFrame:
+    watermark = None if config.repeats is not None else config.watermark
+    return window_stats(logs, STATS_WIDTH, STATS_SLIDE, watermark)
+
+
 def start_service_metrics(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
     """Window statistics as messages: each time a window changes, its newest values.
 
     Readers keep the message of the greatest ``batch_id`` of a window.
     """
-    stats = window_stats(detected_logs(open_source(spark, config)), watermark=config.watermark)
+    stats = _statistics(config, _timed_logs(spark, config))
     feed = config.feed("service_metrics")
 
     def send(batch: DataFrame, batch_id: int) -> None:
@@ -226,12 +250,53 @@ def start_service_metrics(spark: SparkSession, config: StreamConfig) -> Streamin
 
 def start_stats(spark: SparkSession, config: StreamConfig, path: str) -> StreamingQuery:
     """Sliding window statistics, upserted to a table at ``path``."""
-    stats = window_stats(detected_logs(open_source(spark, config)), watermark=config.watermark)
+    stats = _statistics(config, _timed_logs(spark, config))
     return write_latest(
         stats, path, config.checkpoint("stats"), config.paced(STATS_SECONDS), config.name("stats")
     )
 
 
+def start_windows(spark: SparkSession, config: StreamConfig, path: str) -> StreamingQuery:
+    """Sliding window statistics from one state: a table at ``path`` and messages of the metrics topic.
+
+    With ``config.late`` each row that came too late for a window goes there, with that window, so that
+    nothing sent is lost: :func:`~logstream.streaming.late.merged_windows` brings both together.
+    """
+    checkpoint, feed = config.checkpoint("windows"), config.feed("service_metrics")
+    if config.late is not None and config.repeats is not None:
+        raise ValueError("late rows are not searched for repeats: give late or repeats")
+    logs = _timed_logs(spark, config)
+    stats = _statistics(config, logs)
+    results = stats
+    if config.late is not None:
+        # The rows go the same way as the results, through the same micro-batches.
+        kept = [c for c in LATE_COLUMNS if c not in ("window_start", "window_end")]
+        results = stats.unionByName(logs.select(*kept), allowMissingColumns=True)
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        is_stats = F.col("window_start").isNotNull()
+        if config.late is not None:
+            bound = late_bound(spark, checkpoint, batch_id)
+            rows = batch.where(~is_stats).select(*kept)
+            late = late_entries(rows, bound, STATS_WIDTH, STATS_SLIDE)
+            write_batch(late, config.late, batch_id)
+        changed = batch.where(is_stats).select(*stats.columns).persist()
+        try:
+            upsert_latest(changed, path, batch_id)
+            write_batch(changed.withColumn("sent_in", F.lit(batch_id)), feed, batch_id)
+        finally:
+            changed.unpersist()
+
+    return (
+        results.writeStream.outputMode("update")
+        .foreachBatch(send)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**config.paced(STATS_SECONDS))
+        .queryName(config.name("windows"))
+        .start()
+    )
+
+
 def start_counters(spark: SparkSession, config: StreamConfig, path: str) -> StreamingQuery:
     """Running totals, one row per micro-batch; read with :func:`read_counters`.
 
@@ -267,7 +332,8 @@ def start_all(
     stats_path: str,
     progress: ProgressLog | None = None,
 ) -> dict[str, StreamingQuery]:
-    """The whole detector: all feeds from one read, statistics, and the console if asked for.
+    """The whole detector: all feeds from one read, window statistics and metrics from one state, and
+    the console if asked for.
 
     With ``progress`` its events are recorded. If one query cannot start, those already
     running are stopped.
@@ -278,8 +344,7 @@ def start_all(
     try:
         feeds = ("processed", "anomalies", "high_priority", "training")
         running["feeds"] = start_feeds(spark, config, feeds)
-        running["stats"] = start_stats(spark, config, stats_path)
-        running["service_metrics"] = start_service_metrics(spark, config)
+        running["windows"] = start_windows(spark, config, stats_path)
         if config.console:
             running["console"] = start_console(spark, config)
     except Exception:

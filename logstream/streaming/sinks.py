@@ -94,7 +94,7 @@ def write_batch(df: DataFrame, sink: Sink, batch_id: int) -> None:
     """One micro-batch to a sink.
 
     Files go to a folder of the batch, which a replay overwrites. A topic gets
-    replayed rows twice; alert ids tell them apart.
+    replayed rows twice; readers leave them out with ``repeats``.
     """
     rows = sink.shape(df)
     if sink.kind == "console":
@@ -155,16 +155,7 @@ def write_latest(
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.repartition(files, *STATS_KEY)
-            .withColumns(
-                {"window_day": F.to_date("window_start"), "batch_id": F.lit(batch_id)}
-            )
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("window_day", "batch_id")
-            .parquet(path)
-        )
+        upsert_latest(batch, path, batch_id, files)
 
     writer = df.writeStream.outputMode("update").foreachBatch(upsert)
     writer = writer.option("checkpointLocation", checkpoint)
@@ -173,6 +164,18 @@ def write_latest(
     return (writer.queryName(name) if name else writer).start()
 
 
+def upsert_latest(batch: DataFrame, path: str, batch_id: int, files: int = 8) -> None:
+    """One micro-batch of window results to the table of :func:`write_latest`."""
+    (
+        batch.repartition(files, *STATS_KEY)
+        .withColumns({"window_day": F.to_date("window_start"), "batch_id": F.lit(batch_id)})
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("window_day", "batch_id")
+        .parquet(path)
+    )
+
+
 def read_latest(
     spark: SparkSession, path: str, key: tuple[str, ...] = STATS_KEY, since: str | None = None
 ) -> DataFrame:

@@ -105,5 +105,4 @@ def test_batch_sizes_are_counted_once(spark, sf_dir):
     found = {r.batch_id for r in df.select("batch_id").distinct().collect()}
     assert found and "bulk" not in found
     final = plan_of(df).split("== Initial Plan ==")[0]
-    assert final.count("ReusedExchange") + final.count("Scan parquet") in (3, 4)
-    assert len(set(re.findall(r"Exchange hashpartitioning\(batch_id#\d+, \d+\).*plan_id=\d+", final))) <= 1
+    assert final.count("ReusedExchange") == 1
