@@ -28,4 +28,4 @@ def query(check: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from logstream.plans import lookups, models, records, statistics, storage  # noqa: F401
+    from logstream.plans import derived, lookups, models, records, statistics, storage  # noqa: F401

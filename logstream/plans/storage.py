@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logstream import model
+from logstream.operators import topics
 from logstream.operators.parse import drop_incomplete, parse_logs
 from logstream.plans import fixture as fx
 from logstream.plans.registry import query
@@ -22,6 +23,7 @@ from logstream.sources.streams import read_log_stream
 from logstream.streaming import jobs
 from logstream.streaming.batches import accept_streamed_batches
 from logstream.streaming.late import merged_windows
+from logstream.streaming.offsets import committed
 from logstream.streaming.sinks import ONCE, Sink, read_latest, write_stream
 
 # --- lake --------------------------------------------------------------------
@@ -60,7 +62,7 @@ def _topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_log_stream(spark, "parquet", _stored_topic(spark, sf_dir))
 
 
-def _config(spark: SparkSession, sf_dir: str) -> jobs.StreamConfig:
+def stream_config(spark: SparkSession, sf_dir: str) -> jobs.StreamConfig:
     return jobs.StreamConfig(
         source="parquet",
         location=_stored_topic(spark, sf_dir),
@@ -81,7 +83,7 @@ def _values(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def stream_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest result of every window after the topic has been streamed."""
     path = scratch(spark, "stats")
-    jobs.start_stats(spark, _config(spark, sf_dir), path).awaitTermination()
+    jobs.start_stats(spark, stream_config(spark, sf_dir), path).awaitTermination()
     latest = rounded(read_latest(spark, path))
     return latest.withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
@@ -94,7 +96,7 @@ UNION ALL SELECT alert_id, log_timestamp, service, level, severity, anomaly_scor
     'alerts-high-priority' FROM sent_alerts WHERE severity = 'CRITICAL'""")
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts and critical alerts, written to two feeds by one query."""
-    config = _config(spark, sf_dir)
+    config = stream_config(spark, sf_dir)
     jobs.start_alerts(spark, config).awaitTermination()
     fields = "alert_id STRING, log_timestamp TIMESTAMP, service STRING, level STRING, "
     fields += "severity STRING, anomaly_score DOUBLE, trace_id STRING"
@@ -109,7 +111,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT trace_id, "timestamp", is_anomaly, anomaly_score, severity FROM arrived""")
 def stream_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = _config(spark, sf_dir)
+    config = stream_config(spark, sf_dir)
     jobs.start_processed(spark, config).awaitTermination()
     fields = "trace_id STRING, timestamp TIMESTAMP, is_anomaly BOOLEAN, "
     fields += "anomaly_score DOUBLE, severity STRING"
@@ -121,13 +123,13 @@ def stream_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(count_if(level IN ('ERROR', 'FATAL')) AS BIGINT) AS errors FROM arrived""")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "counters")
-    jobs.start_counters(spark, _config(spark, sf_dir), path).awaitTermination()
+    jobs.start_counters(spark, stream_config(spark, sf_dir), path).awaitTermination()
     return jobs.read_counters(spark, path)
 
 
 def _simple(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     sink = Sink("parquet", scratch(spark, f"detector_v{version}"))
-    config = _config(spark, sf_dir)
+    config = stream_config(spark, sf_dir)
     jobs.start_simple(spark, config, version, sink).awaitTermination()
     return spark.read.parquet(sink.location)
 
@@ -185,7 +187,7 @@ def _submitted(spark: SparkSession, sf_dir: str) -> jobs.StreamConfig:
             event_id % 29 == 0, F.regexp_replace(value, environment, '"environment":null,')
         ).otherwise(value)
     )
-    config = _config(spark, sf_dir)
+    config = stream_config(spark, sf_dir)
     rows = spark.read.parquet(config.location).withColumn("value", value.cast("binary"))
     topic = scratch(spark, "submitted")
     rows.write.parquet(topic)
@@ -261,7 +263,7 @@ def _ingested(spark: SparkSession, config: jobs.StreamConfig) -> tuple[DataFrame
 @query(window_sql("arrived", "1 minute", "30 seconds"))
 def stream_service_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest message of every window on the metrics topic."""
-    config = _config(spark, sf_dir)
+    config = stream_config(spark, sf_dir)
     jobs.start_service_metrics(spark, config).awaitTermination()
     fields = "window_start TIMESTAMP, window_end TIMESTAMP, service STRING, level STRING, "
     fields += "total_logs BIGINT, anomaly_count BIGINT, avg_anomaly_score DOUBLE, "
@@ -280,7 +282,7 @@ def stream_service_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM ({ALL_FEATURES_SQL}) f JOIN arrived s USING (event_id)""")
 def stream_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training topic."""
-    config = _config(spark, sf_dir)
+    config = stream_config(spark, sf_dir)
     jobs.start_training(spark, config).awaitTermination()
     numbers = [c for c in ("minute", *model.ANOMALY_FEATURES) if c != "message_entropy"]
     fields = "trace_id STRING, is_anomaly BOOLEAN, message_entropy DOUBLE, "
@@ -311,7 +313,7 @@ def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     topic = scratch(spark, "topic")
     config = replace(
-        _config(spark, sf_dir), location=topic, max_per_trigger=1, repeats="10 minutes"
+        stream_config(spark, sf_dir), location=topic, max_per_trigger=1, repeats="10 minutes"
     )
     for parts in ([sent, again], [again.withColumn("offset", F.expr("offset + 1000000"))]):
         _in_files(parts, topic)
@@ -365,7 +367,7 @@ def _late_topic(spark: SparkSession, sf_dir: str) -> tuple[jobs.StreamConfig, st
     turn = "(partition + 6 * offset) % 5"
     _in_files([sent.where(f"{turn} IN ({part})") for part in ("1, 2", "3, 4", "0")], topic)
     sink = Sink("parquet", scratch(spark, "late"))
-    config = replace(_config(spark, sf_dir), location=topic, max_per_trigger=1, late=sink)
+    config = replace(stream_config(spark, sf_dir), location=topic, max_per_trigger=1, late=sink)
     path = scratch(spark, "stats")
     jobs.start_windows(spark, config, path).awaitTermination()
     return config, path
@@ -399,3 +401,17 @@ def stream_late_account(spark: SparkSession, sf_dir: str) -> DataFrame:
         "on_time": on_time.agg(F.sum("total_logs")).scalar(),
     }
     return spark.range(1).select(*[value.alias(name) for name, value in counts.items()])
+
+
+@query("""SELECT 'logs-raw' AS topic, CAST(sum(greatest(last + 1 - 100, 0)) AS BIGINT) AS consumer_lag
+FROM (SELECT event_id % 6 AS partition, max(event_id // 6) AS last FROM logs GROUP BY 1)""")
+def stream_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lag of a query that has run one of two triggers: what has come since."""
+    sent, topic = fx.envelope(spark, sf_dir), scratch(spark, "topic")
+    config = replace(
+        stream_config(spark, sf_dir), location=topic, commits=scratch(spark, "commits")
+    )
+    _in_files([sent.where("offset < 100")], topic)
+    jobs.start_feeds(spark, config, ("processed",)).awaitTermination()
+    _in_files([sent.where("offset >= 100")], topic)
+    return topics.consumer_lag(spark.read.parquet(topic), committed(spark, f"{config.commits}/feeds"))

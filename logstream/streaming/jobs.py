@@ -29,11 +29,13 @@ from logstream.operators.parse import (
 )
 from logstream.operators.repeats import without_repeats
 from logstream.operators.rules import detect_v1, detect_v2, detect_v3
+from logstream.operators.sketches import distinct_minutes
 from logstream.operators.stats import live_counters, window_stats
 from logstream.operators.validate import validate
 from logstream.sources.streams import read_log_stream
 from logstream.streaming.late import LATE_COLUMNS, late_bound, late_entries
 from logstream.streaming.monitor import ProgressLog
+from logstream.streaming.offsets import commit
 from logstream.streaming.sinks import (
     Sink,
     every,
@@ -62,6 +64,7 @@ class StreamConfig:
     ``prefix`` sets the query names of one configuration apart from another's.
     ``repeats`` is how long after its arrival a message may come again and is then
     left out; without it nothing is. ``late`` takes the rows that windows are closed to.
+    ``commits`` is a folder in which the feeds note how far they have come.
     """
 
     source: str
@@ -79,6 +82,7 @@ class StreamConfig:
     dead_letters: Sink | None = None
     late: Sink | None = None
     repeats: str | None = None
+    commits: str | None = None
 
     def feed(self, name: str) -> Sink:
         topic = model.TOPICS[name]
@@ -184,7 +188,12 @@ def start_feeds(
     if config.dead_letters is not None:
         routes["dead_letters"] = (parse.dead_letters, config.dead_letters)
     checkpoint, trigger = config.checkpoint(name), config.paced(ALERT_SECONDS)
-    return fan_out(marked, routes, checkpoint, trigger, config.name(name))
+
+    def note(batch: DataFrame, batch_id: int) -> None:
+        commit(spark, f"{config.commits.rstrip('/')}/{name}", batch, batch_id)
+
+    done = None if config.commits is None else note
+    return fan_out(marked, routes, checkpoint, trigger, config.name(name), done)
 
 
 def start_alerts(spark: SparkSession, config: StreamConfig) -> StreamingQuery:
@@ -297,6 +306,21 @@ def start_windows(spark: SparkSession, config: StreamConfig, path: str) -> Strea
     )
 
 
+HOSTS_KEY = ("window_start", "window_end", "service")
+
+
+def start_hosts(spark: SparkSession, config: StreamConfig, path: str) -> StreamingQuery:
+    """Sketches of the hosts per minute and service, upserted to a table at ``path``.
+
+    :func:`~logstream.operators.sketches.distinct_over` counts the hosts of any longer time from
+    ``read_latest(spark, path, HOSTS_KEY)``.
+    """
+    logs = detected_logs(open_source(spark, replace(config, repeats=None)))
+    minutes = distinct_minutes(logs, "host", ("service",), config.watermark)
+    trigger, name = config.paced(STATS_SECONDS), config.name("hosts")
+    return write_latest(minutes, path, config.checkpoint("hosts"), trigger, name, key=HOSTS_KEY)
+
+
 def start_counters(spark: SparkSession, config: StreamConfig, path: str) -> StreamingQuery:
     """Running totals, one row per micro-batch; read with :func:`read_counters`.
 

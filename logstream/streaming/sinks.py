@@ -112,11 +112,13 @@ def fan_out(
     checkpoint: str,
     trigger: Mapping | None = None,
     name: str | None = None,
+    done: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """One read of the input for several sinks.
 
     Each route is a function from the micro-batch to the rows of its sink. The
-    batch is kept while its routes run, so its input is parsed once.
+    batch is kept while its routes run, so its input is parsed once. ``done`` is
+    called with the batch when all its routes have been written.
     """
 
     def send(batch: DataFrame, batch_id: int) -> None:
@@ -124,6 +126,8 @@ def fan_out(
         try:
             for rows, sink in routes.values():
                 write_batch(rows(kept), sink, batch_id)
+            if done is not None:
+                done(kept, batch_id)
         finally:
             kept.unpersist()
 
@@ -146,6 +150,7 @@ def write_latest(
     trigger: Mapping | None = None,
     name: str | None = None,
     files: int = 8,
+    key: tuple[str, ...] = STATS_KEY,
 ) -> StreamingQuery:
     """Window results in update mode, each micro-batch in folders of its own.
 
@@ -155,7 +160,7 @@ def write_latest(
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        upsert_latest(batch, path, batch_id, files)
+        upsert_latest(batch, path, batch_id, files, key)
 
     writer = df.writeStream.outputMode("update").foreachBatch(upsert)
     writer = writer.option("checkpointLocation", checkpoint)
@@ -164,10 +169,12 @@ def write_latest(
     return (writer.queryName(name) if name else writer).start()
 
 
-def upsert_latest(batch: DataFrame, path: str, batch_id: int, files: int = 8) -> None:
+def upsert_latest(
+    batch: DataFrame, path: str, batch_id: int, files: int = 8, key: tuple[str, ...] = STATS_KEY
+) -> None:
     """One micro-batch of window results to the table of :func:`write_latest`."""
     (
-        batch.repartition(files, *STATS_KEY)
+        batch.repartition(files, *key)
         .withColumns({"window_day": F.to_date("window_start"), "batch_id": F.lit(batch_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -307,11 +307,11 @@ def test_start_all_and_stop_all(spark, tmp_path, capfd):
     try:
         config = stats_config(tmp_path, console=True)
         queries = jobs.start_all(spark, config, str(tmp_path / "stats"), log)
-        assert sorted(queries) == ["console", "feeds", "service_metrics", "stats"]
+        assert sorted(queries) == ["console", "feeds", "windows"]
         jobs.run_until_stopped(spark, queries)
         for query in queries.values():
             assert not query.isActive
-        wait_until(lambda: sum(r[2] == "stopped" for r in log.rows()) == 4)
+        wait_until(lambda: sum(r[2] == "stopped" for r in log.rows()) == 3)
         wait_until(lambda: {r[0] for r in log.rows() if r[2] == "progress"} == set(queries))
         for feed in ("processed", "anomalies", "high_priority", "training", "service_metrics"):
             assert spark.read.text(config.feed(feed).location).count() > 0
@@ -348,7 +348,7 @@ def test_a_failed_start_stops_the_others(spark, tmp_path, monkeypatch):
     def fail(*_):
         raise RuntimeError("no stats")
 
-    monkeypatch.setattr(jobs, "start_stats", fail)
+    monkeypatch.setattr(jobs, "start_windows", fail)
     config = jobs.StreamConfig("text", str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c"))
     with pytest.raises(RuntimeError):
         jobs.start_all(spark, config, str(tmp_path / "stats"))
