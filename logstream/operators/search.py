@@ -149,6 +149,11 @@ def anomaly_groups(df: DataFrame) -> DataFrame:
             hosts.alias("affected_hosts"),
         )
     )
+    return anomaly_rows(grouped)
+
+
+def anomaly_rows(grouped: DataFrame) -> DataFrame:
+    """Groups of service, severity and hour as rows with an id, in the shape of an anomaly."""
     anomaly_id = ids.digest(F.col("service"), F.col("severity"), stamp(F.col("hour")))
     return grouped.select(
         F.concat(F.lit("anom_"), anomaly_id).alias("id"),

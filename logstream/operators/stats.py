@@ -157,6 +157,11 @@ def platform_snapshot(
     per_service = known_services.join(
         per_service, F.expr("known_service <=> service"), "left"
     ).drop("known_service")
+    return snapshot_row(per_service, now)
+
+
+def snapshot_row(per_service: DataFrame, now: Column) -> DataFrame:
+    """The state of the platform from a row per known service with its counts of the last hour and today."""
     share = F.try_divide(F.col("hour_errors"), F.col("hour_logs"))
     silent = F.coalesce(F.col("hour_logs"), F.lit(0)) == 0
     total = per_service.agg(

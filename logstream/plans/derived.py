@@ -7,11 +7,13 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logstream.operators import summaries
 from logstream.operators.dated_rules import detect_dated
 from logstream.operators.sketches import distinct_minutes, distinct_over
+from logstream.operators.summaries import read_summaries, replace_days
 from logstream.operators.thresholds import above, daily_sketches, thresholds
 from logstream.plans import fixture as fx
-from logstream.plans.lookups import FOUND
+from logstream.plans.lookups import FOUND, RECENT_SQL
 from logstream.plans.registry import query
 from logstream.plans.storage import stream_config
 from logstream.session import scratch, stored
@@ -162,3 +164,59 @@ def search_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, _indexed(spark, sf_dir), 50, level="ERROR", service="payment-service", **span
     )
     return found.select(*FOUND)
+
+
+# --- results kept up to date ---------------------------------------------------
+
+
+def _summaries(spark: SparkSession, sf_dir: str) -> str:
+    """Three increments of some days each, one of which is played again."""
+    found, path = stored(fx.detected(spark, sf_dir), "found"), scratch(spark, "summaries")
+    day = F.dayofmonth("timestamp")
+    for first, last in ((1, 10), (11, 20), (21, 31), (11, 20)):
+        replace_days(found.where(day.between(first, last)), path, "label")
+    return path
+
+
+@query("""SELECT date_trunc('hour', "timestamp") AS bucket,
+    CAST(count_if(is_anomaly) AS BIGINT) AS anomalies,
+    CAST(count_if(NOT is_anomaly) AS BIGINT) AS normal FROM scored GROUP BY 1""")
+def kept_anomaly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.kept_trend(read_summaries(spark, _summaries(spark, sf_dir)))
+
+
+@query(RECENT_SQL)
+def kept_recent_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.kept_recent_anomalies(spark, _summaries(spark, sf_dir))
+
+
+@query("""SELECT max(now) AS "timestamp",
+    round(sum(hour_logs) / 3600, 9) AS logs_per_second,
+    CAST(sum(day_logs) AS BIGINT) AS total_logs_today,
+    round(coalesce(sum(day_errors) / nullif(sum(day_logs), 0), 0), 9) AS error_rate,
+    CAST(sum(hour_anomalies) AS BIGINT) AS detected_last_hour,
+    CAST(sum(hour_critical) AS BIGINT) AS critical_alerts,
+    round(sum(day_right) / nullif(sum(day_logs), 0), 9) AS detection_accuracy,
+    CAST(count_if(hour_logs > 0 AND hour_errors / hour_logs < 0.3) AS BIGINT) AS healthy,
+    CAST(count_if(hour_logs > 0 AND hour_errors / hour_logs >= 0.3
+        AND hour_errors / hour_logs < 0.6) AS BIGINT) AS degraded,
+    CAST(count_if(hour_logs = 0 OR hour_errors / hour_logs >= 0.6) AS BIGINT) AS down
+FROM (SELECT service, any_value(now) AS now, count_if(in_hour) AS hour_logs,
+        count_if(in_hour AND error) AS hour_errors,
+        count_if(in_hour AND is_anomaly) AS hour_anomalies,
+        count_if(in_hour AND is_anomaly AND severity = 'CRITICAL') AS hour_critical,
+        count_if(today) AS day_logs, count_if(today AND error) AS day_errors,
+        count_if(today AND is_anomaly = label) AS day_right
+    FROM (SELECT *, coalesce(level IN ('ERROR', 'FATAL'), false) AS error,
+            "timestamp" >= now - INTERVAL 1 HOUR AS in_hour,
+            "timestamp" >= date_trunc('day', now) AS today
+        FROM scored, (SELECT TIMESTAMP '2024-01-25 18:30:00' AS now) WHERE "timestamp" < now)
+    GROUP BY service)""")
+def kept_platform_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state as of a whole minute, of days that were kept."""
+    at = datetime(2024, 1, 25, 18, 30)
+    row = summaries.kept_snapshot(spark, _summaries(spark, sf_dir), at)
+    flat = row.select("timestamp", "ingestion.*", "anomalies.*", "services.*")
+    return flat.withColumns(
+        {c: F.round(c, 9) for c in ("logs_per_second", "error_rate", "detection_accuracy")}
+    )

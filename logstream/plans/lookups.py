@@ -46,7 +46,7 @@ def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("total_count", "filters_applied.*")
 
 
-@query(f"""SELECT 'anom_' || {fx.digest_sql("service", "severity", "strftime(hour, '%Y%m%d%H%M%S')")}
+RECENT_SQL = f"""SELECT 'anom_' || {fx.digest_sql("service", "severity", "strftime(hour, '%Y%m%d%H%M%S')")}
         AS id,
     "timestamp", service, severity, score, description, affected_hosts
 FROM (SELECT service, severity, date_trunc('hour', "timestamp") AS hour,
@@ -56,7 +56,10 @@ FROM (SELECT service, severity, date_trunc('hour', "timestamp") AS hour,
         nullif(told, chr(0)) AS description,
         count(DISTINCT host) AS affected_hosts
     FROM scored WHERE is_anomaly GROUP BY 1, 2, 3)
-ORDER BY "timestamp" DESC, service, severity LIMIT 50""")
+ORDER BY "timestamp" DESC, service, severity LIMIT 50"""
+
+
+@query(RECENT_SQL)
 def recent_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.recent_anomalies(fx.detected(spark, sf_dir))
 
