@@ -10,6 +10,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logstream.functions.clock import utc, utc_day
 from logstream.functions.codes import is_error
@@ -70,7 +71,7 @@ def read_summaries(
     spark: SparkSession, path: str, start: date | None = None, end: date | None = None
 ) -> DataFrame:
     """The rows of the days from ``start`` to ``end``, both included."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(_columns(spark, path)).parquet(path)
     if start is not None:
         rows = rows.where(F.col("day") >= F.lit(start))
     if end is not None:
@@ -78,6 +79,12 @@ def read_summaries(
     return rows
 
 
+def _columns(spark: SparkSession, path: str) -> T.StructType:
+    """The columns, from the newest day alone."""
+    newest = spark.read.parquet(f"{path.rstrip('/')}/day={summary_days(spark, path)[-1]}").schema
+    return T.StructType([*newest.fields, T.StructField("day", T.DateType())])
+
+
 def kept_trend(summaries: DataFrame, unit: str = "hour") -> DataFrame:
     """Flagged and normal records per unit of time."""
     kind = summaries.schema["minute"].dataType
@@ -98,7 +105,7 @@ def kept_recent_anomalies(spark: SparkSession, path: str, limit: int = 50) -> Da
         if groups.limit(limit).count() >= limit:
             break
     if groups is None:
-        groups = _anomaly_groups(read_summaries(spark, path))
+        raise ValueError(f"nothing is kept at {path}")
     return anomaly_rows(groups).orderBy(F.desc("timestamp"), "service", "severity").limit(limit)
 
 

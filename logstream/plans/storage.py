@@ -25,6 +25,7 @@ from logstream.streaming.batches import accept_streamed_batches
 from logstream.streaming.late import merged_windows
 from logstream.streaming.offsets import committed
 from logstream.streaming.sinks import ONCE, Sink, read_latest, write_stream
+from logstream.streaming.state import open_windows
 
 # --- lake --------------------------------------------------------------------
 
@@ -415,3 +416,20 @@ def stream_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.start_feeds(spark, config, ("processed",)).awaitTermination()
     _in_files([sent.where("offset >= 100")], topic)
     return topics.consumer_lag(spark.read.parquet(topic), committed(spark, f"{config.commits}/feeds"))
+
+
+_OPEN_SQL = window_sql("arrived", "1 minute", "30 seconds")
+
+
+@query(f"""SELECT window_start, window_end, service, level, total_logs, anomaly_count, max_anomaly_score
+FROM ({_OPEN_SQL}), (SELECT date_trunc('milliseconds', max("timestamp")) - INTERVAL 5 MINUTE AS bound FROM arrived)
+WHERE window_end > bound""")
+def stream_open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows in the state of the statistics once the topic has been streamed."""
+    config = stream_config(spark, sf_dir)
+    jobs.start_windows(spark, config, scratch(spark, "stats")).awaitTermination()
+    found = open_windows(spark, config.checkpoint("windows"))
+    times = [fx.ntz(c) for c in ("window_start", "window_end")]
+    return found.select(
+        *times, "service", "level", "total_logs", "anomaly_count", "max_anomaly_score"
+    )

@@ -5,7 +5,8 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from logstream.operators import dated_rules, sketches, thresholds
+from logstream.operators import dated_rules, search, sketches, stats, summaries, thresholds
+from logstream.operators.rules import detect_v3
 from logstream.sources import indexed
 
 BASE = datetime(2024, 1, 3, 12, 0, tzinfo=timezone.utc)
@@ -186,3 +187,53 @@ def test_what_broke_off_is_not_found(spark, lake, monkeypatch):
     with pytest.raises(RuntimeError):
         indexed.write_indexed(plain.limit(10), root)
     assert len(indexed.files_for(spark, root)) == before
+
+
+# --- results kept up to date ---------------------------------------------------
+
+
+def test_kept_results_follow_the_records(spark, log, tmp_path):
+    levels = ("FATAL", "INFO", "ERROR")
+    rows = [
+        {
+            "timestamp": after(hours=5 * n),
+            "level": levels[n % 3],
+            "service": "ab"[n % 2] if n % 7 else None,
+            "host": f"h{n}",
+            "trace_id": f"t{n:02d}",
+        }
+        for n in range(30)
+    ]
+    path = str(tmp_path / "kept")
+    found = detect_v3(log(*rows, {"timestamp": None, "level": "FATAL"}))
+    day = F.to_date("timestamp")
+    for first, last in ((3, 5), (6, 7), (8, 9), (6, 7)):
+        summaries.replace_days(found.where(F.dayofmonth(day).between(first, last)), path)
+    timed = found.where("timestamp IS NOT NULL")
+    kept = summaries.read_summaries(spark, path)
+    for unit in ("hour", "day"):
+        want = stats.anomaly_trend(timed, unit)
+        assert sorted(summaries.kept_trend(kept, unit).collect()) == sorted(want.collect())
+    for limit in (1, 3, 50):
+        want = search.recent_anomalies(timed, limit)
+        assert summaries.kept_recent_anomalies(spark, path, limit).select(want.columns).collect() == want.collect()
+    at = after(days=4, minutes=1)
+    assert summaries.kept_snapshot(spark, path, at).collect() == stats.platform_snapshot(timed, at).collect()
+    with pytest.raises(ValueError):
+        summaries.kept_snapshot(spark, path, after(seconds=1))
+    # A day that comes again changed replaces what was kept of it, and nothing else.
+    summaries.replace_days(timed.where(F.dayofmonth(day) == 6).where("level <> 'FATAL'"), path)
+    total = summaries.read_summaries(spark, path).agg(F.sum("logs")).first()[0]
+    assert total == timed.where("NOT (day(timestamp) = 6 AND level = 'FATAL')").count()
+
+
+def test_recent_anomalies_open_the_newest_days(spark, log, tmp_path):
+    path = str(tmp_path / "kept")
+    rows = [{"timestamp": after(days=d), "level": "FATAL", "trace_id": str(d)} for d in range(8)]
+    summaries.replace_days(detect_v3(log(*rows)), path)
+    for file in tmp_path.glob("kept/day=2024-01-0[3-5]/*.parquet"):
+        file.write_bytes(b"broken")
+    # Spark takes the columns from some file: give it one that is whole.
+    found = summaries.kept_recent_anomalies(spark, path, 3).collect()
+    assert [r.timestamp.day for r in found] == [10, 9, 8]
+    assert summaries.summary_days(spark, path)[0].day == 3

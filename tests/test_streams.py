@@ -209,3 +209,28 @@ def test_commits_say_where_a_query_is(spark, topic, tmp_path):
         (row,) = committed(spark, path).collect()
         assert (row.topic, row.partition, row.committed) == ("logs-raw", 0, 2 * turn + 2)
     assert len(list((tmp_path / "commits" / "feeds").glob("batch_id=*"))) <= 2
+
+
+# --- state -------------------------------------------------------------------
+
+
+def test_looking_into_the_state(spark, topic, tmp_path):
+    from logstream.streaming import state
+
+    config = config_of(topic, tmp_path)
+    checkpoint = config.checkpoint("windows")
+    topic((record(1), at()), (record(2, level="INFO"), at()))
+    jobs.start_windows(spark, config, str(tmp_path / "stats")).awaitTermination()
+    found = state.open_windows(spark, checkpoint)
+    assert sorted((r.window_end.minute, r.level, r.total_logs, r.max_anomaly_score) for r in found.collect()) == [
+        (0, "FATAL", 1, 1.0), (0, "INFO", 1, 0.1), (1, "FATAL", 1, 1.0), (1, "INFO", 1, 0.1),
+    ]
+    skew = state.state_skew(found).first()
+    assert skew["keys"] == 4 and 0.25 <= skew["share"] <= 1 and skew["partitions"] <= 4
+    # Later rows close these windows; an earlier micro-batch can still be read.
+    topic((record(3, at(hours=1)), at()))
+    jobs.start_windows(spark, config, str(tmp_path / "stats")).awaitTermination()
+    assert state.open_windows(spark, checkpoint).count() == 2
+    assert state.open_windows(spark, checkpoint, batch_id=0).count() == 4
+    (operator,) = state.state_operators(spark, checkpoint).collect()
+    assert operator.operatorName == "stateStoreSave"
