@@ -51,13 +51,13 @@ def parse_submitted(df: DataFrame) -> DataFrame:
     """
     raw = F.col("value").cast("string")
     kept = [c for c in ("topic", "partition", "offset") if c in df.columns]
-    return df.select(
-        computed_once(submitted(raw)),
-        raw.alias("raw"),
-        F.json_object_keys(raw).isNull().alias("malformed"),
-        F.col("timestamp").alias("arrived"),
-        *kept,
+    read = df.select(
+        computed_once(submitted(raw)), raw.alias("raw"), F.col("timestamp").alias("arrived"), *kept
     )
+    # Only a value that has no keys at all does not say whether it names an environment.
+    malformed = F.col("environment_sent").isNull().alias("malformed")
+    fields = [c for c in read.columns if c not in ("raw", "arrived", *kept)]
+    return read.select(*fields, "raw", malformed, "arrived", *kept)
 
 
 def parse_batches(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from threading import Lock
+from time import monotonic
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
@@ -17,12 +18,20 @@ PROGRESS = (
 class ProgressLog(StreamingQueryListener):
     """Records the events of all queries, one small row per trigger; none is dropped.
 
-    With ``path`` the rows are appended to a table there, ``chunk`` at a time and whenever a
-    query ends; the rest waits in memory. ``late`` adds up the late rows by query.
+    With ``path`` the rows are appended to a table there, ``chunk`` at a time, when the oldest has waited
+    for ``seconds``, and whenever a query ends; the rest waits in memory. ``late`` adds up the late rows by
+    query.
     """
 
-    def __init__(self, spark: SparkSession | None = None, path: str | None = None, chunk: int = 100):
-        self._spark, self._path, self._chunk = spark, path, chunk
+    def __init__(
+        self,
+        spark: SparkSession | None = None,
+        path: str | None = None,
+        chunk: int = 100,
+        seconds: float = 60,
+    ):
+        self._spark, self._path, self._chunk, self._seconds = spark, path, chunk, seconds
+        self._oldest: float | None = None
         self._rows: list[tuple] = []
         self._late: Counter[str] = Counter()
         self._lock = Lock()
@@ -30,7 +39,10 @@ class ProgressLog(StreamingQueryListener):
     def _add(self, *row, last: bool = False) -> None:
         with self._lock:
             self._rows.append(row)
-            full = last or len(self._rows) >= self._chunk
+            now = monotonic()
+            self._oldest = now if self._oldest is None else self._oldest
+            waited = now - self._oldest >= self._seconds
+            full = last or waited or len(self._rows) >= self._chunk
         if full and self._path is not None:
             self.flush(self._spark, self._path)
 
@@ -43,7 +55,11 @@ class ProgressLog(StreamingQueryListener):
         self._add(event.name, str(event.runId), "started", None, None, None, None, None, None)
 
     def onQueryIdle(self, event) -> None:
-        pass
+        """A query without input: what has waited long enough is written all the same."""
+        with self._lock:
+            waited = self._oldest is not None and monotonic() - self._oldest >= self._seconds
+        if waited and self._path is not None:
+            self.flush(self._spark, self._path)
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
@@ -77,7 +93,7 @@ class ProgressLog(StreamingQueryListener):
     def flush(self, spark: SparkSession, path: str) -> None:
         """Appends what waits to a table. It waits on if that fails."""
         with self._lock:
-            rows, self._rows = self._rows, []
+            rows, self._rows, self._oldest = self._rows, [], None
         if not rows:
             return
         try:

@@ -193,6 +193,16 @@ def test_every_event_is_kept(spark, tmp_path):
     assert stored.count() == 251 and stored.agg(F.sum("late_rows_dropped")).first()[0] == 250
 
 
+def test_events_are_written_by_time(spark, tmp_path):
+    path = str(tmp_path / "events")
+    log = monitor.ProgressLog(spark, path, chunk=100, seconds=0.2)
+    log._add("q", "r", "started", None, None, None, None, None, None)
+    assert len(log.rows()) == 1
+    time.sleep(0.3)
+    log.onQueryIdle(None)
+    assert not log.rows() and spark.read.parquet(path).count() == 1
+
+
 def test_compaction_keeps_the_result(spark, tmp_path):
     path, config = str(tmp_path / "stats"), stats_config(tmp_path)
     for i in range(4):
