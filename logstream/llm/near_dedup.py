@@ -63,6 +63,8 @@ WORD_FACTORS = _constants(SHINGLE, 11) | np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 # Members of a group up to which each of them is a pivot.
 FEW = 32
+# Members of a group that meet its pivots' texts in one place.
+PART = 64
 # Hash values that are compared in one step; keeps the matrix in the cache.
 STEP = 512
 
@@ -246,49 +248,56 @@ def _tokens(named: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     Where there are none beyond, ``bound`` is the size up to which x may be linked all the same.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        groups = batch.column("pivots").to_pylist()
-        unions: dict[tuple, np.ndarray] = {}
-        for pivots, pivot_texts in zip(groups, batch.column("pivot_texts")):
-            if tuple(pivots) not in unions:
-                sets = shingle_sets(pivot_texts.as_py())
-                unions[tuple(pivots)] = np.unique(np.concatenate(sets))
-        docs, leasts = (batch.column(c).to_pylist() for c in ("doc", "least"))
-        last_texts = batch.column("text").to_pylist()
-        rows: list[list] = [[], [], [], []]
-        for pivots, doc, least, own in zip(groups, docs, leasts, shingle_sets(last_texts)):
-            added = np.setdiff1d(own, unions[tuple(pivots)], assume_unique=True)
-            common = len(own) - len(added)
-            # No set smaller than this can be linked with x at all.
-            least = max(least, -(-percent * len(own) // 100))
-            needed = -(-percent * (len(own) + least) // (100 + percent)) - common
-            if needed > 0:
-                added = added[: max(0, len(added) - needed + 1)]
-            values = added.view(np.int64).tolist()
-            rows[2] += values
-            rows[3] += [None] * len(values)
-            if needed <= 0:
-                rows[2].append(None)
-                rows[3].append((100 + percent) * common // percent - len(own))
-                values.append(None)
-            rows[0] += [pivots] * len(values)
-            rows[1] += [doc] * len(values)
-        kinds = [pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
-        arrays = [pa.array(column, kind) for column, kind in zip(rows, kinds)]
-        return pa.RecordBatch.from_arrays(arrays, ["pivots", "doc", "token", "bound"])
-
-    pivot_texts = (
-        named.select("pivots")
-        .distinct()
-        .select("pivots", F.explode("pivots").alias("doc_id"))
-        .join(texts, "doc_id")
-        .groupBy("pivots")
-        .agg(F.collect_list("text").alias("pivot_texts"))
-    )
-    of_doc = texts.select(F.col("doc_id").alias("doc"), "text")
-    least = named.groupBy("pivots").agg(F.min("n").alias("least"))
-    rows = named.select("pivots", "doc").join(of_doc, "doc").join(least, "pivots")
-    return map_batches(rows.join(pivot_texts, "pivots"), run, TOKENS)
+    sizes = named.groupBy("pivots").agg(F.min("n").alias("least"), F.count("*").alias("size"))
+    parts = F.ceil(F.col("size") / PART)
+    sizes = stored(sizes.select("pivots", "least", parts.cast("int").alias("parts")), "sizes")
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")
+    members = named.join(sizes, "pivots").select("pivots", part, "least", "doc")
+    # The pivots' texts come once to each part, ahead of its members.
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    pivots = sizes.select("pivots", F.explode(every).alias("part"))
+    none = F.lit(None).cast("long").alias("least")
+    pivots = pivots.select("pivots", "part", none, F.explode("pivots").alias("doc"))
+    own = texts.select(F.col("doc_id").alias("doc"), "text")
+    rows = members.union(pivots).join(own, "doc")
+    rows = rows.select("pivots", "part", "doc", "least", "text").repartition("pivots", "part")
+    rows = rows.sortWithinPartitions("pivots", "part", F.col("least").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, union = None, np.empty(0, np.uint64)
+        for batch in batches:
+            groups, parts, docs, leasts, bodies = (column.to_pylist() for column in batch.columns)
+            found: list[list] = [[], [], [], []]
+            for pivots, part, doc, least, own in zip(groups, parts, docs, leasts, shingle_sets(bodies)):
+                if (pivots, part) != key:
+                    key, union = (pivots, part), np.empty(0, np.uint64)
+                if least is None:
+                    union = np.union1d(union, own)
+                    continue
+                tokens, bounds = _lacking(own, union, least, percent)
+                found[0] += [pivots] * len(tokens)
+                found[1] += [doc] * len(tokens)
+                found[2] += tokens
+                found[3] += bounds
+            kinds = [pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
+            arrays = [pa.array(column, kind) for column, kind in zip(found, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["pivots", "doc", "token", "bound"])
+
+    return rows.mapInArrow(run, TOKENS)
+
+
+def _lacking(own: np.ndarray, union: np.ndarray, least: int, percent: int) -> tuple[list, list]:
+    """A member's tokens and bounds, one list each; see :func:`_tokens`."""
+    added = np.setdiff1d(own, union, assume_unique=True)
+    common = len(own) - len(added)
+    # No set smaller than this can be linked with the member at all.
+    least = max(least, -(-percent * len(own) // 100))
+    needed = -(-percent * (len(own) + least) // (100 + percent)) - common
+    if needed <= 0:
+        bound = (100 + percent) * common // percent - len(own)
+        return [*added.view(np.int64).tolist(), None], [*[None] * len(added), bound]
+    added = added[: max(0, len(added) - needed + 1)]
+    return added.view(np.int64).tolist(), [None] * len(added)
 
 
 def _regrouped(
@@ -367,7 +376,7 @@ def link(marks: DataFrame, docs: DataFrame, settings: Settings = Settings()) ->
     marks = stored(marks.join(wanted, "doc_id", "left_semi"), "marks")
     sizes = marks.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
     groups, weights = _groups(members)
-    direct = tested = links = labels = None
+    direct = tested = labels = None
     while True:
         groups = stored(groups, "groups")
         pivot = F.element_at("pivots", -1)
@@ -382,8 +391,8 @@ def link(marks: DataFrame, docs: DataFrame, settings: Settings = Settings()) ->
         found = stored(verified(survivors(pairs, marks, settings), texts, settings), "verified")
         tested = pairs if tested is None else tested.union(pairs)
         if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links)
+            # What is known counts as one link per document, whatever the number of links it came from.
+            labels = components(found if labels is None else found.union(labels.select("node", "root")))
         named, label = groups.filter(pivot != F.col("doc")), F.col("doc")
         if labels is not None:
             named = named.join(labels.withColumnRenamed("node", "doc"), "doc", "left")

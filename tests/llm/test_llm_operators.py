@@ -273,7 +273,9 @@ class TestNearDedup:
         same = near_dedup.signature(a, turns, factors) == near_dedup.signature(b, turns, factors)
         assert abs(same.mean() - 240 / 360) < 0.04
 
-    def test_components(self, spark):
+    @pytest.mark.parametrize("few", [0, components.FEW_LINKS])
+    def test_components(self, spark, monkeypatch, few):
+        monkeypatch.setattr(components, "FEW_LINKS", few)
         links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (None, 3), (60, 50)]
         found = dict(rows(components.components(spark.createDataFrame(links, "a long, b long")), "node", "root"))
         assert found == {**{i: 0 for i in range(1, 41)}, 101: 100, 60: 50}
