@@ -6,7 +6,7 @@ blocks are shuffled by word and encoded once each, the ids go back to the blocks
 hold the word, and each block puts its documents together by position. What travels is
 words and positions, never texts.
 
-Decoding joins ids to the table of token bytes, which has one row per vocabulary entry.
+Decoding looks ids up in the table of token bytes, one row per vocabulary entry, which each worker loads.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from logstream.llm.common import map_batches, text_or_empty
 
 # A block ends with the document in which it reaches so many pre-tokens.
 BLOCK_TOKENS = 8_000_000
+# A word's place is 63 bits: the partition of the scan, the block in it, the word in the block. A block has
+# fewer words than its last text has bytes and BLOCK_TOKENS more, of which 2 ** 30 cannot differ.
+NUMBER_BITS, BLOCK_BITS, PART_BITS = 30, 12, 21
+ONE_BLOCK = (1 << NUMBER_BITS) - 1
 # Documents packed into one row, and characters after which the row is full.
 PACK_DOCS = 256
 PACK_CHARS = 1 << 20
@@ -132,13 +136,20 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for part, doc_ids, texts in packs(batches):
         words, counts = pre_tokens(texts)
         found = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
-        yield (part << 20) | made, numbers, doc_ids, counts, found
+        yield block_of(part, made), numbers, doc_ids, counts, found
         tokens += len(words)
         if tokens >= BLOCK_TOKENS:
-            yield (part << 20) | made, numbers, None, None, None
+            yield block_of(part, made), numbers, None, None, None
             numbers, tokens, made = Numbers(), 0, made + 1
     if numbers:
-        yield (part << 20) | made, numbers, None, None, None
+        yield block_of(part, made), numbers, None, None, None
+
+
+def block_of(part: int, made: int) -> int:
+    """A block's number, from its partition and its place there."""
+    if part >> PART_BITS or made >> BLOCK_BITS:
+        raise ValueError(f"block {made} of partition {part} is beyond what a word's place can name")
+    return (part << BLOCK_BITS) | made
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -186,7 +197,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
                     some = slice(first, first + 50_000)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array((block << 32) | places[some], pa.int64()),
+                            pa.array((block << NUMBER_BITS) | places[some], pa.int64()),
                             pa.array(words[some], pa.binary()),
                         ],
                         ["place", "word"],
@@ -228,10 +239,10 @@ def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
             for place, word in zip(places, batch.column("word").to_pylist()):
                 if word != last:
                     last, ids = word, encode(word)
-                lists = waiting.get(place >> 32)
+                lists = waiting.get(place >> NUMBER_BITS)
                 if lists is None:
-                    lists = waiting[place >> 32] = ([], [], [])
-                lists[0].append(place & 0xFFFFFFFF)
+                    lists = waiting[place >> NUMBER_BITS] = ([], [], [])
+                lists[0].append(place & ONE_BLOCK)
                 lists[1].append(len(ids))
                 lists[2].extend(ids)
             count += len(places)

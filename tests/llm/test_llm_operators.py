@@ -448,7 +448,7 @@ class TestByteBpe:
             return [(b, tuple(ids or ())) for b, _, ids, _, _ in byte_bpe.blocks(iter(batches))]
 
         assert cuts([whole]) == cuts([whole.slice(0, 7), whole.slice(7, 0), whole.slice(7)])
-        assert {block >> 20 for block, _ in cuts([whole])} == {4} and len(cuts([whole])) > 9
+        assert {block >> byte_bpe.BLOCK_BITS for block, _ in cuts([whole])} == {4} and len(cuts([whole])) > 9
 
     def test_pre_tokens_against_the_pattern(self):
         import public_tokenizers
@@ -633,3 +633,21 @@ class TestLicenses:
     def test_no_python_on_the_way(self, spark):
         plan = licenses.scan(table(spark, ["a"]).limit(1))._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
+
+
+class TestBlocksOfWords:
+    def test_blocks_of_many_partitions(self):
+        """Far more splits than a hundred terabytes make, and an error beyond."""
+        highest = byte_bpe.block_of((1 << 21) - 1, (1 << 12) - 1)
+        assert (highest << byte_bpe.NUMBER_BITS | byte_bpe.ONE_BLOCK) == (1 << 63) - 1
+        assert byte_bpe.block_of(2100, 0) != byte_bpe.block_of(2099, 4095)
+        for part, made in ((1 << 21, 0), (0, 1 << 12)):
+            with pytest.raises(ValueError):
+                byte_bpe.block_of(part, made)
+
+    def test_more_splits_than_2047(self, spark):
+        docs = table(spark, [f"word {i % 7}" for i in range(2100)]).repartition(2100).cache()
+        found = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS)
+        got = {(r.doc_id, bytes(r.decoded).decode()) for r in found.collect()}
+        docs.unpersist()
+        assert got == {(i, f"word {i % 7}") for i in range(2100)}
