@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from logstream import model
+from logstream import model, session
 from logstream.operators.features import feature_engineering
 from logstream.operators.parse import drop_incomplete, parse_logs
 from logstream.operators.rules import detect_v3
@@ -372,7 +372,10 @@ def test_scratch_is_the_shared_folder(spark):
             self.conf = settings
 
     named = Session(**{"spark.checkpoint.dir": "hdfs://x/ck/", "spark.master": "yarn"})
-    assert scratch(named, "lake").startswith("hdfs://x/ck/logstream/lake-")
+    path = scratch(named, "lake")
+    assert path.startswith("hdfs://x/ck/logstream/lake-")
+    # There is no such cluster to clear it from.
+    session._made.remove(path)
     with pytest.raises(ValueError):
         scratch(Session(**{"spark.master": "yarn"}), "lake")
     assert scratch(spark, "a") != scratch(spark, "a")
