@@ -40,14 +40,17 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document, and that of its host."""
     return quality.judge(table(spark, sf_dir, "documents")).drop("host")
 
 
 def op3_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that every document shares with the smallest document of their seeds."""
     return passages.find(table(spark, sf_dir, "documents"))
 
 
 def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows that occur in every document."""
     found = decontaminate.find(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
@@ -55,16 +58,19 @@ def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document, and whether it stays."""
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
 
 def op8_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records, read back from the archives."""
     folder = fresh_folder(spark, "warc")
     index = warc.write(table(spark, sf_dir, "pages"), folder)
     return warc.read(index, folder).drop("url", "payload")
 
 
 def op9_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, as spans."""
     return pii.find(table(spark, sf_dir, "documents")).drop("found")
 
 
@@ -93,6 +99,7 @@ def op7_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
