@@ -3,7 +3,8 @@
 All rolling pairs of words of a document are joined by hash to their positions in the
 templates. A pair votes for the diagonal it lies on: its place in the document less its place
 in the template. Neighbouring diagonals, where words were put in or left out, are
-merged, and the part of the template that their votes cover is the similarity.
+merged, and verified: the part of the template that their votes cover within a span hardly
+longer than the template is the similarity.
 
 A base phrase counts where one diagonal covers it whole, that is, word for word.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logstream.functions.rows import computed_once
-from logstream.llm.common import BROADCAST_ROWS
+from logstream.llm.common import BROADCAST_ROWS, stored
 
 
 @dataclass(frozen=True)
@@ -95,48 +96,84 @@ def template_pairs(spark: SparkSession, templates: tuple[Template, ...]) -> Data
     return F.broadcast(pairs) if len(rows) <= BROADCAST_ROWS else pairs
 
 
-def votes(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """For each document, template and diagonal: the template places that its pairs cover."""
+def hits(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """Each pair of words of a document that stands in a template, with its start and place.
+
+    A row without a template ends each document and tells n_words; so texts are split once.
+    """
     words = F.col("words")
     following = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
     hashes = F.transform(following, lambda word, i: F.xxhash64(word, words[i + 1]))
-    found = (
-        keyed(docs)
+    ended = F.concat(hashes, F.array(F.lit(None).cast("long")))
+    start = F.col("start")
+    # Equal hashes are not yet equal words.
+    same = (words[start] == F.col("first")) & (words[start + 1] == F.col("second"))
+    return (
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .withColumn("key", F.xxhash64("text"))
         .select("doc_id", "key", computed_once(F.struct(words_of(F.col("text")).alias("words"))))
-        .select("doc_id", "key", "words", F.posexplode(hashes).alias("start", "hash"))
-        .join(template_pairs(docs.sparkSession, templates), "hash")
-        # Equal hashes are not yet equal words.
-        .filter((words[F.col("start")] == F.col("first")) & (words[F.col("start") + 1] == F.col("second")))
+        .select("doc_id", "key", "words", F.posexplode(ended).alias("start", "hash"))
+        .join(template_pairs(docs.sparkSession, templates), "hash", "left")
+        .filter(F.col("hash").isNull() | same)
+        .select(
+            "doc_id",
+            "key",
+            F.when(F.col("hash").isNull(), F.size(words).cast("long")).alias("n_words"),
+            *("start", "template", "label", "base", "pairs", "place"),
+        )
     )
+
+
+def votes(found: DataFrame) -> DataFrame:
+    """For each document, template and diagonal: the template places that its pairs cover."""
     diagonal = (F.col("start") - F.col("place")).alias("diagonal")
-    return found.groupBy("doc_id", "key", "template", "label", "base", "pairs", diagonal).agg(
-        F.collect_set("place").alias("places"),
-        F.min("start").alias("start"),
-        (F.max("start") + 2).alias("end"),
+    return (
+        found.filter(F.col("template").isNotNull())
+        .groupBy("doc_id", "key", "template", "label", "base", "pairs", diagonal)
+        .agg(
+            F.collect_set("place").alias("places"),
+            F.min("start").alias("start"),
+            (F.max("start") + 2).alias("end"),
+        )
     )
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "key", F.xxhash64("text")
-    )
+def slack(words: int) -> int:
+    """Words by which a span may be longer than its template of so many words."""
+    return int(words / LEAST_COVER) - words
 
 
-def spans(voted: DataFrame) -> DataFrame:
-    """Passages: neighbouring diagonals of a template put together, with the part covered."""
+def spans(voted: DataFrame, longest: int) -> DataFrame:
+    """Verified spans: doc_id, key, template, label, base, start, end, cover; one per diagonal
+    that begins one.
+
+    Neighbouring diagonals of a template are a passage. As steps from one to the next add
+    up, a passage can be far longer than its template; so what counts are the template places
+    that are covered within diagonals no further apart than ``slack``, that is, within a span of
+    at most 1 / LEAST_COVER times the template's words. ``longest`` is the most words of a
+    template.
+    """
     by_diagonal = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(by_diagonal)
     passage = F.sum(F.when(step <= GAP, 0).otherwise(1)).over(by_diagonal)
-    covered = F.size(F.array_distinct(F.flatten(F.collect_list("places"))))
+    ahead = (
+        Window.partitionBy("doc_id", "key", "template", "passage")
+        .orderBy("diagonal")
+        .rangeBetween(0, slack(longest))
+    )
+    words = F.col("pairs") + 1
+    most = F.floor(words / F.lit(LEAST_COVER)) - words
+    near = F.filter("ahead", lambda one: one["diagonal"] - F.col("diagonal") <= most)
     return (
         voted.withColumn("passage", passage)
-        .groupBy("doc_id", "key", "template", "label", "base", "pairs", "passage")
-        .agg(
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            (covered / F.first("pairs")).alias("cover"),
+        .withColumn("ahead", F.collect_list(F.struct("diagonal", "places", "start", "end")).over(ahead))
+        .withColumn("near", near)
+        .select(
+            *("doc_id", "key", "template", "label", "base"),
+            F.array_min("near.start").alias("start"),
+            F.array_max("near.end").alias("end"),
+            (F.size(F.array_distinct(F.flatten("near.places"))) / F.col("pairs")).alias("cover"),
         )
-        .drop("passage", "pairs")
     )
 
 
@@ -144,11 +181,12 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     """Licenses of each document: one row per row of ``docs``.
 
     doc_id, n_words, n_base (places of the base phrases), first_word and last_word (their
-    smallest and largest start), base_labels, labels (with those of notices that are covered
-    well enough), and score, the best cover of a phrase or notice. A NULL or empty text has
-    no words and score 0; repeated rows get a row each; other columns are not read.
+    smallest and largest start), base_labels, labels (with those of notices that a span of
+    their length covers well enough), and score, the best cover of a phrase or notice. A NULL or
+    empty text has no words and score 0; repeated rows get a row each; other columns are not read.
     """
-    voted = votes(docs, templates)
+    found = stored(hits(docs, templates), "license-hits")
+    voted = votes(found)
     whole = F.col("base") & (F.size("places") == F.col("pairs"))
     exact = (
         voted.filter(whole)
@@ -161,8 +199,9 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
             F.lit(1.0).alias("cover"),
         )
     )
+    longest = max((len(one.words.split()) for one in templates), default=0)
     notices = (
-        spans(voted.filter(~F.col("base")))
+        spans(voted.filter(~F.col("base")), longest)
         .groupBy("doc_id", "key")
         .agg(
             F.lit(0).cast("long").alias("n_base"),
@@ -185,9 +224,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
             F.max("cover").alias("score"),
         )
     )
-    counted = keyed(docs).select(
-        "doc_id", "key", F.size(words_of(F.col("text"))).cast("long").alias("n_words")
-    )
+    counted = found.filter(F.col("template").isNull()).select("doc_id", "key", "n_words")
     on = F.expr("d.doc_id <=> f.doc_id AND d.key = f.key")
     return counted.alias("d").join(both.alias("f"), on, "left").select(
         "d.doc_id",

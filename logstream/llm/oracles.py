@@ -175,8 +175,12 @@ stepped AS (
 passages AS (
   SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS passage FROM stepped),
 covers AS (
-  SELECT doc_id, label, len(list_distinct(flatten(list(places)))) / any_value(pairs) AS cover
-  FROM passages GROUP BY doc_id, label, template, passage),
+  SELECT p.doc_id, p.label, len(list_distinct(flatten(list(q.places)))) / any_value(p.pairs) AS cover
+  FROM passages p JOIN passages q
+    ON q.doc_id = p.doc_id AND q.template = p.template AND q.passage = p.passage
+    AND q.diagonal >= p.diagonal
+    AND q.diagonal - p.diagonal + p.pairs + 1 <= (p.pairs + 1) / {licenses.LEAST_COVER}
+  GROUP BY p.doc_id, p.label, p.template, p.diagonal),
 named AS (
   SELECT doc_id, label, true AS base, CAST(1 AS DOUBLE) AS cover
   FROM votes WHERE base AND len(places) = pairs

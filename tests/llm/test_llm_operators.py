@@ -631,8 +631,58 @@ class TestLicenses:
         assert scores[1] == 1.0 and 0.8 <= scores[2] < 1.0 and scores[8] == 0.0
 
     def test_no_python_on_the_way(self, spark):
-        plan = licenses.scan(table(spark, ["a"]).limit(1))._jdf.queryExecution().toString()
-        assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
+        docs = table(spark, ["a"]).limit(1)
+        for frame in (licenses.hits(docs), licenses.scan(docs)):
+            plan = frame._jdf.queryExecution().toString()
+            assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
+
+    def test_stretched_notice_is_none(self, spark):
+        notice = max((one.words for one in licenses.NOTICES if one.label == "bsd"), key=len)
+        own = notice.split()
+        stretched = " ".join(f"{a} {b} x" for a, b in zip(own, own[1:]))
+        found = licenses.scan(table(spark, [notice, stretched, f"{stretched} y {notice}"]))
+        labels = {r.doc_id: (r.labels, r.score) for r in found.collect()}
+        assert labels[0] == ("bsd", 1.0) and labels[2] == ("bsd", 1.0)
+        assert labels[1][0] == "" and labels[1][1] < licenses.LEAST_COVER
+
+    def test_added_labels_against_brute_force(self, spark):
+        """Notices with words put in, left out and changed, by plain loops over all spans."""
+        rng = random.Random(4)
+        texts = []
+        for number in range(120):
+            words = list(rng.choice(licenses.NOTICES).words.split())
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(words))
+                change = rng.randrange(3)
+                words[at : at + (change > 0)] = [f"n{number}"] if change < 2 else []
+                words = words or ["n"]
+            texts.append(" ".join([prose(number, 6, 9), *words, prose(number + 1, 6, 9)]))
+        found = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
+        told = 0
+        for doc, text in enumerate(texts):
+            words, labels, best = text.split(), set(), 0.0
+            for one in licenses.NOTICES:
+                own = one.words.split()
+                pairs = list(zip(own, own[1:]))
+                places = {}
+                for start, pair in enumerate(zip(words, words[1:])):
+                    for place in (i for i, p in enumerate(pairs) if p == pair):
+                        places.setdefault(start - place, set()).add(place)
+                for first in places:
+                    covered, last = set(), first
+                    for diagonal in sorted(d for d in places if d >= first):
+                        if diagonal - last > licenses.GAP or diagonal - first + len(own) > len(own) / licenses.LEAST_COVER:
+                            break
+                        covered, last = covered | places[diagonal], diagonal
+                    cover = len(covered) / len(pairs)
+                    best = max(best, cover)
+                    if cover >= licenses.LEAST_COVER:
+                        labels.add(one.label)
+            notices = set(found[doc].labels.split(",")) - set(found[doc].base_labels.split(",")) - {""}
+            assert notices == labels - set(found[doc].base_labels.split(","))
+            assert found[doc].score == (1.0 if found[doc].n_base else best)
+            told += bool(labels)
+        assert 30 < told < 115
 
 
 class TestBlocksOfWords:
