@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstream.llm.common import attempt_name
+from logstream.llm.common import attempt_name, join_sized, stored
 
 # Unpacked bytes after which a frame ends, and packed bytes after which a bundle ends.
 FRAME_BYTES = 1 << 20
@@ -154,26 +154,28 @@ class BundleReader:
 def with_first(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, and ``first``: for a revisit the page it refers to, else NULL.
 
-    Rows that repeat the smallest page_id of their payload are responses too. The one
-    shuffle of payloads is a plain join on their digest, which adaptive execution
-    splits where a payload is very common.
+    Rows that repeat the smallest page_id of their payload are responses too. Digests that
+    several rows share are stored first: few are broadcast, and payloads stay where they are; with
+    many, payloads meet them in a join that adaptive execution can split where one is very common.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = (
         pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
         .withColumn("key", F.unhex(F.sha1("payload")))
     )
-    repeated = (
+    repeated = stored(
         rows.filter(F.octet_length("payload") >= least_bytes)
         .groupBy("key")
         .agg(F.min("page_id").alias("smallest"), F.count("*").alias("n"))
         .filter("n > 1")
-        .drop("n")
+        .drop("n"),
+        "repeated-payloads",
     )
     first = F.when(
         ~F.col("page_id").eqNullSafe(F.col("smallest")), F.col("smallest")
     )
-    return rows.join(repeated, "key", "left").select("page_id", "url", "payload", first.alias("first"))
+    joined = join_sized(rows, repeated, "key", "left")
+    return joined.select("page_id", "url", "payload", first.alias("first"))
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
