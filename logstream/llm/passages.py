@@ -142,7 +142,8 @@ def matches(seeded: DataFrame, of: str = "true") -> DataFrame:
 
     ``of`` says for which seeds; all may give an anchor.
     """
-    anchors = (
+    # Stored, so that adaptive execution can split the join where a seed is very common.
+    anchors = stored(
         seeded.filter("first")
         .groupBy("seed")
         .agg(
@@ -151,7 +152,8 @@ def matches(seeded: DataFrame, of: str = "true") -> DataFrame:
             F.min_by("place", "doc").alias("anchor_place"),
         )
         .filter("anchor <> last")
-        .drop("last")
+        .drop("last"),
+        "anchors",
     )
     return (
         seeded.filter(of)
@@ -426,7 +428,8 @@ def cut(chain_rows: DataFrame, texts: DataFrame) -> DataFrame:
     """The chains with the document's words around all of them, SLACK to each side, and where
     these begin.
 
-    What is equal beyond that has seeds of its own, and long ones where these have other anchors. Only these words travel to the anchors.
+    What is equal beyond that has seeds of its own, and long ones where these have other anchors.
+    Only these words travel to the anchors.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -505,7 +508,7 @@ def find(docs: DataFrame) -> DataFrame:
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
         .filter(F.col("doc_id").isNotNull())
     )
-    chain_rows = stored(chained(matches(seeds(rows))), "chains")
+    chain_rows = stored(chained(matches(stored(seeds(rows), "seeds"))), "chains")
     wanted = (
         chain_rows.select(F.explode(F.array("doc", "anchor")).alias("doc")).distinct()
     )
