@@ -21,7 +21,7 @@ from logstream.llm import (
     token_files,
     warc,
 )
-from logstream.llm.common import fresh_folder
+from logstream.llm.common import fresh_folder, join_sized
 
 WORDS = "/opt/tokenizers/word_bpe_49k.json"
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -505,6 +505,27 @@ class TestWarc:
         found = warc.read(warc.write(frame, folder, least_bytes=2), folder)
         assert {r.record_type for r in found.collect()} == {"response"}
 
+    @pytest.mark.parametrize("fits", [True, False])
+    def test_one_payload_on_half_of_the_rows(self, spark, monkeypatch, fits):
+        """Shared digests are broadcast if few; otherwise no aggregate stands right before the join."""
+        frame = spark.range(4000).selectExpr(
+            "id AS page_id", "'u' AS url", "if(id % 2 = 0, null, concat('p', id % 1500)) AS html"
+        )
+        size = (lambda large, small, on, how: join_sized(large, small, on, how, 1 << 20 if fits else 1))
+        monkeypatch.setattr(warc, "join_sized", size)
+        known = {}
+        for page, _, html in frame.orderBy("page_id").collect():
+            known.setdefault(html or "", page)
+        found = warc.with_first(frame)
+        assert all(
+            (r.first is None) == (known[bytes(r.payload).decode()] == r.page_id)
+            and r.first in (None, known[bytes(r.payload).decode()])
+            for r in found.collect()
+        )
+        assert found.count() == 4000
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan
+
     def test_empty_table(self, spark):
         frame = spark.createDataFrame([], "page_id long, url string, html string")
         folder = fresh_folder(spark, "test-warc")
@@ -596,6 +617,38 @@ class TestPii:
         assert rows(pii.redact(docs), "doc_id", "text", "n_chars") == [(1, "to [EMAIL], [IP]", 16), (2, None, None)]
 
 
+    def test_context_decides(self):
+        def found(text):
+            return [s.kind for s in pii.further_spans(text)]
+
+        # No issuer begins with 17; the last digit is right.
+        number = next(str(n) for n in range(1_700_000_000_000, 1_700_000_000_010) if pii.luhn(str(n)))
+        assert found(f"at {number} it ran") == []
+        assert found(f"my card {number} thanks") == ["short_card"]
+        assert found(f"card list, order {number}") == []
+        assert found(f"order list, card {number}") == ["short_card"]
+        assert found("378282246310005") == ["short_card"]
+        assert found("tracking 378282246310005") == []
+        assert found("ssn of part 123-45-6789") == []
+        assert found("part of ssn 123-45-6789") == ["national_id"]
+        # A country's number of the right length stays, whatever stands near.
+        assert found("serial GB82 WEST 1234 5698 7654 32") == ["iban"]
+        assert found("password=hunter22222") == ["secret"]
+        assert found("dummy password=hunter22222") == []
+
+    def test_numbers_that_are_no_cards(self):
+        rng = random.Random(9)
+        for _ in range(2000):
+            stamp = str(rng.randrange(1_500_000_000_000, 1_900_000_000_000))
+            assert pii.further_spans(f"started {stamp} and ended") == []
+        real = 0
+        for _ in range(200):
+            head = "37" + "".join(rng.choice("0123456789") for _ in range(12))
+            number = next(head + d for d in "0123456789" if pii.luhn(head + d))
+            real += [tuple(s)[:3] for s in pii.further_spans(f"a {number} b")] == [("short_card", 2, 17)]
+        assert real == 200
+
+
 class TestLicenses:
     def test_phrases_and_notices(self, spark):
         texts = [
