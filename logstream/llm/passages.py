@@ -12,8 +12,9 @@ seeds; matches that stand alone are dropped before texts are fetched.
 The smallest documents with the seeds of a passage may have them by chance, each apart, and then
 nothing is reported between these seeds' other holders. So around seeds that no reported passage
 holds, in all documents that have them, every LONG words become a seed, with an anchor of
-its own. Such an anchor shares LONG words, which is a piece; equal runs of LEAST_SHARED words are
-therefore covered whole, whatever the anchors are, and matches still grow with the seeds.
+its own. Such an anchor shares LONG words, which is a piece. Equal runs of LONG words or more are
+therefore covered whole, whatever the anchors are, and those next to each other make one passage: one
+that agrees to 0.8 with changes spread evenly is found. Matches still grow with the seeds.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ WIDEST_GAP = 16
 LEAST_PIECE = 10
 # Words to each side of a chain that its alignment may use.
 SLACK = 64
-# Words of the seeds around what the others leave out; not below LEAST_PIECE.
-LONG = 20
+# Words of the seeds around what the others leave out: a piece, and a multiple of SEED.
+LONG = LEAST_PIECE
 # Words to each side of a shared seed that an equal run may have without another one.
 EDGE = WINDOW - 1
 # Pieces from different anchors this near are one passage.

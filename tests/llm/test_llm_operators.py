@@ -324,6 +324,42 @@ class TestPassages:
             found = passages.find(table(spark, given)).collect()
             assert {(len(given) - 1 - r.doc_id, r.start, r.end) for r in found} == {(0, 80, 140)}
 
+    def test_changed_passage_whose_seeds_stand_in_smaller_documents(self, spark):
+        """Every 20th of 79 words is changed, so no equal run is longer than 19 words."""
+        shared = prose(50, 79, 5000).split()
+        changed = [f"c{i}" if i % 20 == 19 else word for i, word in enumerate(shared)]
+        texts = [
+            f"{prose(1000 + 20 * i + n, 30, 5000)} {' '.join(shared[i : i + 5])} {prose(9000 + 20 * i + n, 30, 5000)}"
+            for i in range(75)
+            for n in range(12)
+        ]
+        texts += [
+            f"{prose(n, 80, 5000)} {' '.join(own)} {prose(n + 2, 80, 5000)}" for n, own in ((1, shared), (2, changed))
+        ]
+        found = passages.find(table(spark, texts)).collect()
+        here = [r for r in found if r.doc_id == 901]
+        covered = {place for r in here for place in range(r.start, r.end)}
+        assert covered >= set(range(80, 159))
+
+    def test_changed_passages_are_found(self, spark):
+        """Planted passages with words changed, put in and left out, as far as they agree to 0.8."""
+        rng = random.Random(11)
+        texts, planted = [], set()
+        while len(planted) < 60:
+            own = prose(100 + len(texts), rng.randrange(50, 140), 5000).split()
+            other = list(own)
+            for at in range(rng.randrange(8, 30), len(own) - 8, rng.randrange(22, 45)):
+                other[at : at + rng.choice((0, 1, 1))] = [f"n{at}"] if rng.random() < 0.7 else []
+            grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (own, other)]
+            if len(grams[0] & grams[1]) < 0.8 * len(grams[0] | grams[1]):
+                continue
+            planted.add((len(texts) + 1, len(texts)))
+            for words in (own, other):
+                seed = 10_000 + 2 * len(texts)
+                texts.append(f"{prose(seed, 70, 5000)} {' '.join(words)} {prose(seed + 1, 70, 5000)}")
+        found = {(r.doc_id, r.other_id) for r in passages.find(table(spark, texts)).collect()}
+        assert found <= planted and len(found) >= 0.9 * len(planted)
+
     def test_run_with_chance_anchors_far_from_its_own(self, spark):
         shared = prose(50, 300, 5000).split()
         grams = [" ".join(shared[i : i + 5]) for i in range(40, 296)]
