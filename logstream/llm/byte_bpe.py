@@ -286,8 +286,9 @@ class Words:
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens and ``ids`` (unsigned 32 bits, little-endian): one row per row of ``docs``.
 
-    ``docs`` must come from files: both passes over it must meet the rows in the same order
-    (else the job fails rather than mix up words). A NULL or empty text has no ids, repeated
+    ``docs`` must come from files: both passes over it must meet the rows in the same order. A
+    block that gets more or fewer words than it has fails; an equal number in another order is not
+    noticed. A NULL or empty text has no ids, repeated
     rows are encoded each, an empty table gives no rows, and other columns are not read.
     """
     rows = docs.select(
