@@ -6,22 +6,26 @@ blocks are shuffled by word and encoded once each, the ids go back to the blocks
 hold the word, and each block puts its documents together by position. What travels is
 words and positions, never texts.
 
-Decoding looks ids up in the table of token bytes, one row per vocabulary entry, which each worker loads.
+Decoding joins the ids that a block uses, each once, to the table of token bytes, and puts the
+bytes together by position. ``round_trip`` does both in one exchange: the tokens of a block's
+words travel with them.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstream.llm.common import map_batches, text_or_empty
+from logstream.llm.common import join_sized, text_or_empty
 
 # A block ends with the document in which it reaches so many pre-tokens.
 BLOCK_TOKENS = 8_000_000
@@ -36,6 +40,10 @@ PACK_CHARS = 1 << 20
 WAITING_WORDS = 500_000
 # Bytes of ids after which a task hands documents on.
 OUT_BYTES = 8 << 20
+# Largest vocabulary that is broadcast, in entries.
+VOCABULARY_ROWS = 1 << 20
+# Code points that are told apart at a time.
+SOME_POINTS = 1 << 16
 
 LETTER, NUMBER, SPACE, OTHER, END = range(5)
 # The endings that the pattern splits off with their apostrophe.
@@ -46,11 +54,14 @@ def members(pattern: str) -> np.ndarray:
     """The code points that a pattern matches, as the encoding library reads it."""
     import tiktoken
 
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     single = {bytes([value]): value for value in range(256)}
     plain = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=single, special_tokens={})
-    found = bytes(plain.encode_ordinary(every)).decode()
-    return np.frombuffer(found.encode("utf-32-le"), np.uint32)
+    found = []
+    for first in range(0, 0x110000, SOME_POINTS):
+        points = (p for p in range(first, first + SOME_POINTS) if not 0xD800 <= p < 0xE000)
+        text = bytes(plain.encode_ordinary("".join(map(chr, points)))).decode()
+        found.append(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    return np.concatenate(found)
 
 
 @lru_cache(maxsize=1)
@@ -179,9 +190,25 @@ def piece_encoder(path: str):
     )._core_bpe.encode_single_piece
 
 
+def numbering(numbers: np.ndarray, sums: np.ndarray) -> int:
+    """Sum over words, by number and checksum: it tells two numberings of the same words apart."""
+    odd = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    mixed = (sums.astype(np.uint64) + np.uint64(1)) * (odd ^ (odd >> np.uint64(29)))
+    return int(mixed.sum(dtype=np.uint64).view(np.int64))
+
+
 WORDS = "place long, word binary"
-BLOCK_ROWS = "block long, doc_ids array<long>, counts array<int>, numbers binary, words binary"
-BLOCK_NAMES = [field.split()[0] for field in BLOCK_ROWS.split(", ")]
+BLOCK_KINDS = {
+    "block": ("long", pa.int64()),
+    "doc_ids": ("array<long>", pa.list_(pa.int64())),
+    "counts": ("array<int>", pa.list_(pa.int32())),
+    "numbers": ("binary", pa.binary()),
+    "words": ("binary", pa.binary()),
+    "check": ("long", pa.int64()),
+    "id": ("int", pa.int32()),
+}
+BLOCK_NAMES = list(BLOCK_KINDS)
+BLOCK_ROWS = ", ".join(f"`{name}` {kind}" for name, (kind, _) in BLOCK_KINDS.items())
 
 
 def distinct_words(docs: DataFrame) -> DataFrame:
@@ -207,58 +234,67 @@ def distinct_words(docs: DataFrame) -> DataFrame:
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """The documents as numbers of their block's words, by position."""
+    """The documents as numbers of their block's words, by position; per block one more row, its numbering."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, doc_ids, counts, found in blocks(batches):
+        for block, numbers, doc_ids, counts, found in blocks(batches):
             if doc_ids is not None:
-                yield _block_row(block, doc_ids, counts, squeeze(found), None)
+                yield _block_rows(block, doc_ids, counts, squeeze(found))
+            else:
+                sums = np.fromiter(map(zlib.crc32, numbers), np.uint32, len(numbers))
+                yield _block_rows(block, check=numbering(np.arange(len(sums)), sums))
 
     return docs.mapInArrow(run, BLOCK_ROWS)
 
 
-def _block_row(block, doc_ids, counts, numbers, words) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-    row = ([value] for value in (block, doc_ids, counts, numbers, words))
-    arrays = [pa.array(value, kind) for value, kind in zip(row, kinds)]
+def _block_rows(block, doc_ids=None, counts=None, numbers=None, words=None, check=None, ids=()):
+    """One row of a block, and one for each of ``ids``."""
+    columns = [[value] + [None] * len(ids) for value in (doc_ids, counts, numbers, words, check)]
+    columns = [[block] * (1 + len(ids)), *columns, [None, *ids]]
+    arrays = [pa.array(values, kind) for values, (_, kind) in zip(columns, BLOCK_KINDS.values())]
     return pa.RecordBatch.from_arrays(arrays, BLOCK_NAMES)
 
 
-def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
+def encoded_words(words: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """Each distinct word encoded once; its ids, packed by block, for every block that has it.
 
     ``numbers`` holds the words' numbers, then their lengths in ids; ``words`` all their ids.
+    ``with_ids`` adds a row for each distinct ``id`` among them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = piece_encoder(vocabulary)
-        waiting: dict[int, tuple[list, list, list]] = {}
-        count, last, ids = 0, None, []
+        waiting: dict[int, tuple[list, ...]] = {}
+        count, last, ids, crc = 0, None, [], 0
         for batch in batches:
             places = batch.column("place").to_pylist()
             for place, word in zip(places, batch.column("word").to_pylist()):
                 if word != last:
-                    last, ids = word, encode(word)
+                    last, ids, crc = word, encode(word), zlib.crc32(word)
                 lists = waiting.get(place >> NUMBER_BITS)
                 if lists is None:
-                    lists = waiting[place >> NUMBER_BITS] = ([], [], [])
+                    lists = waiting[place >> NUMBER_BITS] = ([], [], [], [])
                 lists[0].append(place & ONE_BLOCK)
                 lists[1].append(len(ids))
                 lists[2].extend(ids)
+                lists[3].append(crc)
             count += len(places)
             if count >= WAITING_WORDS:
-                yield from _send(waiting)
+                yield from _send(waiting, with_ids)
                 waiting, count = {}, 0
-        yield from _send(waiting)
+        yield from _send(waiting, with_ids)
 
     ordered = words.repartition("word").sortWithinPartitions("word")
     return ordered.mapInArrow(run, BLOCK_ROWS)
 
 
-def _send(waiting: dict[int, tuple[list, list, list]]) -> Iterator[pa.RecordBatch]:
-    for block, (numbers, lengths, ids) in waiting.items():
-        packed = squeeze(np.array(numbers + lengths, np.uint32))
-        yield _block_row(block, None, None, packed, squeeze(np.array(ids, np.uint32)))
+def _send(waiting: dict[int, tuple[list, ...]], with_ids: bool) -> Iterator[pa.RecordBatch]:
+    for block, lists in waiting.items():
+        numbers, lengths, ids, sums = (np.array(values, np.uint32) for values in lists)
+        packed = squeeze(np.concatenate((numbers, lengths)))
+        used = np.unique(ids).tolist() if with_ids else ()
+        check = numbering(numbers, sums)
+        yield _block_rows(block, numbers=packed, words=squeeze(ids), check=check, ids=used)
 
 
 class Words:
@@ -287,52 +323,114 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens and ``ids`` (unsigned 32 bits, little-endian): one row per row of ``docs``.
 
     ``docs`` must come from files: both passes over it must meet the rows in the same order. A
-    block that gets more or fewer words than it has fails; an equal number in another order is not
-    noticed. A NULL or empty text has no ids, repeated
-    rows are encoded each, an empty table gives no rows, and other columns are not read.
+    block whose words were numbered otherwise in the other pass fails. A NULL or empty text has
+    no ids, repeated rows are encoded each, an empty table gives no rows, and other columns are
+    not read.
+    """
+    return _reassembled(_parts(docs, vocabulary, False), None)
+
+
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``encode``, with ``decoded``, the bytes that the ids stand for.
+
+    The distinct ids of a block's words are joined to the token table, and the block's documents
+    are put together from the ids and from the bytes joined to them. Cases as in ``encode``.
     """
+    return _reassembled(_with_tokens(_parts(docs, vocabulary, True), vocabulary), "token")
+
+
+def _parts(docs: DataFrame, vocabulary: str, with_ids: bool) -> DataFrame:
+    """The blocks' words and their documents."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text_or_empty(),
         # The partition of the scan, whatever stands above it.
         F.spark_partition_id().alias("part"),
     )
-    parts = encoded_words(distinct_words(rows), vocabulary).unionByName(positions(rows))
-    # A block's words come before its documents.
+    words = encoded_words(distinct_words(rows), vocabulary, with_ids)
+    return words.unionByName(positions(rows))
+
+
+def token_table(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """``id`` and ``token``, its bytes: one row per entry of the vocabulary."""
+    path = vocabulary if "://" in vocabulary else f"file://{vocabulary}"
+    fields = F.split("value", " ")
+    return spark.read.text(path).select(
+        fields[1].cast("int").alias("id"), F.unbase64(fields[0]).alias("token")
+    )
+
+
+def _with_tokens(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """The rows with the ``token`` of their ``id``; rows without an id have none."""
+    tokens = token_table(rows.sparkSession, vocabulary)
+    return join_sized(rows, tokens, "id", "left", VOCABULARY_ROWS)
+
+
+def _reassembled(parts: DataFrame, token: str | None) -> DataFrame:
+    """One row per document, from the rows of its block."""
+    # A block's words and tokens come before its documents.
     ordered = parts.repartition("block").sortWithinPartitions(
         "block", F.col("doc_ids").isNotNull()
     )
-    return ordered.mapInArrow(_put_together, "doc_id long, n_tokens long, ids binary")
+    names = [*BLOCK_NAMES, token] if token else BLOCK_NAMES
+    schema = "doc_id long, n_tokens long, ids binary" + (", decoded binary" if token else "")
+    return ordered.select(*names).mapInArrow(_put_together, schema)
+
+
+class Block:
+    """What has come of a block: words, numberings and the bytes of tokens."""
+
+    def __init__(self, number: int | None = None):
+        self.number, self.parts, self.words = number, [], None
+        self.sent, self.known = 0, 0
+        self.tokens: dict[int, bytes] = {}
+
+    def add(self, numbers: bytes | None, ids: bytes | None, check: int) -> None:
+        if numbers is None:
+            self.known += check
+            return
+        found = unsqueeze(numbers)
+        half = len(found) // 2
+        self.parts.append((found[:half], found[half:], unsqueeze(ids)))
+        self.sent += check
+
+    def placed(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.words is None:
+            if (self.sent - self.known) % (1 << 64):
+                raise ValueError("the words of a block do not fit its documents")
+            if not self.parts:
+                # Empty documents alone.
+                return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+            self.words, self.parts = Words(self.parts), []
+        return self.words.placed(found)
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    current, parts, words = None, [], None
-    out: list[tuple] = []
-    size = 0
+    block, out, size = Block(), [], 0
     for batch in batches:
-        for row in zip(*(batch.column(name) for name in BLOCK_NAMES)):
-            block, doc_ids, counts, numbers, ids = (value.as_py() for value in row)
-            if block != current:
-                current, parts, words = block, [], None
-            found = unsqueeze(numbers)
-            if doc_ids is None:
-                half = len(found) // 2
-                parts.append((found[:half], found[half:], unsqueeze(ids)))
+        decoding = "token" in batch.schema.names
+        names = [*BLOCK_NAMES, "token"] if decoding else BLOCK_NAMES
+        for row in zip(*(batch.column(name) for name in names)):
+            number, doc_ids, counts, numbers, ids, check, one, *token = (v.as_py() for v in row)
+            if number != block.number:
+                block = Block(number)
+            if one is not None:
+                if token and token[0] is not None:
+                    block.tokens[one] = token[0]
                 continue
-            if words is None and parts:
-                words, parts = Words(parts), []
-            if words is None:
-                if len(found):
-                    raise ValueError("a block without its words")
-                # Empty documents alone.
-                out += [(doc_id, 0, b"") for doc_id in doc_ids]
+            if doc_ids is None:
+                block.add(numbers, ids, check)
                 continue
-            placed, before = words.placed(found)
+            placed, before = block.placed(unsqueeze(numbers))
             cuts = before[np.concatenate(([0], np.cumsum(counts)))].tolist()
             wide = placed.astype("<u4")
             for doc_id, a, b in zip(doc_ids, cuts, cuts[1:]):
-                out.append((doc_id, b - a, wide[a:b].tobytes()))
-            size += 4 * len(wide)
+                found = (doc_id, b - a, wide[a:b].tobytes())
+                out.append((*found, block.decoded(wide[a:b])) if decoding else found)
+            size += (12 if decoding else 4) * len(wide)
             if size >= OUT_BYTES:
                 yield _encoded(out)
                 out, size = [], 0
@@ -341,33 +439,68 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _encoded(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids"])
+    names = ["doc_id", "n_tokens", "ids", "decoded"][: len(arrays)]
+    return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes its ids stand for.
+    """``encoded`` with ``decoded``, the bytes its ``ids`` stand for.
 
-    Ids are looked up in the tasks, in a token table that each worker loads: it has one row per
-    vocabulary entry, whatever the corpus. NULL ids decode to NULL.
+    Rows travel packed, as batches named by their content; a batch's distinct ids are joined to the
+    token table, and their bytes meet the batch. NULL ids decode to NULL, no ids to no bytes; an id
+    that the vocabulary lacks fails; repeated rows are decoded each; a column ``decoded`` is replaced.
     """
+    encoded = encoded.drop("decoded")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        token = token_bytes(vocabulary).__getitem__
-        decoded = [
-            None if ids is None else b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
-            for ids in batch.column("ids").to_pylist()
-        ]
-        return batch.append_column("decoded", pa.array(decoded, pa.binary()))
-
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [np.frombuffer(ids, "<u4") for ids in batch.column("ids").to_pylist() if ids]
+            used = np.unique(np.concatenate(parts)).tolist() if parts else []
+            packed = zstandard.ZstdCompressor(level=1).compress(_ipc(batch))
+            name = hashlib.blake2b(packed, digest_size=16).digest()
+            columns = [[name] * (1 + len(used)), [packed] + [None] * len(used), [None, *used]]
+            kinds = [pa.binary(), pa.binary(), pa.int32()]
+            arrays = [pa.array(values, kind) for values, kind in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["batch", "rows", "id"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, tokens = None, {}
+        for batch in batches:
+            for row in zip(*(batch.column(name) for name in ("batch", "rows", "id", "token"))):
+                name, rows, one, token = (value.as_py() for value in row)
+                if name != current:
+                    current, tokens = name, {}
+                if rows is None:
+                    if token is not None:
+                        tokens[one] = token
+                    continue
+                data = zstandard.ZstdDecompressor().decompress(rows)
+                with pa.ipc.open_stream(data) as stream:
+                    for found in stream:
+                        decoded = [
+                            None
+                            if ids is None
+                            else b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                            for ids in found.column("ids").to_pylist()
+                        ]
+                        yield found.append_column("decoded", pa.array(decoded, pa.binary()))
+
+    packed = encoded.mapInArrow(pack, "`batch` binary, `rows` binary, id int")
+    joined = _with_tokens(packed, vocabulary)
+    ordered = joined.repartition("batch").sortWithinPartitions("batch", F.col("rows").isNotNull())
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)
-    return map_batches(encoded, run, f"{kinds}, decoded binary")
+    return ordered.mapInArrow(unpack, f"{kinds}, decoded binary")
 
 
-@lru_cache(maxsize=2)
-def token_bytes(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in ranks(path).items()}
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def sha256(name: str):

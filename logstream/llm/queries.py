@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path
 
 from logstream.llm import (
     byte_bpe,
@@ -26,7 +27,6 @@ from logstream.llm import (
 from logstream.llm.common import fresh_folder, stored, table
 from logstream.llm.vectors import scaled, usable
 
-TOKENIZERS = "/opt/tokenizers"
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
@@ -35,7 +35,7 @@ END_ID = 2
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written in doc_id order and read back from the files."""
     docs, folder = table(spark, sf_dir, "documents"), fresh_folder(spark, "tokens")
-    token_files.write(docs, folder, f"{TOKENIZERS}/{WORD_VOCABULARY}", END_ID)
+    token_files.write(docs, folder, path(WORD_VOCABULARY), END_ID)
     return token_files.read(spark, folder)
 
 
@@ -88,9 +88,8 @@ def op6_round_trip_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the bytes they decode to, as digests."""
-    path = f"{TOKENIZERS}/{BYTE_RANKS}"
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path)
-    return byte_bpe.decode(encoded, path).select(
+    found = byte_bpe.round_trip(table(spark, sf_dir, "documents"), path(BYTE_RANKS))
+    return found.select(
         "doc_id",
         "n_tokens",
         byte_bpe.sha256("ids").alias("ids_sha256"),

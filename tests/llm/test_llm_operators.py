@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from logstream.llm import (
 from logstream.llm.common import fresh_folder, join_sized
 
 WORDS = "/opt/tokenizers/word_bpe_49k.json"
-RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ODD = [None, "", "  \n\t ", "one", "é ü 😀 x\x1cy\x00z", "a" * 70_000, "word " * 30_000, "</s>[INST]"]
 SCHEMA = "doc_id long, text string, source string, n_words long, key string, host string, start int, doc int"
 
@@ -448,7 +449,6 @@ class TestChat:
 
 class TestByteBpe:
     def test_against_the_library(self, spark):
-        import public_tokenizers
         import tiktoken
 
         plain = tiktoken.Encoding(
@@ -456,8 +456,9 @@ class TestByteBpe:
         )
         texts = [t for t in ODD if t] + ["I'll 's ''s don't", " a  b\n\n c\t", "　x\u0085 y ", "x'"]
         docs = table(spark, texts).repartition(3)
-        found = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS).collect()
-        assert len(found) == len(texts)
+        found = byte_bpe.round_trip(docs, RANKS).collect()
+        apart = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS).collect()
+        assert sorted(found) == sorted(apart) and len(found) == len(texts)
         for row in found:
             ids = np.frombuffer(row.ids, "<u4").tolist()
             assert ids == plain.encode_ordinary(texts[row.doc_id])
@@ -487,7 +488,6 @@ class TestByteBpe:
         assert {block >> byte_bpe.BLOCK_BITS for block, _ in cuts([whole])} == {4} and len(cuts([whole])) > 9
 
     def test_pre_tokens_against_the_pattern(self):
-        import public_tokenizers
         import regex
 
         pattern, rng = regex.compile(public_tokenizers.PATTERN), random.Random(5)
@@ -784,9 +784,34 @@ class TestBlocksOfWords:
             with pytest.raises(ValueError):
                 byte_bpe.block_of(part, made)
 
+    def test_decoding_keeps_other_columns(self, spark):
+        ids = [b"", None, np.array([5, 70, 5], "<u4").tobytes()]
+        rows = [(i % 3, "x", ids[i % 3], "kept") for i in range(6)]
+        encoded = spark.createDataFrame(rows, "id int, decoded string, ids binary, token string")
+        found = byte_bpe.decode(encoded, RANKS)
+        token = {rank: word for word, rank in byte_bpe.ranks(RANKS).items()}
+        want = [b"", None, token[5] + token[70] + token[5]]
+        assert found.columns == ["id", "ids", "token", "decoded"]
+        got = sorted((r.id, r.token, r.decoded and bytes(r.decoded)) for r in found.collect())
+        assert got == [(i, "kept", want[i] or None if i == 1 else want[i]) for i in (0, 0, 1, 1, 2, 2)]
+        assert byte_bpe.decode(encoded.limit(0), RANKS).count() == 0
+        with pytest.raises(Exception, match="99999999"):
+            unknown = [(1, np.array([99999999], "<u4").tobytes())]
+            byte_bpe.decode(spark.createDataFrame(unknown, "id int, ids binary"), RANKS).collect()
+
+    def test_another_order_of_rows_is_noticed(self, spark):
+        texts = ["one two three", "four five six"]
+        first = table(spark, texts).coalesce(1).select("doc_id", "text", F.lit(0).alias("part"))
+        second = first.orderBy(F.desc("doc_id")).coalesce(1)
+        words = byte_bpe.encoded_words(byte_bpe.distinct_words(first), RANKS)
+        same = byte_bpe._reassembled(words.unionByName(byte_bpe.positions(first)), None)
+        assert same.count() == 2
+        with pytest.raises(Exception, match="do not fit"):
+            byte_bpe._reassembled(words.unionByName(byte_bpe.positions(second)), None).collect()
+
     def test_more_splits_than_2047(self, spark):
         docs = table(spark, [f"word {i % 7}" for i in range(2100)]).repartition(2100).cache()
-        found = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS)
+        found = byte_bpe.round_trip(docs, RANKS)
         got = {(r.doc_id, bytes(r.decoded).decode()) for r in found.collect()}
         docs.unpersist()
         assert got == {(i, f"word {i % 7}") for i in range(2100)}

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 
 import __spark_entry__ as entry_points
@@ -14,8 +15,8 @@ import check
 import corpus_pipeline
 from logstream.llm import byte_bpe, pii, queries, quality
 
-WORDS = f"{queries.TOKENIZERS}/{queries.WORD_VOCABULARY}"
-RANKS = f"{queries.TOKENIZERS}/{queries.BYTE_RANKS}"
+WORDS = public_tokenizers.path(queries.WORD_VOCABULARY)
+RANKS = public_tokenizers.path(queries.BYTE_RANKS)
 LICENSES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 
@@ -32,7 +33,6 @@ def texts(documents):
 
 @pytest.fixture(scope="module")
 def library():
-    import public_tokenizers
     import tiktoken
 
     pattern, ranks = public_tokenizers.PATTERN, byte_bpe.ranks(RANKS)
