@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
 from logstream.llm import byte_bpe, decontaminate, near_dedup, pii, quality
 from logstream.llm.common import stored, table
-from logstream.llm.queries import BYTE_RANKS, TOKENIZERS
+from logstream.llm.queries import BYTE_RANKS
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +32,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of ids, and the digests of the ids and of the bytes they decode to."""
-    path = f"{TOKENIZERS}/{BYTE_RANKS}"
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, path), path)
-    return decoded.select(
+    return byte_bpe.round_trip(docs, path(BYTE_RANKS)).select(
         "doc_id",
         "n_tokens",
         byte_bpe.sha256("ids").alias("ids_sha256"),
