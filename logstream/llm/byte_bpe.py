@@ -6,9 +6,8 @@ blocks are shuffled by word and encoded once each, the ids go back to the blocks
 hold the word, and each block puts its documents together by position. What travels is
 words and positions, never texts.
 
-Decoding joins the ids that a block uses, each once, to the table of token bytes, and puts the
-bytes together by position. ``round_trip`` does both in one exchange: the tokens of a block's
-words travel with them.
+Decoding joins the ids that a batch of documents uses, each once, to the table of token bytes,
+and puts the bytes together by position.
 """
 
 from __future__ import annotations
@@ -205,7 +204,6 @@ BLOCK_KINDS = {
     "numbers": ("binary", pa.binary()),
     "words": ("binary", pa.binary()),
     "check": ("long", pa.int64()),
-    "id": ("int", pa.int32()),
 }
 BLOCK_NAMES = list(BLOCK_KINDS)
 BLOCK_ROWS = ", ".join(f"`{name}` {kind}" for name, (kind, _) in BLOCK_KINDS.items())
@@ -239,27 +237,24 @@ def positions(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, numbers, doc_ids, counts, found in blocks(batches):
             if doc_ids is not None:
-                yield _block_rows(block, doc_ids, counts, squeeze(found))
+                yield _block_row(block, doc_ids, counts, squeeze(found))
             else:
                 sums = np.fromiter(map(zlib.crc32, numbers), np.uint32, len(numbers))
-                yield _block_rows(block, check=numbering(np.arange(len(sums)), sums))
+                yield _block_row(block, check=numbering(np.arange(len(sums)), sums))
 
     return docs.mapInArrow(run, BLOCK_ROWS)
 
 
-def _block_rows(block, doc_ids=None, counts=None, numbers=None, words=None, check=None, ids=()):
-    """One row of a block, and one for each of ``ids``."""
-    columns = [[value] + [None] * len(ids) for value in (doc_ids, counts, numbers, words, check)]
-    columns = [[block] * (1 + len(ids)), *columns, [None, *ids]]
-    arrays = [pa.array(values, kind) for values, (_, kind) in zip(columns, BLOCK_KINDS.values())]
+def _block_row(block, doc_ids=None, counts=None, numbers=None, words=None, check=None):
+    row = (block, doc_ids, counts, numbers, words, check)
+    arrays = [pa.array([value], kind) for value, (_, kind) in zip(row, BLOCK_KINDS.values())]
     return pa.RecordBatch.from_arrays(arrays, BLOCK_NAMES)
 
 
-def encoded_words(words: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
     """Each distinct word encoded once; its ids, packed by block, for every block that has it.
 
     ``numbers`` holds the words' numbers, then their lengths in ids; ``words`` all their ids.
-    ``with_ids`` adds a row for each distinct ``id`` among them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,21 +275,20 @@ def encoded_words(words: DataFrame, vocabulary: str, with_ids: bool = False) ->
                 lists[3].append(crc)
             count += len(places)
             if count >= WAITING_WORDS:
-                yield from _send(waiting, with_ids)
+                yield from _send(waiting)
                 waiting, count = {}, 0
-        yield from _send(waiting, with_ids)
+        yield from _send(waiting)
 
     ordered = words.repartition("word").sortWithinPartitions("word")
     return ordered.mapInArrow(run, BLOCK_ROWS)
 
 
-def _send(waiting: dict[int, tuple[list, ...]], with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _send(waiting: dict[int, tuple[list, ...]]) -> Iterator[pa.RecordBatch]:
     for block, lists in waiting.items():
         numbers, lengths, ids, sums = (np.array(values, np.uint32) for values in lists)
         packed = squeeze(np.concatenate((numbers, lengths)))
-        used = np.unique(ids).tolist() if with_ids else ()
         check = numbering(numbers, sums)
-        yield _block_rows(block, numbers=packed, words=squeeze(ids), check=check, ids=used)
+        yield _block_row(block, numbers=packed, words=squeeze(ids), check=check)
 
 
 class Words:
@@ -327,28 +321,24 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     no ids, repeated rows are encoded each, an empty table gives no rows, and other columns are
     not read.
     """
-    return _reassembled(_parts(docs, vocabulary, False), None)
-
-
-def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``encode``, with ``decoded``, the bytes that the ids stand for.
-
-    The distinct ids of a block's words are joined to the token table, and the block's documents
-    are put together from the ids and from the bytes joined to them. Cases as in ``encode``.
-    """
-    return _reassembled(_with_tokens(_parts(docs, vocabulary, True), vocabulary), "token")
-
-
-def _parts(docs: DataFrame, vocabulary: str, with_ids: bool) -> DataFrame:
-    """The blocks' words and their documents."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text_or_empty(),
         # The partition of the scan, whatever stands above it.
         F.spark_partition_id().alias("part"),
     )
-    words = encoded_words(distinct_words(rows), vocabulary, with_ids)
-    return words.unionByName(positions(rows))
+    return reassembled(encoded_words(distinct_words(rows), vocabulary), positions(rows))
+
+
+def reassembled(words: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row per document, from its block's encoded words and its positions."""
+    # A block's words come before its documents.
+    ordered = (
+        words.unionByName(documents)
+        .repartition("block")
+        .sortWithinPartitions("block", F.col("doc_ids").isNotNull())
+    )
+    return ordered.mapInArrow(_put_together, "doc_id long, n_tokens long, ids binary")
 
 
 def token_table(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -360,30 +350,12 @@ def token_table(spark: SparkSession, vocabulary: str) -> DataFrame:
     )
 
 
-def _with_tokens(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """The rows with the ``token`` of their ``id``; rows without an id have none."""
-    tokens = token_table(rows.sparkSession, vocabulary)
-    return join_sized(rows, tokens, "id", "left", VOCABULARY_ROWS)
-
-
-def _reassembled(parts: DataFrame, token: str | None) -> DataFrame:
-    """One row per document, from the rows of its block."""
-    # A block's words and tokens come before its documents.
-    ordered = parts.repartition("block").sortWithinPartitions(
-        "block", F.col("doc_ids").isNotNull()
-    )
-    names = [*BLOCK_NAMES, token] if token else BLOCK_NAMES
-    schema = "doc_id long, n_tokens long, ids binary" + (", decoded binary" if token else "")
-    return ordered.select(*names).mapInArrow(_put_together, schema)
-
-
 class Block:
-    """What has come of a block: words, numberings and the bytes of tokens."""
+    """What has come of a block: its words, and how either pass numbered them."""
 
     def __init__(self, number: int | None = None):
         self.number, self.parts, self.words = number, [], None
         self.sent, self.known = 0, 0
-        self.tokens: dict[int, bytes] = {}
 
     def add(self, numbers: bytes | None, ids: bytes | None, check: int) -> None:
         if numbers is None:
@@ -404,23 +376,14 @@ class Block:
             self.words, self.parts = Words(self.parts), []
         return self.words.placed(found)
 
-    def decoded(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-
 
 def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, out, size = Block(), [], 0
     for batch in batches:
-        decoding = "token" in batch.schema.names
-        names = [*BLOCK_NAMES, "token"] if decoding else BLOCK_NAMES
-        for row in zip(*(batch.column(name) for name in names)):
-            number, doc_ids, counts, numbers, ids, check, one, *token = (v.as_py() for v in row)
+        for row in zip(*(batch.column(name) for name in BLOCK_NAMES)):
+            number, doc_ids, counts, numbers, ids, check = (value.as_py() for value in row)
             if number != block.number:
                 block = Block(number)
-            if one is not None:
-                if token and token[0] is not None:
-                    block.tokens[one] = token[0]
-                continue
             if doc_ids is None:
                 block.add(numbers, ids, check)
                 continue
@@ -428,9 +391,8 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             cuts = before[np.concatenate(([0], np.cumsum(counts)))].tolist()
             wide = placed.astype("<u4")
             for doc_id, a, b in zip(doc_ids, cuts, cuts[1:]):
-                found = (doc_id, b - a, wide[a:b].tobytes())
-                out.append((*found, block.decoded(wide[a:b])) if decoding else found)
-            size += (12 if decoding else 4) * len(wide)
+                out.append((doc_id, b - a, wide[a:b].tobytes()))
+            size += 4 * len(wide)
             if size >= OUT_BYTES:
                 yield _encoded(out)
                 out, size = [], 0
@@ -439,10 +401,9 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _encoded(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
     arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
-    names = ["doc_id", "n_tokens", "ids", "decoded"][: len(arrays)]
-    return pa.RecordBatch.from_arrays(arrays, names)
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids"])
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -490,7 +451,8 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                         yield found.append_column("decoded", pa.array(decoded, pa.binary()))
 
     packed = encoded.mapInArrow(pack, "`batch` binary, `rows` binary, id int")
-    joined = _with_tokens(packed, vocabulary)
+    tokens = token_table(encoded.sparkSession, vocabulary)
+    joined = join_sized(packed, tokens, "id", "left", VOCABULARY_ROWS)
     ordered = joined.repartition("batch").sortWithinPartitions("batch", F.col("rows").isNotNull())
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)
     return ordered.mapInArrow(unpack, f"{kinds}, decoded binary")

@@ -88,8 +88,9 @@ def op6_round_trip_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the bytes they decode to, as digests."""
-    found = byte_bpe.round_trip(table(spark, sf_dir, "documents"), path(BYTE_RANKS))
-    return found.select(
+    ranks = path(BYTE_RANKS)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
+    return byte_bpe.decode(encoded, ranks).select(
         "doc_id",
         "n_tokens",
         byte_bpe.sha256("ids").alias("ids_sha256"),

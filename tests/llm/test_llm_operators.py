@@ -456,9 +456,8 @@ class TestByteBpe:
         )
         texts = [t for t in ODD if t] + ["I'll 's ''s don't", " a  b\n\n c\t", "　x\u0085 y ", "x'"]
         docs = table(spark, texts).repartition(3)
-        found = byte_bpe.round_trip(docs, RANKS).collect()
-        apart = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS).collect()
-        assert sorted(found) == sorted(apart) and len(found) == len(texts)
+        found = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS).collect()
+        assert len(found) == len(texts)
         for row in found:
             ids = np.frombuffer(row.ids, "<u4").tolist()
             assert ids == plain.encode_ordinary(texts[row.doc_id])
@@ -804,14 +803,13 @@ class TestBlocksOfWords:
         first = table(spark, texts).coalesce(1).select("doc_id", "text", F.lit(0).alias("part"))
         second = first.orderBy(F.desc("doc_id")).coalesce(1)
         words = byte_bpe.encoded_words(byte_bpe.distinct_words(first), RANKS)
-        same = byte_bpe._reassembled(words.unionByName(byte_bpe.positions(first)), None)
-        assert same.count() == 2
+        assert byte_bpe.reassembled(words, byte_bpe.positions(first)).count() == 2
         with pytest.raises(Exception, match="do not fit"):
-            byte_bpe._reassembled(words.unionByName(byte_bpe.positions(second)), None).collect()
+            byte_bpe.reassembled(words, byte_bpe.positions(second)).collect()
 
     def test_more_splits_than_2047(self, spark):
         docs = table(spark, [f"word {i % 7}" for i in range(2100)]).repartition(2100).cache()
-        found = byte_bpe.round_trip(docs, RANKS)
+        found = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS)
         got = {(r.doc_id, bytes(r.decoded).decode()) for r in found.collect()}
         docs.unpersist()
         assert got == {(i, f"word {i % 7}") for i in range(2100)}
