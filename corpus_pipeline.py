@@ -32,7 +32,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of ids, and the digests of the ids and of the bytes they decode to."""
-    return byte_bpe.round_trip(docs, path(BYTE_RANKS)).select(
+    ranks = path(BYTE_RANKS)
+    # Stored: no task has the Python workers of both at once.
+    encoded = stored(byte_bpe.encode(docs, ranks), "ids")
+    return byte_bpe.decode(encoded, ranks).select(
         "doc_id",
         "n_tokens",
         byte_bpe.sha256("ids").alias("ids_sha256"),
