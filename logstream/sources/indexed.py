@@ -21,6 +21,8 @@ from logstream.operators.search import check_limit, matching, newest
 TRACE_BUCKETS = 64
 # Rows that a file of a day is meant to hold.
 FILE_ROWS = 2_000_000
+# Rows below which a task is not worth its own: small files are written many to a task.
+TASK_ROWS = 100_000
 # Distinct traces that a Bloom filter of a row group is made for.
 FILTER_TRACES = 200_000
 
@@ -42,13 +44,15 @@ def write_indexed(df: DataFrame, root: str, file_rows: int = FILE_ROWS) -> None:
     spark = df.sparkSession
     rows = df.withColumn("day", F.to_date("timestamp"))
     order = ["day", "service", "timestamp"]
-    parts = max(1, -(-rows.count() // file_rows))
+    # Tasks follow the rows, not the files: each reports to the driver, and has its bounds from a sample there.
+    parts = max(1, -(-rows.count() // max(file_rows, TASK_ROWS)))
     part = f"{root.rstrip('/')}/days/part={uuid.uuid4().hex}"
     (
         rows.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
-        .write.option("parquet.bloom.filter.enabled#trace_id", "true")
-        .option("parquet.bloom.filter.expected.ndv#trace_id", str(FILTER_TRACES))
+        .write.option("maxRecordsPerFile", file_rows)
+        .option("parquet.bloom.filter.enabled#trace_id", "true")
+        .option("parquet.bloom.filter.expected.ndv#trace_id", str(min(FILTER_TRACES, file_rows)))
         .partitionBy("day")
         .parquet(part)
     )

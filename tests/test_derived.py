@@ -175,6 +175,21 @@ def test_a_narrow_search_skips_files(spark, lake):
     assert len(indexed.search_indexed(spark, root, 5).inputFiles()) < len(every) / 3
 
 
+def test_small_files_share_a_task(spark, tmp_path):
+    """As many tasks as the rows need, however small the files are to be."""
+    root = str(tmp_path / "lake")
+    rows = spark.range(4000).select(
+        (F.lit(BASE) + F.expr("make_dt_interval(0, 0, 0, id)")).alias("timestamp"),
+        F.format_string("s%d", F.col("id") % 5).alias("service"),
+        F.format_string("t%d", F.col("id")).alias("trace_id"),
+    )
+    indexed.write_indexed(rows, root, 100)
+    named = indexed.files_for(spark, root)
+    assert sorted(count for _, _, count in named) == [100] * 40
+    # A file's name begins with its task's number.
+    assert len({file.rpartition("/")[2][:10] for file, _, _ in named}) == 1
+
+
 def test_what_broke_off_is_not_found(spark, lake, monkeypatch):
     """Files that the index does not name do not count."""
     plain, root = lake
