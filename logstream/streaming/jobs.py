@@ -33,7 +33,7 @@ from logstream.operators.sketches import distinct_minutes
 from logstream.operators.stats import live_counters, window_stats
 from logstream.operators.validate import validate
 from logstream.sources.streams import read_log_stream
-from logstream.streaming.late import LATE_COLUMNS, late_bound, late_entries
+from logstream.streaming.late import LATE_COLUMNS, before_bound, late_bound, late_entries
 from logstream.streaming.monitor import ProgressLog
 from logstream.streaming.offsets import commit
 from logstream.streaming.sinks import (
@@ -283,18 +283,21 @@ def start_windows(spark: SparkSession, config: StreamConfig, path: str) -> Strea
         results = stats.unionByName(logs.select(*kept), allowMissingColumns=True)
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        is_stats = F.col("window_start").isNotNull()
+        needed = is_stats = F.col("window_start").isNotNull()
         if config.late is not None:
             bound = late_bound(spark, checkpoint, batch_id)
-            rows = batch.where(~is_stats).select(*kept)
-            late = late_entries(rows, bound, STATS_WIDTH, STATS_SLIDE)
-            write_batch(late, config.late, batch_id)
-        changed = batch.where(is_stats).select(*stats.columns).persist()
+            needed = is_stats | before_bound(bound)
+        # The micro-batch runs once for all that is written; of its rows those that may be late stay.
+        found = batch.where(needed).persist()
         try:
+            if config.late is not None:
+                late = late_entries(found.where(~is_stats).select(*kept), bound, STATS_WIDTH, STATS_SLIDE)
+                write_batch(late, config.late, batch_id)
+            changed = found.where(is_stats).select(*stats.columns)
             upsert_latest(changed, path, batch_id)
             write_batch(changed.withColumn("sent_in", F.lit(batch_id)), feed, batch_id)
         finally:
-            changed.unpersist()
+            found.unpersist()
 
     return (
         results.writeStream.outputMode("update")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstream.streaming.sinks import STATS_KEY
@@ -26,11 +26,16 @@ def late_bound(spark: SparkSession, checkpoint: str, batch_id: int) -> int:
     return json.loads(lines[1])["batchWatermarkMs"]
 
 
+def before_bound(bound_ms: int) -> Column:
+    """Whether a row can be late for a window: it is older than the bound."""
+    return F.col("timestamp") < F.timestamp_millis(F.lit(bound_ms))
+
+
 def late_entries(rows: DataFrame, bound_ms: int, width: str, slide: str) -> DataFrame:
     """Each row once for every window of it that ended by the bound, with that window."""
     bound = F.timestamp_millis(F.lit(bound_ms))
     # A row that is not older than the bound has no such window: most rows stop here.
-    entries = rows.where(F.col("timestamp") < bound).withColumn("window", F.window("timestamp", width, slide))
+    entries = rows.where(before_bound(bound_ms)).withColumn("window", F.window("timestamp", width, slide))
     entries = entries.where(F.col("window.end") <= bound)
     ends = {"window_start": F.col("window.start"), "window_end": F.col("window.end")}
     return entries.withColumns(ends).select(*LATE_COLUMNS)

@@ -151,7 +151,42 @@ def test_too_large_and_too_long_batches(spark, topic, tmp_path):
     assert {batch for batch, _ in found} == {"few"} and len(found) == 3
 
 
-# --- late rows ---------------------------------------------------------------
+# --- parts of a topic, and late rows -------------------------------------------
+
+
+def test_parts_in_several_files_are_a_trigger_each(spark, tmp_path):
+    from logstream.plans.storage import _in_files
+
+    path, seen = str(tmp_path / "parts"), []
+    rows = spark.range(0, 40, 1, 4)
+    # Each task has rows of the first part, one of the second, none of the third, two of the last.
+    parts = [rows.where(f"id % 10 IN ({n})") for n in ("0, 1", "2", "3")]
+    parts = [parts[0], parts[1].where("id < 10"), parts[2].where("id < 0"), parts[2].where("id < 20")]
+    files = _in_files(parts, path)
+    assert files == 4 and len({r.f for r in spark.read.parquet(path).where("id % 10 < 2").select(F.input_file_name().alias("f")).collect()}) == 4
+    stream = spark.readStream.schema("id long").options(**streams.file_options(files)).parquet(path)
+    query = stream.writeStream.foreachBatch(lambda batch, _: seen.append(sorted(r.id for r in batch.collect())))
+    query.option("checkpointLocation", str(tmp_path / "c")).trigger(**ONCE).start().awaitTermination()
+    assert [batch for batch in seen if batch] == [[0, 1, 10, 11, 20, 21, 30, 31], [2], [3, 13]]
+
+
+def test_a_micro_batch_of_windows_runs_once(spark, topic, tmp_path):
+    """Late rows, table and messages come from one run of the micro-batch."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    plain = jobs.detected_logs
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jobs, "detected_logs", lambda sent: plain(sent).mapInArrow(counted, plain(sent).schema))
+        config = config_of(topic, tmp_path, late=sinks.Sink("parquet", str(tmp_path / "late")))
+        topic(*[(record(n), at(seconds=n)) for n in range(10)])
+        jobs.start_windows(spark, config, str(tmp_path / "stats")).awaitTermination()
+    # Once for the windows and once for the late rows; the closing batch has no rows.
+    assert read.value == 20
 
 
 def test_late_rows_are_kept_and_merged(spark, topic, tmp_path):
