@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstream import model as fixed
+from logstream.functions.rows import computed_once
 from logstream.ml import runs
 from logstream.operators.evaluate import confusion_matrix
 from logstream.operators.features import feature_engineering
@@ -59,17 +60,15 @@ def distance_to_centre(model: PipelineModel) -> Column:
 
     The k centres are literals, so there is neither a join nor Python per row.
     """
-    centres = F.array(
-        *[
-            F.array(*[F.lit(float(value)) for value in centre])
-            for centre in model.stages[-1].clusterCenters()
-        ]
-    )
-    own = F.get(centres, F.col("cluster"))
-    squares = F.zip_with(
-        vector_to_array(F.col("features")), own, lambda a, b: (a - b) * (a - b)
-    )
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, square: total + square))
+    centres = model.stages[-1].clusterCenters()
+    points, cluster = vector_to_array(F.col("features")), F.col("cluster")
+    total = F.lit(0.0)
+    # One term per dimension, which Spark compiles; functions over arrays are interpreted for each row.
+    for place in range(len(centres[0])):
+        own = F.get(F.array(*[F.lit(float(centre[place])) for centre in centres]), cluster)
+        gap = F.get(points, F.lit(place)) - own
+        total = total + gap * gap
+    return F.sqrt(total)
 
 
 def assign_clusters(df: DataFrame, model: PipelineModel) -> DataFrame:
@@ -79,8 +78,12 @@ def assign_clusters(df: DataFrame, model: PipelineModel) -> DataFrame:
 
 def score_anomalies(df: DataFrame, model: PipelineModel, threshold: float) -> DataFrame:
     """Log records, batch or stream, with cluster, distance and the model's flag."""
+    features = feature_engineering(df)
+    made = [c for c in features.columns if c not in df.columns]
+    # The assembler leaves out records by a filter, which would make the features a second time.
+    rows = features.select(*[c for c in features.columns if c in df.columns], computed_once(F.struct(*made)))
     return (
-        assign_clusters(feature_engineering(df), model)
+        assign_clusters(rows, model)
         .withColumn("predicted_anomaly", F.col("distance") > F.lit(threshold))
         .drop("raw_features", "features")
     )

@@ -70,6 +70,24 @@ def test_saved_model_scores_the_same(spark, labelled, trained, tmp_path):
     assert sum(sizes.values()) == before.count() and len(sizes) <= 5
 
 
+def test_scoring_makes_features_once(spark, labelled, trained):
+    """No filter of the assembler repeats the work on the message; distances are compiled."""
+    fitted, threshold, _, _ = trained
+    spark.catalog.clearCache()
+    plan = anomaly.score_anomalies(labelled, fitted, threshold)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("message#" in line for line in filters)
+    assert "lambdafunction" not in plan.split("distance#")[0] and "zip_with" not in plan
+
+
+def test_features_that_are_there_are_kept(spark, labelled):
+    from logstream.operators.features import feature_engineering
+
+    made = feature_engineering(labelled).select("trace_id", "level", "is_anomaly", *fixed.CLASSIFIER_FEATURES)
+    _, metrics = classify.train_level_classifier(made, estimator="gbt")
+    assert metrics == classify.train_level_classifier(labelled, estimator="gbt")[1]
+
+
 def test_a_stream_is_scored(spark, sf_dir, trained, tmp_path):
     fitted, threshold, _, _ = trained
     topic = str(tmp_path / "topic")
