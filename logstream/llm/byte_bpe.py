@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstream.llm.common import join_sized, text_or_empty
+from logstream.llm.common import text_or_empty
 
 # A block ends with the document in which it reaches so many pre-tokens.
 BLOCK_TOKENS = 8_000_000
@@ -409,8 +409,9 @@ def _encoded(rows: list[tuple]) -> pa.RecordBatch:
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes its ``ids`` stand for.
 
-    Rows travel packed, as batches named by their content; a batch's distinct ids are joined to the
-    token table, and their bytes meet the batch. NULL ids decode to NULL, no ids to no bytes; an id
+    Rows are packed, as batches named by their content; a batch's distinct ids are joined to the
+    token table, and their bytes meet the batch. A broadcast table leaves batches where they are; for a
+    larger one they travel. NULL ids decode to NULL, no ids to no bytes; an id
     that the vocabulary lacks fails; repeated rows are decoded each; a column ``decoded`` is replaced.
     """
     encoded = encoded.drop("decoded")
@@ -423,7 +424,8 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             used = np.unique(np.concatenate(parts)).tolist() if parts else []
             packed = zstandard.ZstdCompressor(level=1).compress(_ipc(batch))
             name = hashlib.blake2b(packed, digest_size=16).digest()
-            columns = [[name] * (1 + len(used)), [packed] + [None] * len(used), [None, *used]]
+            # The ids come before the rows that need them.
+            columns = [[name] * (1 + len(used)), [None] * len(used) + [packed], [*used, None]]
             kinds = [pa.binary(), pa.binary(), pa.int32()]
             arrays = [pa.array(values, kind) for values, kind in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, ["batch", "rows", "id"])
@@ -452,8 +454,12 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     packed = encoded.mapInArrow(pack, "`batch` binary, `rows` binary, id int")
     tokens = token_table(encoded.sparkSession, vocabulary)
-    joined = join_sized(packed, tokens, "id", "left", VOCABULARY_ROWS)
-    ordered = joined.repartition("batch").sortWithinPartitions("batch", F.col("rows").isNotNull())
+    if tokens.limit(VOCABULARY_ROWS + 1).count() <= VOCABULARY_ROWS:
+        # Rows keep their task and order; were it otherwise, a token would be missing and the task fail.
+        ordered = packed.join(F.broadcast(tokens), "id", "left")
+    else:
+        joined = packed.join(tokens, "id", "left")
+        ordered = joined.repartition("batch").sortWithinPartitions("batch", F.col("rows").isNotNull())
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)
     return ordered.mapInArrow(unpack, f"{kinds}, decoded binary")
 

@@ -798,6 +798,20 @@ class TestBlocksOfWords:
             unknown = [(1, np.array([99999999], "<u4").tobytes())]
             byte_bpe.decode(spark.createDataFrame(unknown, "id int, ids binary"), RANKS).collect()
 
+    def test_a_broadcast_vocabulary_moves_no_batch(self, spark, monkeypatch):
+        """Batches meet their tokens where they are; beyond the broadcast limit they travel, with equal results."""
+        rows = [(i, np.array([i, 300 + i % 7, i], "<u4").tobytes()) for i in range(2500)]
+        encoded = spark.createDataFrame(rows, "id int, ids binary").repartition(3)
+        found = {}
+        for limit in (byte_bpe.VOCABULARY_ROWS, 10):
+            monkeypatch.setattr(byte_bpe, "VOCABULARY_ROWS", limit)
+            decoded = byte_bpe.decode(encoded, RANKS)
+            moved = "hashpartitioning(batch" in decoded._jdf.queryExecution().executedPlan().toString()
+            found[moved] = {r.id: bytes(r.decoded) for r in decoded.collect()}
+        token = {rank: word for word, rank in byte_bpe.ranks(RANKS).items()}
+        want = {i: token[i] + token[300 + i % 7] + token[i] for i in range(2500)}
+        assert found == {False: want, True: want}
+
     def test_another_order_of_rows_is_noticed(self, spark):
         texts = ["one two three", "four five six"]
         first = table(spark, texts).coalesce(1).select("doc_id", "text", F.lit(0).alias("part"))
