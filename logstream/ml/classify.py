@@ -88,7 +88,8 @@ def train_level_classifier(
     ``rf`` is a random forest over all levels. ``gbt`` knows two classes, and
     tells the ``is_anomaly`` label instead. ``grid`` names estimator parameters
     and the values to try. Records without a label are left out; a level outside
-    the accepted five is none, which also bounds what the label index holds.
+    the accepted five is none, which also bounds what the label index holds. A
+    table that already holds all features keeps its own, for several trainings.
     """
     if estimator == "rf":
         target, label = "level", F.col("level")
@@ -105,8 +106,9 @@ def train_level_classifier(
         classifier = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, maxIter=10)
     else:
         raise ValueError(f"unknown estimator {estimator!r}: rf or gbt")
+    rows = df.where(known)
     features = (
-        feature_engineering(df.where(known))
+        (rows if set(fixed.CLASSIFIER_FEATURES) <= set(df.columns) else feature_engineering(rows))
         .select("trace_id", label, *fixed.CLASSIFIER_FEATURES)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )

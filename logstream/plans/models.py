@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +14,7 @@ from logstream.operators.split import hash_split
 from logstream.plans import fixture as fx
 from logstream.plans.records import ALL_FEATURES_SQL
 from logstream.plans.registry import query
-from logstream.session import folders, scratch
+from logstream.session import folders, scratch, stored
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +219,9 @@ _OF_FLAG = {"label": "CASE WHEN label THEN 'true' ELSE 'false' END", "known": "t
 def classifier_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per model and true label: how many tested records got a prediction, and by how much the
     reported accuracy differs from that of the predictions."""
-    logs = _labelled(spark, sf_dir)
+    kept = ("trace_id", "level", "is_anomaly", *fixed.CLASSIFIER_FEATURES)
+    # The features are made once, for all models and for their predictions.
+    logs = stored(feature_engineering(_labelled(spark, sf_dir)).select(*kept), "features")
     options = {
         "forest": {},
         "one_hot": {"one_hot": True},
@@ -233,20 +233,17 @@ def classifier_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         fitted, metrics = classify.train_level_classifier(logs, **chosen)
         boosted = name == "boosted"
         known = F.lit(True) if boosted else F.col("level").isin(*fixed.LEVEL_CODES)
-        rows = feature_engineering(logs.where(known))
+        rows = logs.where(known)
         _, test = hash_split(rows.withColumn("label", F.col("is_anomaly").cast("double")) if boosted else rows)
         predicted = fitted.transform(test)
         right = (F.col("prediction") == F.col("label")).cast("double")
-        accuracy = predicted.agg(F.avg(right)).first()[0]
         shown = F.col("is_anomaly").cast("string") if boosted else F.col("level")
-        found.append(
-            predicted.groupBy(shown.alias("label"))
-            .agg(F.count("*").alias("rows"))
-            .select(
-                F.lit(name).alias("model"),
-                "label",
-                "rows",
-                F.lit(abs(round(accuracy - metrics["accuracy"], 9))).alias("accuracy_gap"),
-            )
+        # A row per true label, of which there are five at most.
+        labels = predicted.groupBy(shown.alias("label")).agg(
+            F.count("*").alias("rows"), F.sum(right).alias("right"), F.count(right).alias("judged")
         )
-    return reduce(DataFrame.union, found)
+        counted = labels.collect()
+        accuracy = sum(r.right or 0 for r in counted) / sum(r.judged for r in counted)
+        gap = abs(round(accuracy - metrics["accuracy"], 9))
+        found += [(name, r.label, r.rows, gap) for r in counted]
+    return spark.createDataFrame(found, "model STRING, label STRING, rows BIGINT, accuracy_gap DOUBLE")
