@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +24,7 @@ from logstream.llm import (
     token_files,
     warc,
 )
-from logstream.llm.common import fresh_folder, join_sized
+from logstream.llm.common import CLEAN_SHUFFLES, fresh_folder, join_sized, stored
 
 WORDS = "/opt/tokenizers/word_bpe_49k.json"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -73,6 +75,24 @@ def test_one_row_per_row(spark, name):
     assert run(table(spark, [])).count() == 0
 
 
+def test_stored_rows_leave_no_shuffle_files(spark):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return set(re.findall(r"shuffle_\d+_\d+", blocks.getAllFiles().mkString(" ")))
+
+    known, before = files(), spark.conf.get(CLEAN_SHUFFLES, None)
+    frame = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count().repartition(3, "count")
+    found = stored(frame, "counts")
+    until = time.time() + 10
+    while files() - known and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - known
+    assert spark.conf.get(CLEAN_SHUFFLES, None) == before
+    # Neither what was stored nor its source needs them.
+    for each in (found, frame):
+        assert sorted(rows(each, "k", "count")) == [(k, 100) for k in range(100)]
+
+
 class TestQuality:
     def test_measures(self):
         assert quality.measure("a b c a b c d") == (7, 7, 0, 0, 6)
