@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,6 +44,8 @@ OUT_BYTES = 8 << 20
 VOCABULARY_ROWS = 1 << 20
 # Code points that are told apart at a time.
 SOME_POINTS = 1 << 16
+# Pre-tokens that are cut out of a pack at a time.
+SOME_WORDS = 1 << 14
 
 LETTER, NUMBER, SPACE, OTHER, END = range(5)
 # The endings that the pattern splits off with their apostrophe.
@@ -105,12 +108,18 @@ def pre_tokens(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     starts[ends] = True
     starts[ends + 1] = True
     places = np.flatnonzero(starts)
-    widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    offsets = np.concatenate(([0], np.cumsum(widths)))[places]
+    widths = np.ones(len(points), np.uint8)
+    for longer in (0x80, 0x800, 0x10000):
+        widths += points >= longer
+    sizes = np.add.reduceat(widths, places[:-1], dtype=np.int64)
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
     real = kinds[places[:-1]] != END
     counts = np.diff(np.concatenate(([0], np.cumsum(real)[np.searchsorted(places, ends)])))
-    bounds = zip(offsets[:-1][real].tolist(), offsets[1:][real].tolist())
-    return [data[a:b] for a, b in bounds], counts
+    firsts, lasts, words = offsets[:-1][real], offsets[1:][real], []
+    for some in range(0, len(firsts), SOME_WORDS):
+        part = slice(some, some + SOME_WORDS)
+        words += [data[a:b] for a, b in zip(firsts[part].tolist(), lasts[part].tolist())]
+    return words, counts
 
 
 class Numbers(dict):
@@ -146,8 +155,10 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for part, doc_ids, texts in packs(batches):
         words, counts = pre_tokens(texts)
         found = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
-        yield block_of(part, made), numbers, doc_ids, counts, found
         tokens += len(words)
+        # The next pack is split without the words of this one.
+        del words
+        yield block_of(part, made), numbers, doc_ids, counts, found
         if tokens >= BLOCK_TOKENS:
             yield block_of(part, made), numbers, None, None, None
             numbers, tokens, made = Numbers(), 0, made + 1
@@ -259,7 +270,7 @@ def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = piece_encoder(vocabulary)
-        waiting: dict[int, tuple[list, ...]] = {}
+        waiting: dict[int, tuple[array, ...]] = {}
         count, last, ids, crc = 0, None, [], 0
         for batch in batches:
             places = batch.column("place").to_pylist()
@@ -268,7 +279,7 @@ def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
                     last, ids, crc = word, encode(word), zlib.crc32(word)
                 lists = waiting.get(place >> NUMBER_BITS)
                 if lists is None:
-                    lists = waiting[place >> NUMBER_BITS] = ([], [], [], [])
+                    lists = waiting[place >> NUMBER_BITS] = tuple(array("I") for _ in range(4))
                 lists[0].append(place & ONE_BLOCK)
                 lists[1].append(len(ids))
                 lists[2].extend(ids)
@@ -283,9 +294,9 @@ def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
     return ordered.mapInArrow(run, BLOCK_ROWS)
 
 
-def _send(waiting: dict[int, tuple[list, ...]]) -> Iterator[pa.RecordBatch]:
+def _send(waiting: dict[int, tuple[array, ...]]) -> Iterator[pa.RecordBatch]:
     for block, lists in waiting.items():
-        numbers, lengths, ids, sums = (np.array(values, np.uint32) for values in lists)
+        numbers, lengths, ids, sums = (np.frombuffer(values, np.uint32) for values in lists)
         packed = squeeze(np.concatenate((numbers, lengths)))
         check = numbering(numbers, sums)
         yield _block_row(block, numbers=packed, words=squeeze(ids), check=check)

@@ -517,6 +517,18 @@ class TestByteBpe:
         assert counts.tolist() == [len(w) for w in want]
         assert words == [w for one in want for w in one]
 
+    def test_a_pack_is_split_in_little_memory(self):
+        """Every idle worker keeps what its largest step took."""
+        rng = random.Random(5)
+        texts = [" ".join(str(rng.randrange(100_000)) for _ in range(700)) for _ in range(256)]
+        byte_bpe.character_kinds()
+        tracemalloc.start()
+        words, counts = byte_bpe.pre_tokens(texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert b"".join(words).decode() == "".join(texts) and sum(counts) == len(words)
+        assert most < 33 * sum(map(len, texts))
+
     def test_packing(self):
         values = np.array([0, 1, 70_000, 4_000_000_000], np.uint32)
         assert byte_bpe.unsqueeze(byte_bpe.squeeze(values)).tolist() == values.tolist()
