@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstream.llm.common import text_or_empty
+from logstream.llm.common import map_arrow, text_or_empty
 
 # A block ends with the document in which it reaches so many pre-tokens.
 BLOCK_TOKENS = 8_000_000
@@ -39,7 +39,7 @@ PACK_CHARS = 1 << 20
 # Encoded words that wait in a task until they are sent to their blocks.
 WAITING_WORDS = 500_000
 # Bytes of ids after which a task hands documents on.
-OUT_BYTES = 8 << 20
+OUT_BYTES = 2 << 20
 # Largest vocabulary that is broadcast, in entries.
 VOCABULARY_ROWS = 1 << 20
 # Code points that are told apart at a time.
@@ -239,7 +239,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
                         ["place", "word"],
                     )
 
-    return docs.mapInArrow(run, WORDS)
+    return map_arrow(docs, run, WORDS)
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def positions(docs: DataFrame) -> DataFrame:
                 sums = np.fromiter(map(zlib.crc32, numbers), np.uint32, len(numbers))
                 yield _block_row(block, check=numbering(np.arange(len(sums)), sums))
 
-    return docs.mapInArrow(run, BLOCK_ROWS)
+    return map_arrow(docs, run, BLOCK_ROWS)
 
 
 def _block_row(block, doc_ids=None, counts=None, numbers=None, words=None, check=None):
@@ -291,7 +291,7 @@ def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
         yield from _send(waiting)
 
     ordered = words.repartition("word").sortWithinPartitions("word")
-    return ordered.mapInArrow(run, BLOCK_ROWS)
+    return map_arrow(ordered, run, BLOCK_ROWS)
 
 
 def _send(waiting: dict[int, tuple[array, ...]]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,7 @@ def reassembled(words: DataFrame, documents: DataFrame) -> DataFrame:
         .repartition("block")
         .sortWithinPartitions("block", F.col("doc_ids").isNotNull())
     )
-    return ordered.mapInArrow(_put_together, "doc_id long, n_tokens long, ids binary")
+    return map_arrow(ordered, _put_together, "doc_id long, n_tokens long, ids binary")
 
 
 def token_table(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -455,15 +455,17 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 data = zstandard.ZstdDecompressor().decompress(rows)
                 with pa.ipc.open_stream(data) as stream:
                     for found in stream:
-                        decoded = [
-                            None
-                            if ids is None
-                            else b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                            for ids in found.column("ids").to_pylist()
-                        ]
-                        yield found.append_column("decoded", pa.array(decoded, pa.binary()))
-
-    packed = encoded.mapInArrow(pack, "`batch` binary, `rows` binary, id int")
+                        for first in range(0, found.num_rows, PACK_DOCS):
+                            some = found.slice(first, PACK_DOCS)
+                            decoded = [
+                                None
+                                if ids is None
+                                else b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                                for ids in some.column("ids").to_pylist()
+                            ]
+                            yield some.append_column("decoded", pa.array(decoded, pa.binary()))
+
+    packed = map_arrow(encoded, pack, "`batch` binary, `rows` binary, id int")
     tokens = token_table(encoded.sparkSession, vocabulary)
     if tokens.limit(VOCABULARY_ROWS + 1).count() <= VOCABULARY_ROWS:
         # Rows keep their task and order; were it otherwise, a token would be missing and the task fail.
@@ -472,7 +474,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         joined = packed.join(tokens, "id", "left")
         ordered = joined.repartition("batch").sortWithinPartitions("batch", F.col("rows").isNotNull())
     kinds = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)
-    return ordered.mapInArrow(unpack, f"{kinds}, decoded binary")
+    return map_arrow(ordered, unpack, f"{kinds}, decoded binary")
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:

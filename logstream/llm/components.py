@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstream.llm.common import stored
+from logstream.llm.common import map_arrow, stored
 
 
 # Links of a graph that one task resolves, in a few MB; with more the rounds do.
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         "links",
     )
     if edges.count() <= FEW_LINKS:
-        return stored(edges.coalesce(1).mapInArrow(_small_graph, "node long, root long"), "roots")
+        return stored(map_arrow(edges.coalesce(1), _small_graph, "node long, root long"), "roots")
     before = None
     while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

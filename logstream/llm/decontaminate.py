@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstream.llm.common import lower_words, map_batches, text_or_empty
+from logstream.llm.common import lower_words, map_arrow, map_batches, text_or_empty
 
 WINDOW = 10
 # Windows in one block: some 100 MB of tables in a Python worker at most.
@@ -172,7 +172,7 @@ def _found_in(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [*names, "n_words", "spans", "items"])
 
     kept = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes if n != "text")
-    return docs.mapInArrow(run, f"{kept}, {FOUND}")
+    return map_arrow(docs, run, f"{kept}, {FOUND}")
 
 
 def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -282,4 +282,4 @@ def _without(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
             clean = [not any(True for one in tables for _ in one.search(t)) for t in texts]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstream.llm.common import LOWER, map_batches, stored, text_or_empty
+from logstream.llm.common import LOWER, map_arrow, map_batches, stored, text_or_empty
 from logstream.llm.components import components
 
 SHINGLE = 5
@@ -65,13 +65,18 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 FEW = 32
 # Members of a group that meet its pivots' texts in one place.
 PART = 64
+# Texts that are split into words at a time: as objects, words take many times their bytes.
+SOME_TEXTS = 64
 # Hash values that are compared in one step; keeps the matrix in the cache.
 STEP = 512
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
-    return [np.unique(hashes) for hashes in shingle_hashes(texts)]
+    sets = []
+    for first in range(0, len(texts), SOME_TEXTS):
+        sets += map(np.unique, shingle_hashes(texts[first : first + SOME_TEXTS]))
+    return sets
 
 
 def shingle_hashes(texts: list[str]) -> list[np.ndarray]:
@@ -201,7 +206,7 @@ def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFram
 
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.join(b, "b").join(a, "a"), run, "a long, b long")
 
 
 def _buckets(marks: DataFrame, settings: Settings) -> DataFrame:
@@ -283,7 +288,7 @@ def _tokens(named: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             arrays = [pa.array(column, kind) for column, kind in zip(found, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, ["pivots", "doc", "token", "bound"])
 
-    return rows.mapInArrow(run, TOKENS)
+    return map_arrow(rows, run, TOKENS)
 
 
 def _lacking(own: np.ndarray, union: np.ndarray, least: int, percent: int) -> tuple[list, list]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logstream.llm.common import attempt_name, join_sized, map_batches, stored, text_or_empty
+from logstream.llm.common import attempt_name, join_sized, map_arrow, map_batches, stored, text_or_empty
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -164,7 +164,7 @@ def keep_good(docs: DataFrame, host: str = "source", limits: Limits = Limits())
             mask = pa.array([_passes(text or "", limits) for text in texts], pa.bool_())
             yield batch.filter(mask)
 
-    return allowed.mapInArrow(passing, allowed.schema)
+    return map_arrow(allowed, passing, allowed.schema)
 
 
 def _passes(text: str, limits: Limits) -> bool:

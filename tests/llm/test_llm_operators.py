@@ -8,6 +8,7 @@ import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from logstream.llm import (
     token_files,
     warc,
 )
-from logstream.llm.common import CLEAN_SHUFFLES, fresh_folder, join_sized, stored
+from logstream.llm.common import CLEAN_SHUFFLES, fresh_folder, join_sized, map_arrow, map_batches, stored
 
 WORDS = "/opt/tokenizers/word_bpe_49k.json"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -93,6 +94,44 @@ def test_stored_rows_leave_no_shuffle_files(spark):
         assert sorted(rows(each, "k", "count")) == [(k, 100) for k in range(100)]
 
 
+class OneTask:
+    """Stands in for a table: runs what Spark would run in a worker."""
+
+    def mapInArrow(self, run, schema):
+        batch = pa.RecordBatch.from_arrays([pa.array(["one"])], ["text"])
+        return [b.num_rows for b in run(iter([batch]))]
+
+
+def own_memory():
+    """Bytes of this process, without mapped files."""
+    with open("/proc/self/smaps_rollup") as lines:
+        return 1024 * int(re.search(r"\nPss_Anon: +([0-9]+)", lines.read())[1])
+
+
+class TestWorkerMemory:
+    """Spark keeps idle workers: what a step leaves in them adds up."""
+
+    @pytest.mark.parametrize("by", [map_arrow, map_batches])
+    def test_a_worker_gives_back_what_a_step_took(self, by):
+        left, most = [], []
+
+        def filled(batch):
+            # Blocks of the C library, and one that stays behind them and keeps it from shrinking.
+            taken = [np.ones(100_000, np.uint8) for _ in range(2000)]
+            left.append(np.ones(100_000, np.uint8))
+            most.append(own_memory())
+            del taken
+            return batch
+
+        def each(batches):
+            yield from map(filled, batches)
+
+        before = own_memory()
+        assert by(OneTask(), filled if by is map_batches else each, "text string") == [1]
+        assert most[0] > before + 100_000_000
+        assert own_memory() < before + 50_000_000
+
+
 class TestQuality:
     def test_measures(self):
         assert quality.measure("a b c a b c d") == (7, 7, 0, 0, 6)
@@ -302,6 +341,18 @@ class TestNearDedup:
         assert found == {**{i: 0 for i in range(1, 41)}, 101: 100, 60: 50}
 
 
+    def test_many_texts_are_split_in_little_memory(self):
+        texts = [prose(i, 300) for i in range(1000)]
+        near_dedup.shingle_sets(texts[:2])
+        tracemalloc.start()
+        sets = near_dedup.shingle_sets(texts)
+        held, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert most < held + 6_000_000
+        for text, one in zip(texts[:200], sets):
+            assert one.tolist() == near_dedup.shingle_sets([text])[0].tolist()
+
+
 class TestPassages:
     def test_fuzzy_passage(self, spark):
         shared = prose(50, 60, 5000).split()
